@@ -38,14 +38,16 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide[: len(ids)] = large
     escape = np.zeros(padded.shape, bool)
     escape[:, :BLOCK] = wide.reshape(blocks, BLOCK)
-    position = np.arange(padded.shape[1])
     choice = np.zeros((blocks, BLOCK), np.uint8)
-    for selector in range(len(WIDTHS), 0, -1):  # the last that fits has the most ids
-        misfit = (padded >= np.uint64(1 << WIDTHS[selector - 1])) | escape
-        if selector < len(WIDTHS) and misfit[:, :BLOCK].all():
+    for selector in range(len(WIDTHS), 0, -1):  # the last that fits has the most ids; where one doesn't fit, no later one does
+        fits, length, count = (padded < np.uint64(1 << WIDTHS[selector - 1])) & ~escape, 1, COUNTS[selector - 1]
+        while length < count:
+            step = min(length, count - length)
+            fits, length = fits[:, :-step] & fits[:, step:], length + step
+        fits = fits[:, :BLOCK]
+        if not fits.any():
             break
-        next_misfit = np.minimum.accumulate(np.where(misfit, position, padded.shape[1] + COUNTS[0])[:, ::-1], axis=1)[:, ::-1]
-        choice[next_misfit[:, :BLOCK] >= position[:BLOCK] + COUNTS[selector - 1]] = selector
+        choice[fits] = selector
     steps = _COUNT[choice]
     starts, offsets = [], []
     for b in range(blocks):
