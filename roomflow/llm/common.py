@@ -19,12 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package wherever the driver found it; clusters use --py-files."""
+    """Lets Python workers on this machine import the package wherever the driver found it; clusters use --py-files.
+
+    Arrow batches get 1000 rows instead of Spark's default (a setting of the session's own stays), so that long texts fit in memory.
+    """
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 class Stage:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roomflow.llm.common import Stage
 
@@ -20,12 +21,113 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(segments, with_ids=False)
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from roomflow.llm.piece_bpe import encode_decode
+
+    done = encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.llm.set_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), Stage(spark, "near"), size=2, percent=80)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.llm.spots import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.llm.url_rules import judge
+
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES, Stage(spark, "urls"), default="allow")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from roomflow.llm.packing import pack
+
+    pieces = pack(_table(spark, sf_dir, "documents"), Stage(spark, "packing"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.llm.langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.llm.vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), Stage(spark, "vectors"), threshold=0.98)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.llm.feistel import shard_rows
 
     return shard_rows(_table(spark, sf_dir, "documents"), Stage(spark, "shards"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_pieces, op3_near_documents, op4_toxicity, op5_spots, op6_url_rules, op7_packing, op8_language, op9_near_vectors, op10_sharding)}
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_url_rules": f"""
+        WITH parts AS (
+            SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        split AS (
+            SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+        rules(h, p, v) AS (VALUES {_RULES}),
+        ranked AS (
+            SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS at
+            FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM ranked WHERE at = 1""",
+    "op9_near_vectors": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+        good AS (SELECT * FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+        reach(vec_id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.seen = l.a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+        tops AS (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id)
+        SELECT t.vec_id, coalesce(n, 0) AS n_links, component_id, t.vec_id = component_id AS kept FROM tops t LEFT JOIN counts ON a = t.vec_id""",
+    "op3_near_documents": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), x -> x <> '') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM words),
+        classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM sets GROUP BY 1),
+        held AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM classes),
+        seen AS (SELECT x, count(*) AS c FROM held GROUP BY x),
+        ranked AS (SELECT rep, n, held.x, row_number() OVER (PARTITION BY rep ORDER BY c, held.x) AS at FROM held JOIN seen USING (x)),
+        rare AS (SELECT rep, n, x FROM ranked WHERE at <= n - ceil(n * 0.8) + 1),
+        maybe AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM rare a JOIN rare b ON a.x = b.x AND a.rep < b.rep AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+        linked AS (
+            SELECT a, b FROM maybe JOIN classes p ON p.rep = a JOIN classes q ON q.rep = b
+            WHERE 100 * len(list_intersect(p.s, q.s)) >= 80 * (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))),
+        both_ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+        reach(rep, at) AS (SELECT rep, rep FROM classes UNION SELECT r.rep, l.b FROM reach r JOIN both_ways l ON r.at = l.a),
+        tops AS (SELECT rep, min(at) AS top FROM reach GROUP BY rep)
+        SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE top END AS component_id, d.doc_id = CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE top END AS kept
+        FROM sets d JOIN classes c ON list_sort(d.s) = c.s JOIN tops USING (rep)""",
+}
