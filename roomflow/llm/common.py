@@ -87,3 +87,20 @@ def part_offsets(df: DataFrame, weight: Column) -> DataFrame:
     totals = df.groupBy("__part").agg(F.sum(weight).cast("long").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+
+
+def groups(batches, key: str):
+    """Pandas frames of rows with one key, from Arrow batches that are sorted by it; a group must be of bounded size."""
+    import numpy as np
+    import pandas as pd
+
+    rest = None
+    for batch in batches:
+        frame = batch.to_pandas() if rest is None else pd.concat([rest, batch.to_pandas()], ignore_index=True)
+        keys = frame[key].to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            yield frame.iloc[a:b]
+        rest = frame.iloc[cuts[-1] if len(cuts) else 0 :]
+    if rest is not None and len(rest):
+        yield rest

@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomflow.llm.common import Stage
 
 
+def _contract(batches):
+    """Replaces a task's links by links of each node to the smallest node that it reaches within the task."""
+    top: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := top.setdefault(i, i)) != i:
+            top[i] = i = top[up] = top.get(up, up)
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            low, high = sorted((find(a), find(b)))
+            top[high] = low
+    rows = [(find(i), i) for i in top]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def components(links: DataFrame, stage: Stage, name: str = "component") -> DataFrame:
     """(node, component) for every node of links (a, b); component is the smallest node that it reaches.
 
-    Each round a node takes the smallest label among its own and its neighbours', then its label's label (pointer
-    jumping), until no label changes. Labels are written each round; nothing but a count comes to the driver.
+    Each task first contracts its own links (there are fewer of them than documents, and a task holds its share only). Then each round
+    a node takes the smallest label among its own and its neighbours', and after that its label's label (pointer jumping), until no
+    label changes. Labels are written each round; nothing but whether any has moved comes to the driver.
     """
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).where("node <> other").distinct()
-    both = stage.write(both, f"{name}-edges")
-    labels = stage.write(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), f"{name}-0")
+    star = links.select("a", "b").mapInArrow(_contract, "a long, b long").distinct()
+    both = stage.write(star.select(F.col("a").alias("node"), F.col("b").alias("other")).union(star.select("b", "a")).union(star.select("b", "b")).union(star.select("a", "a")).distinct(), f"{name}-edges")
+    labels = both.select("node").distinct().withColumn("label", F.col("node"))
     turn = 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
+        known = labels.select(F.col("node").alias("other"), "label")
+        low = both.join(known, "other").groupBy("node").agg(F.min("label").alias("low"), F.max(F.when(F.col("node") == F.col("other"), F.col("label"))).alias("old"))
         low = stage.write(low, f"{name}-low-{turn}")
-        up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
         turn += 1
+        up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
         new = stage.write(low.join(up, "low").select("node", F.col("up").alias("label"), (F.col("up") < F.col("old")).alias("moved")), f"{name}-{turn}")
         moved = not new.where("moved").isEmpty()
         stage.drop(f"{name}-{turn - 1}", f"{name}-low-{turn - 1}")

@@ -98,11 +98,11 @@ ORACLE_SQL = {
             SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
         rules(h, p, v) AS (VALUES {_RULES}),
         ranked AS (
-            SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS at
+            SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS nth
             FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM ranked WHERE at = 1""",
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM ranked WHERE nth = 1""",
     "op9_near_vectors": """
-        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
         good AS (SELECT * FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0),
         links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
@@ -113,21 +113,22 @@ ORACLE_SQL = {
         SELECT t.vec_id, coalesce(n, 0) AS n_links, component_id, t.vec_id = component_id AS kept FROM tops t LEFT JOIN counts ON a = t.vec_id""",
     "op3_near_documents": r"""
         WITH RECURSIVE words AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), x -> x <> '') AS w FROM documents),
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
         sets AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM words),
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
         classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM sets GROUP BY 1),
         held AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM classes),
         seen AS (SELECT x, count(*) AS c FROM held GROUP BY x),
-        ranked AS (SELECT rep, n, held.x, row_number() OVER (PARTITION BY rep ORDER BY c, held.x) AS at FROM held JOIN seen USING (x)),
-        rare AS (SELECT rep, n, x FROM ranked WHERE at <= n - ceil(n * 0.8) + 1),
+        ranked AS (SELECT rep, n, held.x, row_number() OVER (PARTITION BY rep ORDER BY c, held.x) AS nth FROM held JOIN seen USING (x)),
+        rare AS (SELECT rep, n, x FROM ranked WHERE nth <= n - ceil(n * 0.8) + 1),
         maybe AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM rare a JOIN rare b ON a.x = b.x AND a.rep < b.rep AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
         linked AS (
             SELECT a, b FROM maybe JOIN classes p ON p.rep = a JOIN classes q ON q.rep = b
             WHERE 100 * len(list_intersect(p.s, q.s)) >= 80 * (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))),
         both_ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
-        reach(rep, at) AS (SELECT rep, rep FROM classes UNION SELECT r.rep, l.b FROM reach r JOIN both_ways l ON r.at = l.a),
-        tops AS (SELECT rep, min(at) AS top FROM reach GROUP BY rep)
+        reach(rep, seen) AS (SELECT rep, rep FROM classes UNION SELECT r.rep, l.b FROM reach r JOIN both_ways l ON r.seen = l.a),
+        tops AS (SELECT rep, min(seen) AS top FROM reach GROUP BY rep)
         SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE top END AS component_id, d.doc_id = CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE top END AS kept
         FROM sets d JOIN classes c ON list_sort(d.s) = c.s JOIN tops USING (rep)""",
 }

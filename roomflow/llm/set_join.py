@@ -3,8 +3,12 @@
 Documents with equal shingle sets form a class and are joined through one representative. Each independent tree
 starts with all representatives in its root. A node picks some of the minwise tokens; a document goes to one child for
 each picked token, so similar documents share a child with high probability. A node with few documents is compared
-exhaustively by sketches; in a larger one, the documents that are like its pivot are taken out and compared in
-blocks together with the pivot, and the others branch again. Candidates are confirmed on full shingle sets.
+exhaustively; in a larger one, the documents that are like its pivot are taken out and compared in blocks together with
+the pivot, and the others branch again.
+
+Comparison has two passes. First, sketches give each block a forest of its likest pairs, and those are confirmed on full shingle sets.
+Then, in blocks that still hold several components with candidates between them, the full sets of those documents are compared with
+each other in place. So no pass emits all pairs of a group.
 """
 
 from __future__ import annotations
@@ -16,14 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomflow.llm.chunks import slices
-from roomflow.llm.common import Stage
+from roomflow.llm.common import Stage, groups
 from roomflow.llm.components import components
 from roomflow.llm.shingles import minwise, shingle_sets
 
 TOKENS = 64
-#: trees; tokens that a root and an inner node pick; largest node that is compared exhaustively; documents in a
-#: block of a dense node; levels. A pair at the threshold 0.8 misses all 12 children of the roots once in 2 * 10**8.
-TREES, ROOT_PICKS, PICKS, SMALL, DENSE_BLOCK, LEVELS = 3, 4, 2, 256, 192, 8
+#: trees; tokens that a root picks (an inner node picks one, and one in four picks two, 1 / 0.8 on average); largest node that is
+#: compared exhaustively; documents in a block of a dense node; levels. A pair at the threshold 0.8 misses all 12 children of the
+#: roots once in 2 * 10**8, and keeps as many shared nodes on each level below on average.
+TREES, ROOT_PICKS, SMALL, DENSE_BLOCK, LEVELS = 3, 4, 256, 192, 10
 #: Sketch estimates (standard error 0.05 at 0.8): candidates, documents taken out with the pivot, documents that branch on.
 CANDIDATE, LIKE_PIVOT, BRANCH_ON = 0.56, 0.40, 0.72
 _NIBBLES = 0x1111111111111111
@@ -63,19 +68,25 @@ def _likeness(other: list[str]) -> Column:
     return 1 - misses * (16 / 15 / TOKENS)
 
 
-def _children(rows: DataFrame, picks: int, level: int) -> DataFrame:
+def _children(rows: DataFrame, level: int) -> DataFrame:
     """(node, doc, tokens) to (node, doc): one child for each token that the node picks."""
-    seeds = [F.pmod(F.xxhash64("node", F.lit(1000 * level + k)), F.lit(TOKENS)).cast("int") for k in range(picks)]
-    keys = [F.xxhash64("node", F.lit(level), s, F.get("tokens", s)) for s in seeds]
-    return rows.select("doc", F.explode(F.array_distinct(F.array(*keys))).alias("node"))
+    def key(k: int) -> Column:
+        at = F.pmod(F.xxhash64("node", F.lit(1000 * level + k)), F.lit(TOKENS)).cast("int")
+        return F.xxhash64("node", F.lit(level), at, F.get("tokens", at))
+
+    if level == 1:
+        keys = F.array(*[key(k) for k in range(ROOT_PICKS)])
+    else:
+        keys = F.when(F.pmod(F.xxhash64("node", F.lit("picks")), F.lit(4)) == 0, F.array(key(0), key(1))).otherwise(F.array(key(0)))
+    return rows.select("doc", F.explode(F.array_distinct(keys)).alias("node"))
 
 
 def _blocks(reps: DataFrame, stage: Stage) -> DataFrame:
     """Runs the trees; gives (block as node, doc, sketch, whether dense, pivot, pivot's sketch) of all small nodes and of dense ones' blocks."""
     roots = reps.select("doc", "tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")).select("doc", "tokens", F.xxhash64("tree").alias("node"))
-    rows, picks, found, written = roots, ROOT_PICKS, None, []
+    rows, found, written = roots, None, []
     for level in range(1, LEVELS + 1):
-        lean = _children(rows, picks, level)
+        lean = _children(rows, level)
         sizes = stage.write(lean.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc"), "doc")).getField("doc").alias("pivot")).where("n > 1"), f"sizes-{level}")
         held = lean.join(sizes, "node").join(reps.select("doc", *SKETCH), "doc")
         held = stage.write(held, f"held-{level}")
@@ -92,7 +103,7 @@ def _blocks(reps: DataFrame, stage: Stage) -> DataFrame:
         rest = large.where(f"like < {BRANCH_ON}").select("node", "doc")
         if level == LEVELS or sizes.where(f"n > {SMALL}").isEmpty() or rest.isEmpty():
             break
-        rows, picks = rest.join(reps.select("doc", "tokens"), "doc"), PICKS
+        rows = rest.join(reps.select("doc", "tokens"), "doc")
     blocks = stage.write(found, "blocks")
     stage.drop(*written)
     return blocks
@@ -121,69 +132,78 @@ def _forest(like: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _pairs(forest: bool):
-    """Candidate pairs of each block. Blocks arrive whole, one after another; each has a bounded number of documents."""
-
-    def of_block(docs, sketch, label):
-        order = np.unique(docs, return_index=True)[1]
-        docs, sketch, label = docs[order], sketch[order], label[order]
-        if len(docs) < 2 or (not forest and (label == label[0]).all()):
-            return []
-        like = _estimates(sketch)
-        if forest:
-            got = _forest(like)
-        else:
-            got = np.argwhere(np.triu(like >= CANDIDATE, 1) & (label[:, None] != label[None, :]))
-        return [(docs[i], docs[j]) for i, j in got]
+def _block(frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, sketches and labels of a block; a dense node's pivot is one of them."""
+    docs, label, sketch = frame["doc"].to_numpy(), frame["label"].to_numpy(), frame[SKETCH].to_numpy(dtype=np.int64)
+    if frame["dense"].iloc[0]:
+        first = frame.iloc[0]
+        docs, label = np.append(docs, first["pivot"]), np.append(label, first["pivot_label"])
+        sketch = np.vstack([sketch, frame[[f"p{s}" for s in SKETCH]].iloc[:1].to_numpy(dtype=np.int64)])
+    order = np.unique(docs, return_index=True)[1]
+    return docs[order].astype(np.int64), sketch[order].view(np.uint64), label[order]
+
+
+def _likest(batches):
+    """Pass one: a forest of the likest pairs of each block."""
+    out = []
+    for frame in groups(batches, "node"):
+        docs, sketch, _ = _block(frame)
+        if len(docs) > 1:
+            out += [(docs[i], docs[j]) for i, j in _forest(_estimates(sketch))]
+    pairs = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _open(batches):
+    """Pass two: the documents of a block that have a candidate in another component."""
+    nodes, docs_out, labels = [], [], []
+    for frame in groups(batches, "node"):
+        docs, sketch, label = _block(frame)
+        if len(docs) > 1 and not (label == label[0]).all():
+            hit = ((_estimates(sketch) >= CANDIDATE) & (label[:, None] != label[None, :])).any(axis=1)
+            nodes += [int(frame["node"].iloc[0])] * int(hit.sum())
+            docs_out += docs[hit].tolist()
+            labels += label[hit].tolist()
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, docs_out, labels)], names=["node", "doc", "label"])
+
+
+def _compare(size: int, percent: int):
+    """Links between components of a block, on full sets: each document against all of other components; one link joins two of them."""
 
     def run(batches):
-        import pandas as pd
-
-        rest = None
-        for batch in _then_none(batches):
-            frame = rest if batch is None else batch.to_pandas() if rest is None else pd.concat([rest, batch.to_pandas()])
-            if frame is None or not len(frame):
-                rest = None
-                continue
-            nodes = frame["node"].to_numpy()
-            cuts = np.flatnonzero(np.diff(nodes)) + 1
-            last = len(frame) if batch is None else int(cuts[-1]) if len(cuts) else 0
+        out = []
+        for frame in groups(batches, "node"):
+            label = frame["label"].to_numpy().copy()
             docs = frame["doc"].to_numpy()
-            sketch = frame[SKETCH].to_numpy(dtype=np.int64).view(np.uint64)
-            label = frame["label"].to_numpy()
-            dense = frame["dense"].to_numpy()
-            out = []
-            for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True):
-                if b > last:
+            sets, sizes = shingle_sets(frame["text"].tolist(), size)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            ends = np.cumsum(sizes)
+            tally = {x: n for x, n in zip(*np.unique(label, return_counts=True), strict=True)}
+            for k in sorted(range(len(docs)), key=lambda i: tally[label[i]]):  # the largest component comes last, and has no one left
+                if (label == label[k]).all():
                     break
-                d, s, g = docs[a:b], sketch[a:b], label[a:b]
-                if dense[a]:
-                    first = frame.iloc[a]
-                    d, g = np.append(d, int(first["pivot"])), np.append(g, int(first["pivot_label"]))
-                    s = np.vstack([s, np.array([[int(first[f"p{c}"]) for c in SKETCH]], np.int64).view(np.uint64)])
-                out += of_block(d, s, g)
-            rest = frame.iloc[last:] if batch is not None else None
-            got = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                own = sets[ends[k] - sizes[k] : ends[k]]
+                at = np.minimum(np.searchsorted(own, sets), len(own) - 1)
+                both = np.bincount(owner[own[at] == sets], minlength=len(docs))
+                link = (100 * both >= percent * (sizes + sizes[k] - both)) & (label != label[k])
+                for other in np.unique(label[link]):
+                    out.append((docs[k], docs[np.flatnonzero(link & (label == other))[0]]))
+                    label[label == other] = label[k]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _then_none(batches):
-    yield from batches
-    yield None
-
-
-def _candidates(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Distinct candidate pairs a < b: a spanning forest of each block, or all pairs between different components."""
+def _dealt(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Blocks with their documents' components, one after another in tasks."""
     if labels is None:
         rows = blocks.withColumns({"label": F.col("doc"), "pivot_label": F.col("pivot")})
     else:
         of = labels.select(F.col("node").alias("doc"), F.col("component").alias("label"))
         rows = blocks.join(of, "doc").join(of.select(F.col("doc").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
     columns = ["node", "doc", "label", "dense", "pivot", "pivot_label", *SKETCH, *[f"p{s}" for s in SKETCH]]
-    dealt = rows.select(*columns).repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(_pairs(labels is None), "a long, b long").distinct()
+    return rows.select(*columns).repartition("node").sortWithinPartitions("node")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -225,15 +245,16 @@ def near_duplicates(docs: DataFrame, stage: Stage, size: int = 5, percent: int =
     reps = full.join(classes.select("k0", "k1", F.col("rep").alias("doc_id")), ["k0", "k1", "doc_id"]).select(F.col("doc_id").alias("doc"), "tokens", *SKETCH).dropDuplicates(["doc"])
     reps = stage.write(reps, "reps")
     blocks = _blocks(reps, stage)
-    first = stage.write(_candidates(blocks, None), "pairs-1")
+    first = stage.write(_dealt(blocks, None).mapInArrow(_likest, "a long, b long").distinct(), "pairs")
     wanted = first.select("a").union(first.select("b")).distinct().withColumnRenamed("a", "doc_id")
     texts = stage.write(slim.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"]), "texts")
-    links = stage.write(_confirm(first, texts, size, percent), "links-1")
-    labels = stage.write(wanted.withColumnRenamed("doc_id", "node").join(components(links, stage, "c1"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels-1")
-    second = stage.write(_candidates(blocks, labels).join(first, ["a", "b"], "left_anti"), "pairs-2")
-    more = stage.write(_confirm(second, texts, size, percent), "links-2")
-    joined = components(links.union(more), stage, "c2").select(F.col("node").alias("rep"), "component")
-    stage.drop("blocks", "texts", "reps", "pairs-1", "pairs-2")
+    links = stage.write(_confirm(first, texts, size, percent), "links")
+    labels = stage.write(wanted.withColumnRenamed("doc_id", "node").join(components(links, stage, "c1"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+    still = stage.write(_dealt(blocks, labels).mapInArrow(_open, "node long, doc long, label long"), "open")
+    more = still.join(texts, "doc").repartition("node").sortWithinPartitions("node").mapInArrow(_compare(size, percent), "a long, b long")
+    every = stage.write(links.union(more), "all")
+    joined = stage.write(components(every, stage, "c2"), "joined").select(F.col("node").alias("rep"), "component")
+    stage.drop("blocks", "texts", "reps", "pairs", "open", "links", "labels", "all")
     found = members.join(joined, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

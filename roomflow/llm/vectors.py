@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomflow.llm.common import Stage
+from roomflow.llm.common import Stage, groups
 from roomflow.llm.components import components
 
 #: Share of pairs at the threshold that may be missed; vectors in a block of a large bucket; sketch bits.
@@ -57,28 +57,12 @@ def _signed(bits: int, tables: int):
     return run
 
 
-def _groups(batches, columns: list[str]):
-    """Blocks of rows with one ``block``, which arrive one after another; each has a bounded number of rows."""
-    import pandas as pd
-
-    rest = None
-    for batch in batches:
-        frame = batch.to_pandas()[columns] if rest is None else pd.concat([rest, batch.to_pandas()[columns]])
-        block = frame["block"].to_numpy()
-        cuts = np.flatnonzero(np.diff(block)) + 1
-        for a, b in zip([0, *cuts], cuts, strict=False):
-            yield frame.iloc[a:b]
-        rest = frame.iloc[cuts[-1] if len(cuts) else 0 :]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _near(most: int):
     """Rows of a block that have a candidate partner by their sketches."""
 
     def run(batches):
         out: list[tuple] = []
-        for g in _groups(batches, ["block", "rep", "first", "sketch"]):
+        for g in groups(batches, "block"):
             if len(g) < 2:
                 continue
             s = np.stack(g["sketch"].to_numpy()).view(np.uint64)
@@ -98,7 +82,7 @@ def _linked(threshold: float):
     """
 
     def run(batches):
-        for g in _groups(batches, ["block", "rep", "first", "table", "side", "other", "size", "vector", "keys"]):
+        for g in groups(batches, "block"):
             if len(g) < 2:
                 continue
             v, rep, size = np.stack(g["vector"].to_numpy()), g["rep"].to_numpy(), g["size"].to_numpy()
