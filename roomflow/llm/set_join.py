@@ -8,7 +8,8 @@ the pivot, and the others branch again.
 
 Comparison has two passes. First, sketches give each block a forest of its likest pairs, and those are confirmed on full shingle sets.
 Then, in blocks that still hold several components with candidates between them, the full sets of those documents are compared with
-each other in place. So no pass emits all pairs of a group.
+each other in place; in a dense node, the documents outside its largest component meet all its blocks. So no pass emits all pairs of a
+group.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
 
 
 def _blocks(reps: DataFrame, stage: Stage) -> DataFrame:
-    """Runs the trees; gives (block as node, doc, sketch, whether dense, pivot, pivot's sketch) of all small nodes and of dense ones' blocks."""
+    """Runs the trees; gives (block as node, dense node and its parts and part, doc, sketch, whether dense, pivot, pivot's sketch) of all small nodes and of dense ones' blocks."""
     roots = reps.select("doc", "tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")).select("doc", "tokens", F.xxhash64("tree").alias("node"))
     rows, found, written = roots, None, []
     for level in range(1, LEVELS + 1):
@@ -93,10 +94,10 @@ def _blocks(reps: DataFrame, stage: Stage) -> DataFrame:
         pivots = sizes.where(f"n > {SMALL}").join(reps.select(F.col("doc").alias("pivot"), *[F.col(s).alias(f"p{s}") for s in SKETCH]), "pivot").select("node", *[f"p{s}" for s in SKETCH])
         large = held.where(f"n > {SMALL}").join(pivots, "node").withColumn("like", _likeness([f"p{s}" for s in SKETCH]))
         dense = large.where(F.lit(level == LEVELS) | (F.col("like") >= LIKE_PIVOT))
-        at = F.pmod(F.xxhash64("doc", F.lit(level)), F.ceil(F.col("n") / DENSE_BLOCK).cast("long"))
         none = F.lit(0).cast("long")
-        small = held.where(f"n <= {SMALL}").select("node", "doc", *SKETCH, F.lit(False).alias("dense"), none.alias("pivot"), *[none.alias(f"p{s}") for s in SKETCH])
-        dense = dense.select(F.xxhash64("node", at).alias("node"), "doc", *SKETCH, F.lit(True).alias("dense"), "pivot", *[f"p{s}" for s in SKETCH])
+        small = held.where(f"n <= {SMALL}").select("node", none.alias("parent"), none.alias("parts"), none.alias("part"), "doc", *SKETCH, F.lit(False).alias("dense"), none.alias("pivot"), *[none.alias(f"p{s}") for s in SKETCH])
+        dense = dense.withColumn("parts", F.ceil(F.col("n") / DENSE_BLOCK).cast("long")).withColumn("part", F.pmod(F.xxhash64("doc", F.lit(level)), F.col("parts")))
+        dense = dense.select(F.xxhash64("node", "part").alias("node"), F.col("node").alias("parent"), "parts", "part", "doc", *SKETCH, F.lit(True).alias("dense"), "pivot", *[f"p{s}" for s in SKETCH])
         both = small.unionByName(dense)
         found = both if found is None else found.unionByName(both)
         written += [f"sizes-{level}", f"held-{level}"]
@@ -195,15 +196,27 @@ def _compare(size: int, percent: int):
     return run
 
 
-def _dealt(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Blocks with their documents' components, one after another in tasks."""
-    if labels is None:
-        rows = blocks.withColumns({"label": F.col("doc"), "pivot_label": F.col("pivot")})
-    else:
-        of = labels.select(F.col("node").alias("doc"), F.col("component").alias("label"))
-        rows = blocks.join(of, "doc").join(of.select(F.col("doc").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-    columns = ["node", "doc", "label", "dense", "pivot", "pivot_label", *SKETCH, *[f"p{s}" for s in SKETCH]]
-    return rows.select(*columns).repartition("node").sortWithinPartitions("node")
+def _first_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks for pass one, one after another in tasks; every document is a component of its own."""
+    rows = blocks.withColumns({"label": F.col("doc"), "pivot_label": F.col("pivot")})
+    return rows.select("node", "doc", "label", "dense", "pivot", "pivot_label", *SKETCH, *[f"p{s}" for s in SKETCH]).repartition("node").sortWithinPartitions("node")
+
+
+def _second_blocks(blocks: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
+    """Blocks for pass two. In a dense node, the documents outside its largest component meet every part of the node.
+
+    A part of them and a part of the node make a block; a node that is connected already makes none.
+    """
+    rows = stage.write(blocks.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc").select("node", "parent", "parts", "part", "dense", "doc", "label", *SKETCH), "labelled")
+    dense = rows.where("dense")
+    counts = dense.groupBy("parent", "label").agg(F.count("*").alias("n")).groupBy("parent").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    open_nodes = counts.select("parent", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / DENSE_BLOCK).cast("long").alias("groups")).where("groups > 0")
+    held = stage.write(dense.join(open_nodes, "parent").withColumn("group", F.pmod(F.xxhash64("doc", F.lit("outside")), F.col("groups"))), "outside")
+    inside = held.select("parent", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), "doc", "label", *SKETCH)
+    outside = held.where("label <> main").select("parent", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "group", "doc", "label", *SKETCH)
+    both = inside.unionByName(outside).select(F.xxhash64("parent", "part", "group").alias("node"), "doc", "label", *SKETCH)
+    every = rows.where("NOT dense").select("node", "doc", "label", *SKETCH).unionByName(both).withColumn("dense", F.lit(False))
+    return every.repartition("node").sortWithinPartitions("node")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -245,16 +258,16 @@ def near_duplicates(docs: DataFrame, stage: Stage, size: int = 5, percent: int =
     reps = full.join(classes.select("k0", "k1", F.col("rep").alias("doc_id")), ["k0", "k1", "doc_id"]).select(F.col("doc_id").alias("doc"), "tokens", *SKETCH).dropDuplicates(["doc"])
     reps = stage.write(reps, "reps")
     blocks = _blocks(reps, stage)
-    first = stage.write(_dealt(blocks, None).mapInArrow(_likest, "a long, b long").distinct(), "pairs")
+    first = stage.write(_first_blocks(blocks).mapInArrow(_likest, "a long, b long").distinct(), "pairs")
     wanted = first.select("a").union(first.select("b")).distinct().withColumnRenamed("a", "doc_id")
     texts = stage.write(slim.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"]), "texts")
     links = stage.write(_confirm(first, texts, size, percent), "links")
     labels = stage.write(wanted.withColumnRenamed("doc_id", "node").join(components(links, stage, "c1"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-    still = stage.write(_dealt(blocks, labels).mapInArrow(_open, "node long, doc long, label long"), "open")
+    still = stage.write(_second_blocks(blocks, labels, stage).mapInArrow(_open, "node long, doc long, label long"), "open")
     more = still.join(texts, "doc").repartition("node").sortWithinPartitions("node").mapInArrow(_compare(size, percent), "a long, b long")
     every = stage.write(links.union(more), "all")
     joined = stage.write(components(every, stage, "c2"), "joined").select(F.col("node").alias("rep"), "component")
-    stage.drop("blocks", "texts", "reps", "pairs", "open", "links", "labels", "all")
+    stage.drop("blocks", "texts", "reps", "pairs", "open", "links", "labels", "labelled", "outside", "all")
     found = members.join(joined, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
