@@ -294,10 +294,48 @@ def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.score(model, t.where("split = 'test'"), _MODEL, "label").select("row_id", "prediction", F.round("confidence", 6).alias("confidence"), "correct")
 
 
-@query("L7 L8 L9 E11 E12")
+@query("L8 L9")
 def stacked_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators import models
 
     t = stages.clean_rooms(rooms(spark, sf_dir)).select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people"))
     fitted = models.stacked_regression(t, "label", ["area", "people"], "row_id", folds=2)
     return evaluate.price_gap(models.predict_stacked(fitted, t, ["area", "people"]), "price", "prediction").select("row_id", F.round("gap", 2).alias("gap"))
+
+
+@query("L7")
+def tuned_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.operators import models
+
+    t = stages.clean_rooms(rooms(spark, sf_dir)).select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people"))
+    best = models.price_regression(t, "label", ["area", "people"], folds=2)
+    return evaluate.price_gap(best.transform(models.assemble(t, ["area", "people"])), "price", "prediction").select("row_id", F.round("gap", 2).alias("gap"))
+
+
+@query("L5")
+def stored_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    from roomflow.operators import models
+    from roomflow.sources.places import shared_folder
+
+    t = _training(spark, sf_dir).persist()
+    model, _, _ = models.random_forest(t.where("split = 'train'"), t.where("split = 'validation'"), _MODEL, "label", trees=(5,), depth=4)
+    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    models.save(model, path)
+    return models.score(RandomForestClassificationModel.load(path), t.where("split = 'test'"), _MODEL, "label").select("row_id", "prediction", F.round("confidence", 6).alias("confidence"))
+
+
+@query("E11 E12", f"""
+    WITH {_CLEAN}, p AS (SELECT row_id, room_class, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE price END AS price FROM clean), f AS (SELECT row_id, room_class, coalesce(price, (SELECT quantile_disc(price, 0.5) FROM p)) AS price FROM p), m AS (SELECT avg(price) AS mean, stddev_samp(price) AS sd FROM f)
+    SELECT row_id, round((price - mean) / sd, 2) AS x, {', '.join(f"CASE WHEN room_class = '{c}' THEN 1.0 ELSE 0.0 END AS h{i}" for i, c in enumerate(('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD')))} FROM f, m""")
+def prepared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    from roomflow.operators import models
+
+    t = stages.clean_rooms(rooms(spark, sf_dir)).select("row_id", "room_class", F.when(F.col("l_linenumber") % 5 != 0, F.col("price")).alias("price"))
+    out = models.preparation(["price"], ["room_class"], median_error=0.0).fit(t).transform(t).withColumn("v", vector_to_array("features"))
+    return out.select("row_id", F.round(F.col("v")[0], 2).alias("x"), *[F.col("v")[i + 1].alias(f"h{i}") for i in range(6)])
