@@ -145,12 +145,12 @@ def test_shape_and_conform(spark):
 
 
 def test_pages(spark):
-    html = '<h1 class="x">Khách <b>sạn</b></h1><span>9,5<svg/></span><span>8.1</span><span>12 Lê Lợi, Quận 1, Việt Nam</span><p>1.234 đánh giá -18% 2.894.667 ₫</p><ul><li>Wifi</li><li>Pool</li><li>Wifi</li></ul><a href="/khach-san/12-a.html#x">a</a>'
+    html = '<h1 class="x">Khách <b>sạn</b></h1><span>9,5<svg/></span><span>8.1</span><span>12 Lê Lợi, Quận 1, Việt Nam</span><p>1.234 đánh giá -18% 2.894.667 ₫</p><ul><li>Wifi</li><li>Pool</li><li>Wifi</li></ul><a href="/hotel/12-a.html#x">a</a>'
     df = spark.createDataFrame([(html,), (None,), ("",)], "h string")
     h = F.col("h")
     r = df.select(pages.name(h), pages.rating(h), pages.address(h), pages.reviews(h), pages.discount(h), pages.list_prices(h), pages.amenities(h)).first()
     assert tuple(r) == ("Khách sạn", "9,5", "12 Lê Lợi, Quận 1, Việt Nam", "1234", "-18%", ["2.894.667 ₫"], "Wifi | Pool")
-    assert [x[0] for x in pages.links(df, "h", "https://mytour.example", "mytour.example", r"^/khach-san/\d+-.*\.html$").collect()] == ["https://mytour.example/khach-san/12-a.html"]
+    assert [x[0] for x in pages.links(df, "h", "https://stay.example", "stay.example", r"^/hotel/\d+-.*\.html$").collect()] == ["https://stay.example/hotel/12-a.html"]
     assert df.select(pages.facility_lines(F.lit("Wifi\nĐóng\n x \nPool"))).first()[0] == "Wifi, Pool"
 
 
