@@ -90,17 +90,18 @@ def part_offsets(df: DataFrame, weight: Column) -> DataFrame:
 
 
 def groups(batches, key: str):
-    """Pandas frames of rows with one key, from Arrow batches that are sorted by it; a group must be of bounded size."""
+    """Rows with one key as arrays by column, from Arrow batches that are sorted by the key; a group must be of bounded size."""
     import numpy as np
-    import pandas as pd
 
-    rest = None
+    rest: dict = {}
     for batch in batches:
-        frame = batch.to_pandas() if rest is None else pd.concat([rest, batch.to_pandas()], ignore_index=True)
-        keys = frame[key].to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        columns = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+        if rest:
+            columns = {name: np.concatenate([rest[name], c]) for name, c in columns.items()}
+        keys = columns[key]
+        cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
         for a, b in zip([0, *cuts], cuts, strict=False):
-            yield frame.iloc[a:b]
-        rest = frame.iloc[cuts[-1] if len(cuts) else 0 :]
-    if rest is not None and len(rest):
+            yield {name: c[a:b] for name, c in columns.items()}
+        rest = {name: c[cuts[-1] if cuts else 0 :] for name, c in columns.items()}
+    if rest and len(rest[key]):
         yield rest

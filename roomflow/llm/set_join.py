@@ -121,6 +121,8 @@ def _estimates(sketch: np.ndarray) -> np.ndarray:
 def _forest(like: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a forest that spans all pairs of at least ``CANDIDATE``, likest first (Prim)."""
     n = len(like)
+    if n == 2:
+        return [(0, 1)] if like[0, 1] >= CANDIDATE else []
     best, origin, out = np.full(n, -1.0), np.zeros(n, np.int64), []
     waiting = np.ones(n, bool)
     for _ in range(n):
@@ -133,22 +135,21 @@ def _forest(like: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _block(frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, sketches and labels of a block; a dense node's pivot is one of them."""
-    docs, label, sketch = frame["doc"].to_numpy(), frame["label"].to_numpy(), frame[SKETCH].to_numpy(dtype=np.int64)
-    if frame["dense"].iloc[0]:
-        first = frame.iloc[0]
-        docs, label = np.append(docs, first["pivot"]), np.append(label, first["pivot_label"])
-        sketch = np.vstack([sketch, frame[[f"p{s}" for s in SKETCH]].iloc[:1].to_numpy(dtype=np.int64)])
+    docs, label, sketch = rows["doc"], rows["label"], np.stack([rows[s] for s in SKETCH], axis=1)
+    if rows["dense"][0]:
+        docs, label = np.append(docs, rows["pivot"][0]), np.append(label, rows["pivot_label"][0])
+        sketch = np.vstack([sketch, [[rows[f"p{s}"][0] for s in SKETCH]]])
     order = np.unique(docs, return_index=True)[1]
-    return docs[order].astype(np.int64), sketch[order].view(np.uint64), label[order]
+    return docs[order], sketch[order].view(np.uint64), label[order]
 
 
 def _likest(batches):
     """Pass one: a forest of the likest pairs of each block."""
     out = []
-    for frame in groups(batches, "node"):
-        docs, sketch, _ = _block(frame)
+    for rows in groups(batches, "node"):
+        docs, sketch, _ = _block(rows)
         if len(docs) > 1:
             out += [(docs[i], docs[j]) for i, j in _forest(_estimates(sketch))]
     pairs = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
@@ -158,13 +159,14 @@ def _likest(batches):
 def _open(batches):
     """Pass two: the documents of a block that have a candidate in another component."""
     nodes, docs_out, labels = [], [], []
-    for frame in groups(batches, "node"):
-        docs, sketch, label = _block(frame)
-        if len(docs) > 1 and not (label == label[0]).all():
-            hit = ((_estimates(sketch) >= CANDIDATE) & (label[:, None] != label[None, :])).any(axis=1)
-            nodes += [int(frame["node"].iloc[0])] * int(hit.sum())
-            docs_out += docs[hit].tolist()
-            labels += label[hit].tolist()
+    for rows in groups(batches, "node"):
+        if (rows["label"] == rows["label"][0]).all():
+            continue
+        docs, sketch, label = _block(rows)
+        hit = ((_estimates(sketch) >= CANDIDATE) & (label[:, None] != label[None, :])).any(axis=1)
+        nodes += [int(rows["node"][0])] * int(hit.sum())
+        docs_out += docs[hit].tolist()
+        labels += label[hit].tolist()
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, docs_out, labels)], names=["node", "doc", "label"])
 
 
@@ -173,10 +175,9 @@ def _compare(size: int, percent: int):
 
     def run(batches):
         out = []
-        for frame in groups(batches, "node"):
-            label = frame["label"].to_numpy().copy()
-            docs = frame["doc"].to_numpy()
-            sets, sizes = shingle_sets(frame["text"].tolist(), size)
+        for rows in groups(batches, "node"):
+            label, docs = rows["label"].copy(), rows["doc"]
+            sets, sizes = shingle_sets(rows["text"].tolist(), size)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             ends = np.cumsum(sizes)
             tally = {x: n for x, n in zip(*np.unique(label, return_counts=True), strict=True)}
@@ -260,7 +261,7 @@ def near_duplicates(docs: DataFrame, stage: Stage, size: int = 5, percent: int =
     blocks = _blocks(reps, stage)
     first = stage.write(_first_blocks(blocks).mapInArrow(_likest, "a long, b long").distinct(), "pairs")
     wanted = first.select("a").union(first.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    texts = stage.write(slim.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"]), "texts")
+    texts = stage.write(slim.where("doc_id IS NOT NULL").join(wanted.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"]), "texts")
     links = stage.write(_confirm(first, texts, size, percent), "links")
     labels = stage.write(wanted.withColumnRenamed("doc_id", "node").join(components(links, stage, "c1"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
     still = stage.write(_second_blocks(blocks, labels, stage).mapInArrow(_open, "node long, doc long, label long"), "open")

@@ -63,13 +63,13 @@ def _near(most: int):
     def run(batches):
         out: list[tuple] = []
         for g in groups(batches, "block"):
-            if len(g) < 2:
+            if len(g["block"]) < 2:
                 continue
-            s = np.stack(g["sketch"].to_numpy()).view(np.uint64)
+            s = np.stack(g["sketch"]).view(np.uint64)
             close = np.bitwise_count(s[:, None, :] ^ s[None, :, :]).sum(axis=2) <= most
             np.fill_diagonal(close, False)
             hit = close.any(axis=1)
-            out += list(zip(g["block"].to_numpy()[hit].tolist(), g["rep"].to_numpy()[hit].tolist(), g["first"].to_numpy()[hit].tolist(), strict=True))
+            out += list(zip(g["block"][hit].tolist(), g["rep"][hit].tolist(), g["first"][hit].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["block", "rep", "first"])
 
     return run
@@ -83,19 +83,19 @@ def _linked(threshold: float):
 
     def run(batches):
         for g in groups(batches, "block"):
-            if len(g) < 2:
+            if len(g["block"]) < 2:
                 continue
-            v, rep, size = np.stack(g["vector"].to_numpy()), g["rep"].to_numpy(), g["size"].to_numpy()
+            v, rep, size = np.stack(g["vector"]), g["rep"], g["size"]
             norm = np.sqrt((v * v).sum(axis=1))
             link = (v @ v.T) / (norm[:, None] * norm[None, :]) >= threshold
             np.fill_diagonal(link, False)
-            side, other = g["side"].to_numpy(), g["other"].to_numpy()
+            side, other = g["side"], g["other"]
             if side[0] != other[0]:  # a block of two parts compares across
-                link &= g["first"].to_numpy()[:, None] != g["first"].to_numpy()[None, :]
-            table = int(g["table"].iloc[0])
+                link &= g["first"][:, None] != g["first"][None, :]
+            table = int(g["table"][0])
             a, b = np.nonzero(link)
             if table and len(a):
-                keys = np.stack(g["keys"].to_numpy())[:, :table]
+                keys = np.stack(g["keys"])[:, :table]
                 new = np.concatenate([~(keys[a[i : i + 65_536]] == keys[b[i : i + 65_536]]).any(axis=1) for i in range(0, len(a), 65_536)])
                 a, b = a[new], b[new]
             if not len(a):
