@@ -25,17 +25,19 @@ def words_line(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def spot_set(text: Column) -> Column:
-    """Sorted distinct 32-bit hashes of a text's spot signatures.
+def with_spots(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the sorted distinct 32-bit hashes of a text's spot signatures.
 
     A signature is an anchor and the next two content words; anchors between them are passed over, up to four in a row (a fifth takes a
-    place in the chain). A text without any
-    signature has the hash of its whole line of words as its one element, or, without words, that of the text itself.
+    place in the chain). A text without any signature has the hash of its whole line of words as its one element, or, without words,
+    that of the text itself. Each step is a column of its own, so that no expression is computed twice.
     """
-    spots = F.regexp_extract_all(words_line(text), F.lit(_SPOT), F.lit(1))
-    hashed = F.transform(spots, lambda c: F.pmod(F.xxhash64(F.regexp_replace(c, _INNER, " ")), F.lit(1 << 32)))
-    whole = F.when(F.trim(words_line(text)) == "", F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(words_line(text), F.lit(2)))
-    return F.array_sort(F.array_distinct(F.when(F.size(spots) > 0, hashed).otherwise(F.array(F.pmod(whole, F.lit(1 << 32))))))
+    lined = df.withColumn("__line", words_line(F.col(text)))
+    found = lined.withColumn("__found", F.regexp_extract_all("__line", F.lit(_SPOT), F.lit(1)))
+    hashes = F.transform("__found", lambda c: F.pmod(F.xxhash64(F.regexp_replace(c, _INNER, " ")), F.lit(1 << 32)))
+    whole = F.when(F.trim("__line") == "", F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64("__line", F.lit(2)))
+    spots = F.when(F.size("__found") > 0, F.array_sort(F.array_distinct(hashes))).otherwise(F.array(F.pmod(whole, F.lit(1 << 32))))
+    return found.withColumn(out, spots).drop("__line", "__found")
 
 
 def as_text(spots: Column) -> Column:
@@ -51,7 +53,7 @@ def likeness(a: Column, b: Column, least: float = 0.1) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, most_parts: int = 1024, rows_in_part: int = 1000) -> DataFrame:
-    """Adds ``next_text``: the text of the row after, in descending id order; after the last comes the first.
+    """Adds ``next_text``, the text of the row after, and the spots of both; in descending id order, after the last comes the first.
 
     Ids are cut into ranges at quantiles, so texts are shuffled once, by range; each range also gets the first row of the range
     after it. Only the ranges' bounds (``most_parts`` at most) come to the driver.
@@ -68,7 +70,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, most_parts: int = 102
     heads = heads.select(F.col("part").alias("to"), F.col("head.tie").alias("tie"), F.col("head.col1").alias("head_id"))
     guests = placed.join(F.broadcast(heads), (placed["tie"] == heads["tie"]) & (F.coalesce(placed["doc_id"], F.lit(-(1 << 63))) == heads["head_id"])).select("doc_id", "text", F.col("to").alias("part"), placed["tie"], F.lit(True).alias("guest"))
     within = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
-    return placed.withColumn("guest", F.lit(False)).unionByName(guests).repartition("part").withColumn("next_text", F.lead("text").over(within)).withColumn("spots", spot_set(F.col("text"))).withColumn("next_spots", F.lead("spots").over(within)).where("NOT guest")
+    both = placed.withColumn("guest", F.lit(False)).unionByName(guests).repartition("part").withColumn("next_text", F.lead("text").over(within))
+    return with_spots(both, "text", "spots").withColumn("next_spots", F.lead("spots").over(within)).where("NOT guest")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.substring(F.col("next_text"), F.lit(1), third))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots", edited.alias("edited"))
-    rows = rows.withColumn("edited_spots", spot_set(F.col("edited")))
+    rows = with_spots(rows, "edited", "edited_spots")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("spots")).alias("fingerprint"), as_text(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
@@ -96,7 +99,7 @@ def near_pairs(docs: DataFrame, stage: Stage, least: float = 0.44, id_col: str =
     Sets are partitioned by length so that only lengths within a factor ``least`` meet; an element's rank by rarity prunes:
     a pair must share one of the rarest elements of both (prefix filter), and is then compared in full.
     """
-    sets = docs.select(F.col(id_col).alias("id"), spot_set(F.coalesce(F.col(text_col), F.lit(""))).alias("spots"))
+    sets = with_spots(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "spots").select("id", "spots")
     sets = stage.write(sets.groupBy("spots").agg(F.min("id").alias("id")).withColumn("n", F.size("spots")), "sets")
     counts = sets.select(F.explode("spots").alias("spot")).groupBy("spot").agg(F.count("*").alias("held"))
     ranked = sets.select("id", "n", F.explode("spots").alias("spot")).join(counts, "spot")
