@@ -93,12 +93,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-z)), at, float(gains[at]), len(gains)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights by Newton's method with a small ridge."""
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights by Newton's method with a small ridge; each row counts as so many ``rows``, which are scaled to 1 on average."""
+    w, rows = np.zeros(x.shape[1]), rows / rows.mean()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (rows * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -113,11 +113,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Learns from labelled documents outside the held-out fold.
 
     The ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` labelled ids that come first by a hash are the sample; only their texts come to the driver.
-    Labels other than 0 and 1, null texts and ids without a document are passed over. Without labels of both kinds every score is the
+    In the calibration each kind weighs as much as its documents among all training labels (the sample tells what share of the labels
+    has a document), so that a score is a chance at the labels' own odds, whatever the bounds cut off. Labels other than 0 and 1, null texts and ids without a document are passed over. Without labels of both kinds every score is the
     share of toxic labels.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    counts = dict(known.groupBy("toxic").count().collect())  # two rows
     order = F.xxhash64("id", F.lit("toxicity"))
     sample = known.where("toxic = 1").orderBy(order).limit(TOXIC_DOCS).union(known.where("toxic = 0").orderBy(order).limit(ORDINARY_DOCS))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id").toPandas()  # at most the sample's rows
@@ -142,7 +144,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     model = ToxicityModel(_train(TOXIC_BYTES, spans), _train(ORDINARY_BYTES, plain), np.zeros(6))
     rest = [(t, 1) for t in toxic[half:] or toxic] + [(t, 0) for t in ordinary[most:] or ordinary]
     x = np.stack([model.features(model.gains(t)) for t, _ in rest])
-    model.weights = _logistic(x, np.array([y for _, y in rest], float))
+    y = np.array([y for _, y in rest], float)
+    held = {1: len(toxic) * counts[1] / min(counts[1], TOXIC_DOCS), 0: len(ordinary) * counts[0] / min(counts[0], ORDINARY_DOCS)}
+    model.weights = _logistic(x, y, np.where(y == 1, held[1] / (y == 1).sum(), held[0] / (y == 0).sum()))
     return model
 
 

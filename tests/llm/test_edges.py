@@ -107,6 +107,20 @@ def test_toxicity_held_out(spark, sf):
     assert got[got.predicted == 1].toxic.mean() > 0.85 and got[got.toxic == 1].predicted.mean() > 0.8
 
 
+@pytest.mark.parametrize("most", [(1400, 4500), (60, 60)])
+def test_toxicity_keeps_the_odds_of_the_labels(spark, monkeypatch, most):
+    """Where texts tell nothing, the score is the share of toxic labels, below the bounds of the fit and above them."""
+    from roomflow.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "TOXIC_DOCS", most[0])
+    monkeypatch.setattr(toxicity, "ORDINARY_DOCS", most[1])
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 50, 40)), int(i % 10 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scores = toxicity.score_toxicity(df, toxicity.fit_toxicity(df, df)).toPandas().score
+    assert 0.07 < scores.mean() < 0.13
+
+
 def test_spots(spark, docs, none):
     from roomflow.llm.spots import fingerprints, near_pairs
 
