@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roomflow.llm.common import Stage
 from roomflow.llm.langid import UNDETERMINED, fit, language_of
 from roomflow.llm.packing import pack
-from roomflow.llm.set_join import near_duplicates
+from roomflow.llm.set_join import distinct_documents
 from roomflow.llm.toxicity import THRESHOLD, fit_toxicity, toxicity_of
 
 
@@ -28,9 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    kept = near_duplicates(docs, Stage(spark, "pipeline-near"), size=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id, or one without id where none has any."""
+    return distinct_documents(docs, Stage(spark, "pipeline-near"), size=5, percent=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

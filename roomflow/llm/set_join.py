@@ -52,8 +52,8 @@ def _signatures(size: int):
                 nibbles = (full & np.uint32(15)).astype(np.uint64).reshape(len(sizes), 4, 16)
                 sketch = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * TOKENS, pa.int32()), pa.array(full.ravel().view(np.int32)))
-                columns = [piece.column("doc_id"), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *(pa.array(sketch[:, k]) for k in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k0", "k1", "tokens", *SKETCH])
+                columns = [piece.column("doc_id"), piece.column("text_key"), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *(pa.array(sketch[:, k]) for k in range(4))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "k0", "k1", "tokens", *SKETCH])
 
     return run
 
@@ -242,33 +242,73 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, stage: Stage, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows are known by their id and a hash of their text; rows that have both in common are copies."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
 
-    Documents link when the Jaccard similarity of their shingle sets is at least ``percent`` / 100; component_id is the
-    smallest id that a document reaches over links. A null or empty text, or one without words, has no shingle and links with
-    nothing. Texts shorter than a shingle count as one shingle. Repeated rows stay and share their component. Ids
-    are meant to be unique; texts under one id are compared through one of them. A row without id keeps a null
-    component and is not kept. An empty table gives an empty result. Other columns are ignored. Very long texts are used whole.
+
+def _linked(docs: DataFrame, stage: Stage, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, the classes (doc, k0, k1, first row's rep and text_key, its copies) and, for classes with links, their component.
+
+    Classes get numbers of their own, so ids may be null or repeated.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage.write(slim.mapInArrow(_signatures(size), "doc_id long, n_shingles long, k0 long, k1 long, tokens array<int>, " + ", ".join(f"{s} long" for s in SKETCH)), "signed")
-    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stage.write(full.groupBy("k0", "k1").agg(F.min("doc_id").alias("rep")), "classes")
-    members = stage.write(full.select("doc_id", "n_shingles", "k0", "k1").join(classes, ["k0", "k1"]).select("doc_id", "n_shingles", "rep"), "members")
-    reps = full.join(classes.select("k0", "k1", F.col("rep").alias("doc_id")), ["k0", "k1", "doc_id"]).select(F.col("doc_id").alias("doc"), "tokens", *SKETCH).dropDuplicates(["doc"])
+    slim = _rows(docs, id_col, text_col)
+    signed = stage.write(slim.mapInArrow(_signatures(size), "doc_id long, text_key long, n_shingles long, k0 long, k1 long, tokens array<int>, " + ", ".join(f"{s} long" for s in SKETCH)), "signed")
+    full = signed.where("n_shingles > 0")
+    first_row = [F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key")]
+    classes = stage.write(full.groupBy("k0", "k1").agg(*first_row).withColumn("doc", F.monotonically_increasing_id()), "classes")
+    same = F.col("doc_id").eqNullSafe(F.col("rep"))
+    reps = full.join(classes, ["k0", "k1", "text_key"]).where(same).groupBy("doc").agg(F.first("tokens").alias("tokens"), *[F.first(s).alias(s) for s in SKETCH], F.count("*").alias("copies"))
     reps = stage.write(reps, "reps")
     blocks = _blocks(reps, stage)
     first = stage.write(_first_blocks(blocks).mapInArrow(_likest, "a long, b long").distinct(), "pairs")
-    wanted = first.select("a").union(first.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    texts = stage.write(slim.where("doc_id IS NOT NULL").join(wanted.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"]), "texts")
+    wanted = first.select("a").union(first.select("b")).distinct().withColumnRenamed("a", "doc")
+    sought = wanted.join(classes.select("doc", "rep", F.col("text_key").alias("key")), "doc")
+    texts = stage.write(slim.join(sought.hint("merge"), same & (F.col("text_key") == F.col("key"))).select("doc", "text").dropDuplicates(["doc"]), "texts")
     links = stage.write(_confirm(first, texts, size, percent), "links")
-    labels = stage.write(wanted.withColumnRenamed("doc_id", "node").join(components(links, stage, "c1"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+    labels = stage.write(wanted.withColumnRenamed("doc", "node").join(components(links, stage, "c1"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
     still = stage.write(_second_blocks(blocks, labels, stage).mapInArrow(_open, "node long, doc long, label long"), "open")
     more = still.join(texts, "doc").repartition("node").sortWithinPartitions("node").mapInArrow(_compare(size, percent), "a long, b long")
     every = stage.write(links.union(more), "all")
-    joined = stage.write(components(every, stage, "c2"), "joined").select(F.col("node").alias("rep"), "component")
-    stage.drop("blocks", "texts", "reps", "pairs", "open", "links", "labels", "labelled", "outside", "all")
-    found = members.join(joined, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = stage.write(components(every, stage, "c2").withColumnRenamed("node", "doc").join(classes.select("doc", "rep"), "doc"), "joined")
+    classes = stage.write(classes.join(reps.select("doc", "copies"), "doc"), "known")
+    stage.drop("blocks", "texts", "reps", "pairs", "open", "links", "labels", "labelled", "outside", "all", "classes")
+    return signed, classes, joined
+
+
+def near_duplicates(docs: DataFrame, stage: Stage, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents link when the Jaccard similarity of their shingle sets is at least ``percent`` / 100; component_id is the
+    smallest id that a document reaches over links. A null or empty text, or one without words, has no shingle and links with
+    nothing. Texts shorter than a shingle count as one shingle. Repeated rows stay and share their component. Each row
+    is compared by its text, whatever its id: texts under one id are documents of their own, and a row without id links
+    like any other, has a component_id where it reaches an id, and is never marked as kept (see ``distinct_documents``).
+    An empty table gives an empty result. Other columns are ignored. Very long texts are used whole.
+    """
+    signed, classes, joined = _linked(docs, stage, size, percent, id_col, text_col)
+    tops = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = classes.select("k0", "k1", "doc", "rep").join(joined.select("doc", "component").join(tops, "component"), "doc", "left").select("k0", "k1", F.coalesce("component_id", "rep").alias("component_id"))
+    ids = stage.write(ids, "ids")
+    found = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "k0", "k1").join(ids, ["k0", "k1"]).select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def distinct_documents(docs: DataFrame, stage: Stage, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each component of near-duplicates: the one with the smallest id.
+
+    A row without id comes after those with one and stays where its component has no other; under one id the text with the
+    smallest hash stays, and of equal rows one. Rows without words link with nothing and all stay.
+    """
+    signed, classes, joined = _linked(docs, stage, size, percent, id_col, text_col)
+    ranked = classes.join(joined.select("doc", "component"), "doc", "left").select(F.coalesce("component", "doc").alias("component"), F.struct(F.isnull("rep").alias("none"), "rep", "text_key", "copies").alias("row"))
+    rows = ranked.groupBy("component").agg(F.min("row").alias("row")).select("row.rep", F.col("row.text_key").alias("key"), "row.copies")
+    wordless = signed.where("n_shingles = 0").select(F.col("doc_id").alias("rep"), F.col("text_key").alias("key"), F.lit(1).cast("long").alias("copies")).distinct()
+    rows = stage.write(rows.unionByName(wordless), "rows")
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text_col)})
+    same = F.col("__id").eqNullSafe(F.col("rep")) & (F.col("__key") == F.col("key"))
+    kept = keyed.join(rows.where("copies = 1"), same, "left_semi")
+    if not rows.where("copies > 1").isEmpty():
+        kept = kept.unionByName(keyed.join(rows.where("copies > 1"), same, "left_semi").dropDuplicates(["__id", "__key"]))
+    return kept.select(*docs.columns)

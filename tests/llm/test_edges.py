@@ -64,6 +64,22 @@ def test_near_documents(spark, docs, none):
     assert near_duplicates(none, Stage(spark, "n"), size=5).count() == 0
 
 
+def test_near_documents_null_and_repeated_ids(spark):
+    from corpus_pipeline import near_dedup
+
+    from roomflow.llm.set_join import near_duplicates
+
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    rows = [(1, a), (5, a + " x"), (5, b), (7, b), (8, b + " y"), (None, c), (None, c), (None, c + " z"), (9, d), (9, d), (None, d), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, Stage(spark, "n"), size=5)
+    assert sorted(got.where("doc_id IN (7, 8)").toPandas().component_id) == [5, 5]
+    assert sorted(got.where("doc_id = 5").toPandas().component_id) == [1, 5]
+    assert got.count() == len(rows) and got.where("doc_id IS NULL AND kept").count() == 0
+    kept = sorted(((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in near_dedup(spark, df, None).collect()))
+    assert kept == [(0, ""), (0, "c0"), (1, "a0"), (2, ""), (5, "b0"), (9, "d0")]
+
+
 def test_near_documents_large_groups(spark):
     """A dense group beyond a node's size, chains, and a word pair that all documents share, against brute force."""
     from test_operators import near_brute
