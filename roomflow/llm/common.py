@@ -61,6 +61,12 @@ class Stage:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Deletes all other tables of this stage."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+        self.drop(*{s.getPath().getName() for s in there} - set(names))
+
 
 def numbered(df: DataFrame, order: list[Column], stage: Stage, name: str, out: str = "row_number") -> DataFrame:
     """Adds the global row number (from 0) in the given order, without a global window.

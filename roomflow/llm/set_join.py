@@ -2,14 +2,14 @@
 
 Documents with equal shingle sets form a class and are joined through one representative. Each independent tree
 starts with all representatives in its root. A node picks some of the minwise tokens; a document goes to one child for
-each picked token, so similar documents share a child with high probability. A node with few documents is compared
-exhaustively; in a larger one, the documents that are like its pivot are taken out and compared in blocks together with
-the pivot, and the others branch again.
-
-Comparison has two passes. First, sketches give each block a forest of its likest pairs, and those are confirmed on full shingle sets.
-Then, in blocks that still hold several components with candidates between them, the full sets of those documents are compared with
-each other in place; in a dense node, the documents outside its largest component meet all its blocks. So no pass emits all pairs of a
-group.
+each picked token, so similar documents share a child with high probability. Nodes of up to ``SMALL`` documents are compared
+exhaustively. A larger node first links documents to its pivot, on full sets; where that leaves all of its documents in one
+component, nothing is left to find and the node is done, and else all of its documents branch again. So the work on a family of near
+copies ends with the first levels, and no level emits more than 1.25 rows for each of its documents on average.
+
+Small nodes are compared in two passes. First, sketches give each node a forest of its likest pairs, and those are confirmed on full
+shingle sets. Then, in nodes that still hold several components with candidates between them, the full sets of those documents are
+compared with each other in place; the same group found in several nodes is compared once. No pass emits all pairs of a group.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from roomflow.llm.shingles import minwise, shingle_sets
 
 TOKENS = 64
 #: trees; tokens that a root picks (an inner node picks one, and one in four picks two, 1 / 0.8 on average); largest node that is
-#: compared exhaustively; documents in a block of a dense node; levels. A pair at the threshold 0.8 misses all 12 children of the
-#: roots once in 2 * 10**8, and keeps as many shared nodes on each level below on average.
-TREES, ROOT_PICKS, SMALL, DENSE_BLOCK, LEVELS = 3, 4, 256, 192, 10
-#: Sketch estimates (standard error 0.05 at 0.8): candidates, documents taken out with the pivot, documents that branch on.
-CANDIDATE, LIKE_PIVOT, BRANCH_ON = 0.56, 0.40, 0.72
+#: compared exhaustively. A pair at the threshold 0.8 misses all 12 children of the roots once in 2 * 10**8, and keeps as many shared
+#: nodes on each level below on average.
+TREES, ROOT_PICKS, SMALL = 3, 4, 2048
+#: Sketch estimate (standard error 0.05 at 0.8) from which a pair is compared on full sets: four standard errors below 0.8.
+CANDIDATE = 0.6
 _NIBBLES = 0x1111111111111111
 SKETCH = ["s0", "s1", "s2", "s3"]
 
@@ -82,47 +82,59 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("doc", F.explode(F.array_distinct(keys)).alias("node"))
 
 
-def _blocks(reps: DataFrame, stage: Stage) -> DataFrame:
-    """Runs the trees; gives (block as node, dense node and its parts and part, doc, sketch, whether dense, pivot, pivot's sketch) of all small nodes and of dense ones' blocks."""
-    roots = reps.select("doc", "tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")).select("doc", "tokens", F.xxhash64("tree").alias("node"))
-    rows, found, written = roots, None, []
-    for level in range(1, LEVELS + 1):
+def _trees(reps: DataFrame, texts_of, stage: Stage, size: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Runs the trees: (node, doc, sketch) of all small nodes, and the links to pivots of large ones (None without large nodes).
+
+    A level costs at most 1.25 rows for each document in large nodes of several components; where documents differ, nodes shrink by
+    their similarity on each level, so the levels end. Joins on a large node are split by Spark's skew handling.
+    """
+    rows = reps.select("doc", "tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")).select("doc", "tokens", F.xxhash64("tree").alias("node"))
+    found, links, level = None, None, 0
+    while True:
+        level += 1
         lean = _children(rows, level)
-        sizes = stage.write(lean.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc"), "doc")).getField("doc").alias("pivot")).where("n > 1"), f"sizes-{level}")
-        held = lean.join(sizes, "node").join(reps.select("doc", *SKETCH), "doc")
-        held = stage.write(held, f"held-{level}")
-        pivots = sizes.where(f"n > {SMALL}").join(reps.select(F.col("doc").alias("pivot"), *[F.col(s).alias(f"p{s}") for s in SKETCH]), "pivot").select("node", *[f"p{s}" for s in SKETCH])
-        large = held.where(f"n > {SMALL}").join(pivots, "node").withColumn("like", _likeness([f"p{s}" for s in SKETCH]))
-        dense = large.where(F.lit(level == LEVELS) | (F.col("like") >= LIKE_PIVOT))
-        none = F.lit(0).cast("long")
-        small = held.where(f"n <= {SMALL}").select("node", none.alias("parent"), none.alias("parts"), none.alias("part"), "doc", *SKETCH, F.lit(False).alias("dense"), none.alias("pivot"), *[none.alias(f"p{s}") for s in SKETCH])
-        dense = dense.withColumn("parts", F.ceil(F.col("n") / DENSE_BLOCK).cast("long")).withColumn("part", F.pmod(F.xxhash64("doc", F.lit(level)), F.col("parts")))
-        dense = dense.select(F.xxhash64("node", "part").alias("node"), F.col("node").alias("parent"), "parts", "part", "doc", *SKETCH, F.lit(True).alias("dense"), "pivot", *[f"p{s}" for s in SKETCH])
-        both = small.unionByName(dense)
-        found = both if found is None else found.unionByName(both)
-        written += [f"sizes-{level}", f"held-{level}"]
-        rest = large.where(f"like < {BRANCH_ON}").select("node", "doc")
-        if level == LEVELS or sizes.where(f"n > {SMALL}").isEmpty() or rest.isEmpty():
-            break
-        rows = rest.join(reps.select("doc", "tokens"), "doc")
-    blocks = stage.write(found, "blocks")
-    stage.drop(*written)
-    return blocks
-
-
-def _estimates(sketch: np.ndarray) -> np.ndarray:
-    x = sketch[:, None, :] ^ sketch[None, :, :]
+        pivot = F.min(F.struct(F.xxhash64("doc", F.lit(level)), "doc")).getField("doc").alias("pivot")
+        sizes = stage.write(lean.groupBy("node").agg(F.count("*").alias("n"), pivot).where("n > 1"), f"sizes-{level}")
+        held = stage.write(lean.join(sizes, "node").join(reps.select("doc", *SKETCH), "doc"), f"held-{level}")
+        leaves = held.where(f"n <= {SMALL}").select("node", "doc", *SKETCH)
+        found = leaves if found is None else found.unionByName(leaves)
+        large = sizes.where(f"n > {SMALL}")
+        if large.isEmpty():
+            return found, links
+        centres = large.join(reps.select(F.col("doc").alias("pivot"), *[F.col(s).alias(f"p{s}") for s in SKETCH]), "pivot")
+        inside = held.where(f"n > {SMALL}").select("node", "doc", *SKETCH)
+        like = inside.join(centres.select("node", "pivot", *[f"p{s}" for s in SKETCH]), "node").where((F.col("doc") != F.col("pivot")) & (_likeness([f"p{s}" for s in SKETCH]) >= CANDIDATE))
+        pairs = like.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+        if links is not None:
+            pairs = pairs.join(links, ["a", "b"], "left_anti")
+        pairs = stage.write(pairs, f"like-pivot-{level}")
+        texts = texts_of(pairs, f"near-pivot-{level}")
+        star = _confirm(pairs, texts, size, percent)
+        links = stage.write(star if links is None else links.unionByName(star), f"to-pivot-{level}")
+        labels = components(links, stage, f"pivot-{level}").withColumnRenamed("node", "doc")
+        labelled = inside.select("node", "doc").join(labels, "doc", "left").select("node", "doc", F.coalesce("component", "doc").alias("label"))
+        open_nodes = stage.write(labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node"), f"open-{level}")
+        rows = inside.select("node", "doc").join(open_nodes, "node").join(reps.select("doc", "tokens"), "doc")
+        stage.drop(f"like-pivot-{level}", f"near-pivot-{level}", f"to-pivot-{level - 1}", f"sizes-{level - 1}", f"open-{level - 1}")
+
+
+def _estimates(sketch: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Estimated similarities of the sketches ``of`` (rows) to all."""
+    x = of[:, None, :] ^ sketch[None, :, :]
     x |= x >> np.uint64(1)
     x |= x >> np.uint64(2)
-    misses = np.bitwise_count(x & np.uint64(_NIBBLES)).sum(axis=2)
+    misses = np.bitwise_count(x & np.uint64(_NIBBLES)).sum(axis=2, dtype=np.int32)
     return 1 - misses * (16 / 15 / TOKENS)
 
 
-def _forest(like: np.ndarray) -> list[tuple[int, int]]:
+def _forest(sketch: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a forest that spans all pairs of at least ``CANDIDATE``, likest first (Prim)."""
-    n = len(like)
+    n = len(sketch)
+    like = _estimates(sketch, sketch) if n <= 128 else None
     if n == 2:
         return [(0, 1)] if like[0, 1] >= CANDIDATE else []
+    if n <= 128 and not (np.triu(like, 1) >= CANDIDATE).any():
+        return []
     best, origin, out = np.full(n, -1.0), np.zeros(n, np.int64), []
     waiting = np.ones(n, bool)
     for _ in range(n):
@@ -130,66 +142,106 @@ def _forest(like: np.ndarray) -> list[tuple[int, int]]:
         if best[k] >= CANDIDATE:
             out.append((int(origin[k]), k))
         waiting[k] = False
-        closer = waiting & (like[k] > best)
-        best[closer], origin[closer] = like[k][closer], k
+        row = _estimates(sketch, sketch[k : k + 1])[0] if like is None else like[k]
+        closer = waiting & (row > best)
+        best[closer], origin[closer] = row[closer], k
     return out
 
 
-def _block(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, sketches and labels of a block; a dense node's pivot is one of them."""
-    docs, label, sketch = rows["doc"], rows["label"], np.stack([rows[s] for s in SKETCH], axis=1)
-    if rows["dense"][0]:
-        docs, label = np.append(docs, rows["pivot"][0]), np.append(label, rows["pivot_label"][0])
-        sketch = np.vstack([sketch, [[rows[f"p{s}"][0] for s in SKETCH]]])
-    order = np.unique(docs, return_index=True)[1]
-    return docs[order], sketch[order].view(np.uint64), label[order]
+def _sketches(rows: dict) -> np.ndarray:
+    return np.stack([rows[s] for s in SKETCH], axis=1).view(np.uint64)
 
 
 def _likest(batches):
-    """Pass one: a forest of the likest pairs of each block."""
+    """Pass one: a forest of the likest pairs of each node."""
     out = []
     for rows in groups(batches, "node"):
-        docs, sketch, _ = _block(rows)
-        if len(docs) > 1:
-            out += [(docs[i], docs[j]) for i, j in _forest(_estimates(sketch))]
+        docs = rows["doc"]
+        out += [(docs[i], docs[j]) for i, j in _forest(_sketches(rows))]
     pairs = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _families(near: np.ndarray) -> list[np.ndarray]:
+    """Connected groups of a symmetric table of candidates; rows without any are left out."""
+    left, out = near.any(axis=1), []
+    while left.any():
+        seen = np.zeros(len(near), bool)
+        new = seen.copy()
+        new[left.argmax()] = True
+        while new.any():
+            seen |= new
+            new = near[new].any(axis=0) & ~seen
+        out.append(np.flatnonzero(seen))
+        left &= ~seen
+    return out
+
+
 def _open(batches):
-    """Pass two: the documents of a block that have a candidate in another component."""
-    nodes, docs_out, labels = [], [], []
+    """Pass two: the documents of a node that have a candidate in another component, in families that candidates connect.
+
+    A family is named by its members, so that it has one name in all nodes that hold it.
+    """
+    out: dict[str, list] = {k: [] for k in ("family", "doc", "label")}
     for rows in groups(batches, "node"):
-        if (rows["label"] == rows["label"][0]).all():
+        label = rows["label"]
+        if (label == label[0]).all():
             continue
-        docs, sketch, label = _block(rows)
-        hit = ((_estimates(sketch) >= CANDIDATE) & (label[:, None] != label[None, :])).any(axis=1)
-        nodes += [int(rows["node"][0])] * int(hit.sum())
-        docs_out += docs[hit].tolist()
-        labels += label[hit].tolist()
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, docs_out, labels)], names=["node", "doc", "label"])
+        sketch = _sketches(rows)
+        near = np.concatenate([(_estimates(sketch, sketch[i : i + 128]) >= CANDIDATE) & (label[i : i + 128, None] != label[None, :]) for i in range(0, len(label), 128)])
+        for members in _families(near):
+            docs = np.sort(rows["doc"][members])
+            name = np.frombuffer(xxhash.xxh64_digest(docs.tobytes()), np.int64)
+            for k, values in zip(out, (np.repeat(name, len(docs)), rows["doc"][members], label[members]), strict=True):
+                out[k].append(values)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in out.values()], names=list(out))
+
+
+def _common(sets: np.ndarray, sizes: np.ndarray, of: np.ndarray, most: int = 2_000_000, width: int = 4096) -> np.ndarray:
+    """How many shingles the documents ``of`` (rows) have in common with each document.
+
+    Shingles are taken in ranges of about ``most`` elements; those that two documents hold become columns of 0 and 1.
+    """
+    owner, out = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.zeros((len(of), len(sizes)), np.float32)
+    bits = max(0, int(np.ceil(np.log2(max(1, len(sets) / most)))))
+    part = (sets >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(sets), np.int32)
+    for k in range(1 << bits):
+        some = np.flatnonzero(part == k)
+        _, column, held = np.unique(sets[some], return_inverse=True, return_counts=True)
+        shared = held[column] > 1
+        row, column = owner[some[shared]], (np.cumsum(held > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            at = slice(*np.searchsorted(column, (first, first + width)))
+            table = np.zeros((len(sizes), width), np.float32)
+            table[row[at], column[at] - first] = 1
+            out += table[of] @ table.T
+    return out.astype(np.int64)
 
 
 def _compare(size: int, percent: int):
-    """Links between components of a block, on full sets: each document against all of other components; one link joins two of them."""
+    """Links between components of a family, on full sets; one link joins two of them."""
+
+    def sets_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ends, parts = np.cumsum([len(t) for t in texts]) // 2_000_000, []
+        for run in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+            parts.append(shingle_sets(texts[run[0] : run[-1] + 1], size))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def run(batches):
         out = []
-        for rows in groups(batches, "node"):
+        for rows in groups(batches, "family"):
             label, docs = rows["label"].copy(), rows["doc"]
-            sets, sizes = shingle_sets(rows["text"].tolist(), size)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            ends = np.cumsum(sizes)
-            tally = {x: n for x, n in zip(*np.unique(label, return_counts=True), strict=True)}
-            for k in sorted(range(len(docs)), key=lambda i: tally[label[i]]):  # the largest component comes last, and has no one left
-                if (label == label[k]).all():
-                    break
-                own = sets[ends[k] - sizes[k] : ends[k]]
-                at = np.minimum(np.searchsorted(own, sets), len(own) - 1)
-                both = np.bincount(owner[own[at] == sets], minlength=len(docs))
-                link = (100 * both >= percent * (sizes + sizes[k] - both)) & (label != label[k])
-                for other in np.unique(label[link]):
-                    out.append((docs[k], docs[np.flatnonzero(link & (label == other))[0]]))
+            sets, sizes = sets_of(rows["text"].tolist())
+            names, tally = np.unique(label, return_counts=True)
+            outside = np.flatnonzero(label != names[tally.argmax()])  # pairs within the largest component need no link
+            common = _common(sets, sizes, outside)
+            linked = 100 * common >= percent * (sizes[None, :] + sizes[outside, None] - common)
+            for k, hit in zip(outside, linked, strict=True):
+                near = np.flatnonzero(hit & (label != label[k]))
+                for other, first in zip(*np.unique(label[near], return_index=True), strict=True):
+                    out.append((docs[k], docs[near[first]]))
                     label[label == other] = label[k]
         pairs = np.array(out, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -197,29 +249,6 @@ def _compare(size: int, percent: int):
     return run
 
 
-def _first_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks for pass one, one after another in tasks; every document is a component of its own."""
-    rows = blocks.withColumns({"label": F.col("doc"), "pivot_label": F.col("pivot")})
-    return rows.select("node", "doc", "label", "dense", "pivot", "pivot_label", *SKETCH, *[f"p{s}" for s in SKETCH]).repartition("node").sortWithinPartitions("node")
-
-
-def _second_blocks(blocks: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
-    """Blocks for pass two. In a dense node, the documents outside its largest component meet every part of the node.
-
-    A part of them and a part of the node make a block; a node that is connected already makes none.
-    """
-    rows = stage.write(blocks.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc").select("node", "parent", "parts", "part", "dense", "doc", "label", *SKETCH), "labelled")
-    dense = rows.where("dense")
-    counts = dense.groupBy("parent", "label").agg(F.count("*").alias("n")).groupBy("parent").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
-    open_nodes = counts.select("parent", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / DENSE_BLOCK).cast("long").alias("groups")).where("groups > 0")
-    held = stage.write(dense.join(open_nodes, "parent").withColumn("group", F.pmod(F.xxhash64("doc", F.lit("outside")), F.col("groups"))), "outside")
-    inside = held.select("parent", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), "doc", "label", *SKETCH)
-    outside = held.where("label <> main").select("parent", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "group", "doc", "label", *SKETCH)
-    both = inside.unionByName(outside).select(F.xxhash64("parent", "part", "group").alias("node"), "doc", "label", *SKETCH)
-    every = rows.where("NOT dense").select("node", "doc", "label", *SKETCH).unionByName(both).withColumn("dense", F.lit(False))
-    return every.repartition("node").sortWithinPartitions("node")
-
-
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of their full sets."""
 
@@ -260,19 +289,29 @@ def _linked(docs: DataFrame, stage: Stage, size: int, percent: int, id_col: str,
     same = F.col("doc_id").eqNullSafe(F.col("rep"))
     reps = full.join(classes, ["k0", "k1", "text_key"]).where(same).groupBy("doc").agg(F.first("tokens").alias("tokens"), *[F.first(s).alias(s) for s in SKETCH], F.count("*").alias("copies"))
     reps = stage.write(reps, "reps")
-    blocks = _blocks(reps, stage)
-    first = stage.write(_first_blocks(blocks).mapInArrow(_likest, "a long, b long").distinct(), "pairs")
-    wanted = first.select("a").union(first.select("b")).distinct().withColumnRenamed("a", "doc")
-    sought = wanted.join(classes.select("doc", "rep", F.col("text_key").alias("key")), "doc")
-    texts = stage.write(slim.join(sought.hint("merge"), same & (F.col("text_key") == F.col("key"))).select("doc", "text").dropDuplicates(["doc"]), "texts")
-    links = stage.write(_confirm(first, texts, size, percent), "links")
-    labels = stage.write(wanted.withColumnRenamed("doc", "node").join(components(links, stage, "c1"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-    still = stage.write(_second_blocks(blocks, labels, stage).mapInArrow(_open, "node long, doc long, label long"), "open")
-    more = still.join(texts, "doc").repartition("node").sortWithinPartitions("node").mapInArrow(_compare(size, percent), "a long, b long")
+
+    def texts_of(pairs: DataFrame, name: str, hint: str | None = None) -> DataFrame:
+        """(doc, text) of the classes in pairs (a, b)."""
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc")
+        sought = stage.write(wanted.join(classes.select("doc", "rep", F.col("text_key").alias("key")), "doc"), f"{name}-sought")
+        found = slim.join(sought.hint(hint) if hint else sought, same & (F.col("text_key") == F.col("key"))).select("doc", "text").dropDuplicates(["doc"])
+        return stage.write(found, name)
+
+    leaves, links = _trees(reps, texts_of, stage, size, percent)
+    first = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_likest, "a long, b long").distinct()
+    first = stage.write(first, "pairs")
+    texts = texts_of(first, "texts", "merge")
+    confirmed = _confirm(first, texts, size, percent)
+    links = stage.write(confirmed if links is None else links.unionByName(confirmed), "links")
+    labels = components(links, stage, "c1").withColumnRenamed("node", "doc").withColumnRenamed("component", "label")
+    labelled = leaves.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    families = labelled.repartition("node").sortWithinPartitions("node").mapInArrow(_open, "family long, doc long, label long")
+    families = stage.write(families.dropDuplicates(["family", "doc"]), "families")
+    more = families.join(texts, "doc").repartition("family").sortWithinPartitions("family").mapInArrow(_compare(size, percent), "a long, b long")
     every = stage.write(links.union(more), "all")
     joined = stage.write(components(every, stage, "c2").withColumnRenamed("node", "doc").join(classes.select("doc", "rep"), "doc"), "joined")
     classes = stage.write(classes.join(reps.select("doc", "copies"), "doc"), "known")
-    stage.drop("blocks", "texts", "reps", "pairs", "open", "links", "labels", "labelled", "outside", "all", "classes")
+    stage.keep("signed", "known", "joined")
     return signed, classes, joined
 
 
