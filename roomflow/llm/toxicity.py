@@ -1,13 +1,14 @@
 """Toxicity by compression distance: windows of a text against one dictionary of toxic and one of ordinary text.
 
-Two zstandard dictionaries are trained, on ordinary windows and on the telling words of toxic documents. A window that grows shorter
-when the toxic dictionary is there as well holds toxic text; how much and how often, is calibrated to a score on labelled documents
-that no dictionary has seen.
+Two zstandard dictionaries are trained apart, one on all windows of ordinary documents and one on all windows of toxic documents. Each
+window is compressed with the ordinary dictionary, and with the toxic one put before it. Language that both kinds share is in the ordinary
+dictionary already, so what a window loses in length by the toxic dictionary tells what it has in common with toxic text alone. How much
+and how often, is calibrated to a score on labelled documents that the dictionaries in use have not seen (cross-fitting).
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 
 import numpy as np
 import pandas as pd
@@ -16,27 +17,23 @@ from pyspark.sql import functions as F
 
 from roomflow.llm.common import ship
 
-#: Bounds of the fit: labelled documents of each kind that come to the driver (half of the toxic ones and two thirds of the
-#: ordinary ones train dictionaries, the others calibrate).
+#: Bounds of the fit: labelled documents of each kind that come to the driver.
 TOXIC_DOCS, ORDINARY_DOCS = 1400, 4500
-#: Words in a window; bytes of the dictionaries; zstandard's level (at which it looks for the best of all matches).
-WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 16, 1024, 16_384, 6
-#: Telling: character sequences of this length in at least so many toxic documents, at so many times the ordinary share.
-GRAM, LEAST_DOCS, TIMES = 5, 8, 20
+#: Words in a window; bytes of the dictionaries (that of toxic text holds little more than what comes often in it); zstandard's level.
+WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 16, 2048, 112_000, 6
+#: Lengths of a segment and of the sequences that are counted in it, in bytes, for the trainer: about two words, and one.
+SEGMENT, COUNTED = 16, 6
+FOLDS, ROUNDS, WEIGHT = 2, 2, 8
+_WORD = re.compile(r"[^\W_]+")
 THRESHOLD = 0.7
 
 
 def windows(text: str | None) -> list[str]:
-    """The whole text in runs of ``WINDOW`` words, lower-cased; one empty window without words."""
-    words = (text or "").lower().split()
+    """The whole text in runs of ``WINDOW`` words (letters and digits), lower-cased; one empty window without words."""
+    words = _WORD.findall((text or "").lower())
     return [f" {' '.join(words[i : i + WINDOW])} " for i in range(0, len(words), WINDOW)] or [""]
 
 
-def _grams(text: str) -> set[str]:
-    line = f" {' '.join(text.lower().split())} "
-    return {line[i : i + GRAM] for i in range(len(line) - GRAM + 1)}
-
-
 def _train(size: int, samples: list[bytes]) -> bytes:
     """A trained dictionary; samples are repeated where the trainer needs more of them, and too few are taken as they are."""
     import zstandard
@@ -45,16 +42,35 @@ def _train(size: int, samples: list[bytes]) -> bytes:
     if not held:
         return b""
     try:
-        return zstandard.train_dictionary(size, samples * (40 * size // held + 1)).as_bytes()
+        return zstandard.train_dictionary(size, samples * (40 * size // held + 1), k=SEGMENT, d=COUNTED).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The dictionaries of toxic and of ordinary texts, each trained on all of their windows (equal ones once).
+
+    Passages that ordinary texts share with toxic ones by chance must not count as toxic. So ordinary windows that gain from the toxic
+    dictionary train the ordinary one again with ``WEIGHT`` times their weight, ``ROUNDS`` times over.
+    """
+    def all_windows(texts: list[str]) -> list[bytes]:
+        return list(dict.fromkeys(w.encode("utf-8", "surrogatepass") for t in texts for w in windows(t) if w))
+
+    own, plain = _train(TOXIC_BYTES, all_windows(toxic)), all_windows(ordinary)
+    samples, base = plain, _train(ORDINARY_BYTES, plain)
+    for _ in range(ROUNDS):
+        model = ToxicityModel(own, base, np.zeros(0))
+        misled = [w for w in plain if model.gain(w) >= 2]
+        samples = samples + misled * WEIGHT
+        base = _train(ORDINARY_BYTES, samples)
+    return own, base
+
+
 class ToxicityModel:
     """The dictionaries' contents and the weights; compressors are made once per worker."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray):
-        self.toxic, self.ordinary, self.weights, self.pair = toxic, ordinary, weights, None
+    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray, floor: float = 0.0):
+        self.toxic, self.ordinary, self.weights, self.floor, self.pair = toxic, ordinary, weights, floor, None
 
     def __getstate__(self):
         return {**self.__dict__, "pair": None}
@@ -73,29 +89,31 @@ class ToxicityModel:
         return of(self.ordinary), of(self.toxic + self.ordinary)
 
     def gains(self, text: str | None) -> np.ndarray:
-        """Bytes that each window loses when the toxic dictionary is added to the ordinary one."""
+        """Bytes that each window loses in length when the toxic dictionary stands before the ordinary one."""
+        return np.array([self.gain(w.encode("utf-8", "surrogatepass")) for w in windows(text)], float)
+
+    def gain(self, window: bytes) -> int:
         self.pair = self.pair or self._compressors()
-        without, with_toxic = self.pair
-        encoded = [w.encode("utf-8", "surrogatepass") for w in windows(text)]
-        return np.array([len(without.compress(w)) - len(with_toxic.compress(w)) for w in encoded], float)
+        return len(self.pair[0].compress(window)) - len(self.pair[1].compress(window))
 
     @staticmethod
     def features(gains: np.ndarray) -> np.ndarray:
         top = np.sort(gains)[::-1]
         second = top[1] if len(top) > 1 else 0.0
-        return np.array([1.0, max(top[0], 0), max(second, 0), np.log1p(np.clip(gains - 1, 0, None).sum()), np.clip(gains - 1, 0, None).mean(), np.log(len(gains))])
+        more = np.clip(gains - 1, 0, None)
+        return np.array([1.0, max(top[0], 0), max(second, 0), np.log1p(more.sum()), more.mean(), np.clip(gains, -2, None).mean(), np.log(len(gains))])
 
     def score(self, text: str | None) -> tuple[float, int, float, int]:
         """Score, and the window that gains most: where it is (in windows), its gain, and the windows there are."""
         gains = self.gains(text)
         z = float(np.clip(self.features(gains) @ self.weights, -30, 30))
         at = int(gains.argmax())
-        return 1 / (1 + np.exp(-z)), at, float(gains[at]), len(gains)
+        return self.floor + (1 - self.floor) / (1 + np.exp(-z)), at, float(gains[at]), len(gains)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-2, start: np.ndarray | None = None) -> np.ndarray:
     """Weights by Newton's method with a small ridge; each row counts as so many ``rows``, which are scaled to 1 on average."""
-    w, rows = np.zeros(x.shape[1]), rows / rows.mean()
+    w, rows = np.zeros(x.shape[1]) if start is None else start.copy(), rows / rows.mean()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (rows * (y - p)) - ridge * w)
@@ -105,6 +123,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-
     return w
 
 
+def _calibrated(x: np.ndarray, y: np.ndarray, rows: np.ndarray, turns: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and floor of the chance floor + (1 - floor) * logistic, by expectation and maximisation.
+
+    Some toxic documents hold nothing that tells them from ordinary ones. They would flatten a plain logistic curve; here they raise its
+    floor: the chance that a document is labelled toxic although nothing tells it.
+    """
+    tells = y * 0.5
+    w = floor = None
+    for _ in range(turns):
+        w = _logistic(x, tells, rows, start=w)
+        floor = float((rows * (y - tells)).sum() / max((rows * (1 - tells)).sum(), 1e-9))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        new = y * p / np.maximum(p + (1 - p) * floor, 1e-12)
+        done, tells = np.abs(new - tells).max() < 1e-4, new
+        if done:
+            break
+    return w, floor
+
+
 def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
@@ -112,41 +149,41 @@ def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learns from labelled documents outside the held-out fold.
 
-    The ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` labelled ids that come first by a hash are the sample; only their texts come to the driver.
+    The ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` labelled ids that come first by a hash are the sample; only their texts come to the driver
+    (of several texts under one id, the one with the smallest hash). The documents are dealt into ``FOLDS`` parts; each part is measured
+    with dictionaries trained on the others, which calibrates the score, and the dictionaries in use are trained on all.
     In the calibration each kind weighs as much as its documents among all training labels (the sample tells what share of the labels
-    has a document), so that a score is a chance at the labels' own odds, whatever the bounds cut off. Labels other than 0 and 1, null texts and ids without a document are passed over. Without labels of both kinds every score is the
-    share of toxic labels.
+    has a document), so that a score is a chance at the labels' own odds, whatever the bounds cut off. Labels other than 0 and 1, null texts
+    and ids without a document are passed over. Without labels of both kinds every score is the share of toxic labels.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = dict(known.groupBy("toxic").count().collect())  # two rows
     order = F.xxhash64("id", F.lit("toxicity"))
-    sample = known.where("toxic = 1").orderBy(order).limit(TOXIC_DOCS).union(known.where("toxic = 0").orderBy(order).limit(ORDINARY_DOCS))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id").toPandas()  # at most the sample's rows
-    texts = texts.sort_values(["id", "text"]).drop_duplicates("id").sample(frac=1, random_state=3)
-    toxic, ordinary = texts[texts["toxic"] == 1]["text"].tolist(), texts[texts["toxic"] == 0]["text"].tolist()
-    if not toxic or not ordinary:
-        share = 1.0 if toxic else 0.0
-        return ToxicityModel(b"", b"", np.array([60 * share - 30, 0, 0, 0, 0, 0]))
-    half, most = max(1, len(toxic) // 2), max(1, 2 * len(ordinary) // 3)
-    seen_toxic, seen_ordinary = Counter(), Counter()
-    for t in toxic[:half]:
-        seen_toxic.update(_grams(t))
-    for t in ordinary[:most]:
-        seen_ordinary.update(_grams(t))
-    least = min(LEAST_DOCS, max(2, half // 20))
-    telling = {g for g, n in seen_toxic.items() if n >= least and n / half >= TIMES * (seen_ordinary[g] + 1) / max(most, 1000)}
-    spans = []
-    for t in toxic[:half]:
-        if words := [w for w in t.lower().split() if any(f" {w} "[i : i + GRAM] in telling for i in range(len(w) + 3 - GRAM))]:
-            spans.append(f" {' '.join(words)} ".encode())
-    plain = [w.encode() for t in ordinary[:most] for w in windows(t) if w]
-    model = ToxicityModel(_train(TOXIC_BYTES, spans), _train(ORDINARY_BYTES, plain), np.zeros(6))
-    rest = [(t, 1) for t in toxic[half:] or toxic] + [(t, 0) for t in ordinary[most:] or ordinary]
-    x = np.stack([model.features(model.gains(t)) for t, _ in rest])
-    y = np.array([y for _, y in rest], float)
-    held = {1: len(toxic) * counts[1] / min(counts[1], TOXIC_DOCS), 0: len(ordinary) * counts[0] / min(counts[0], ORDINARY_DOCS)}
-    model.weights = _logistic(x, y, np.where(y == 1, held[1] / (y == 1).sum(), held[0] / (y == 0).sum()))
+    sample = known.where("toxic = 1").orderBy(order, "id").limit(TOXIC_DOCS).union(known.where("toxic = 0").orderBy(order, "id").limit(ORDINARY_DOCS))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id")
+    one = rows.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    texts = one.select("id", "toxic", "row.text").toPandas()  # at most the sample's rows
+    texts = texts.sort_values("id").drop_duplicates(["toxic", "text"]).sample(frac=1, random_state=3)  # copies would be measured with dictionaries that know them
+    kinds = {kind: texts[texts["toxic"] == kind]["text"].tolist() for kind in (1, 0)}
+    if not all(kinds.values()):
+        return ToxicityModel(b"", b"", np.array([30.0 if kinds[1] else -30.0, *[0.0] * 6]))
+
+    def trained(fold: int | None) -> ToxicityModel:
+        """Dictionaries of all documents outside a fold (of all, where that leaves none)."""
+        own = {kind: [t for i, t in enumerate(held) if i % FOLDS != fold] or held for kind, held in kinds.items()}
+        return ToxicityModel(*_dictionaries(own[1], own[0]), np.zeros(7))
+
+    x, y = [], []
+    for fold in range(FOLDS):
+        part = trained(fold)
+        for kind, held in kinds.items():
+            x += [part.features(part.gains(t)) for t in held[fold::FOLDS]]
+            y += [kind] * len(held[fold::FOLDS])
+    y = np.array(y, float)
+    share = {kind: len(held) * counts[kind] / min(counts[kind], most) for (kind, held), most in zip(kinds.items(), (TOXIC_DOCS, ORDINARY_DOCS), strict=True)}
+    model = trained(None)
+    model.weights, model.floor = _calibrated(np.stack(x), y, np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum()))
     return model
 
 
