@@ -177,8 +177,24 @@ def test_spots(spark, docs, none):
     assert fingerprints(none).count() == 0
     one = fingerprints(docs.where("doc_id = 8")).first()
     assert one["near_next"] == 1.0
-    pairs = {(r["a"], r["b"]) for r in near_pairs(docs.where("doc_id IS NOT NULL"), Stage(spark, "s")).collect()}
-    assert (5, 6) in pairs or not pairs
+    pairs, members = near_pairs(docs, Stage(spark, "s"))
+    assert {(r["a"], r["b"]) for r in pairs.collect()} <= {(5, 6)} and members.count() == len(ROWS) - 1
+    assert near_pairs(none, Stage(spark, "s"))[1].count() == 0
+
+
+def test_spots_parts(spark):
+    """Ranges follow the order of (id, hash), also where one id or null holds a third of all rows."""
+    from roomflow.llm.spots import with_next
+
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = with_next(df, "doc_id", "text", rows_in_part=50)
+    sizes = [r["count"] for r in got.groupBy("part").count().collect()]
+    assert max(sizes) <= 200 and len(sizes) > 20
+    got = got.select("id", "tie", "text", "next_text").orderBy(F.desc("id"), F.desc("tie")).collect()
+    assert [r["next_text"] for r in got] == [r["text"] for r in got[1:] + got[:1]]
+    ones = [" ".join(["the"] * 20000), "the " * 5000 + "cat sat"]
+    assert with_next(spark.createDataFrame(list(enumerate(ones)), "doc_id long, text string"), "doc_id", "text").count() == 2
 
 
 def test_url_rules(spark):

@@ -100,26 +100,20 @@ def test_op3(spark, sf, docs, q):
     assert (got.kept == (got.index == got.component_id)).all()
 
 
-def test_op5(spark, sf, docs, q):
+def brute_spots(text):
+    """Signatures: an anchor with the next two words that aren't anchors."""
     from roomflow.llm.spots import ANCHORS
 
-    def spots(text):
-        words = re.sub(r"[\W_]+", " ", text.lower()).split()
-        found = set()
-        for i, w in enumerate(words):
-            if w in ANCHORS:
-                chain, skipped = [], 0
-                for x in words[i + 1 :]:
-                    if x in ANCHORS and skipped < 4:
-                        skipped += 1
-                    else:  # after four passed anchors one more takes a place in the chain, but not in the signature
-                        chain.append(x)
-                        skipped = 0
-                    if len(chain) == 2:
-                        break
-                if len(chain) == 2:
-                    found.add((w, *(x for x in chain if x not in ANCHORS)))
-        return found or {text}
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    found = set()
+    for i, w in enumerate(words):
+        if w in ANCHORS and len(chain := [x for x in words[i + 1 :] if x not in ANCHORS][:2]) == 2:
+            found.add((w, *chain))
+    return found or {" ".join(words) or text}
+
+
+def test_op5(spark, sf, docs, q):
+    spots = lambda text: brute_spots(text)
 
     down = docs.sort_values("doc_id", ascending=False).reset_index(drop=True)
     texts = [t or "" for t in down.text]
@@ -130,12 +124,32 @@ def test_op5(spark, sf, docs, q):
         edited = t[: len(t) - k] + after[:k]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         a, b, c = spots(t), spots(edited), spots(after)
-        like = lambda x, y: len(x & y) / len(x | y) if min(len(x), len(y)) >= 0.1 * max(len(x), len(y)) else 0
+        like = lambda x, y: len(x & y) / len(x | y)
         assert r.near_edited == pytest.approx(like(a, b), abs=1e-9) and r.near_next == pytest.approx(like(a, c), abs=1e-9)
     again = down.assign(f=[got.loc[d].fingerprint for d in down.doc_id]).groupby("text").f.nunique()
     assert (again == 1).all()
 
 
+def test_op5_pairs(spark, sf, docs):
+    """Near pairs of representatives and their members against all pairs, with copies and an element that all documents share."""
+    from roomflow.llm.common import Stage
+    from roomflow.llm.spots import near_pairs
+
+    texts = [t or "" for t in docs.text] + [f"the common passage the word{k} other{k}" for k in range(40)] + ["the same text of all copies"] * 5
+    texts += [" ".join(f"the w{i} x{i}" for i in range(30 + k % 3)) for k in range(8)]
+    ids = list(range(len(texts)))
+    pairs, members = near_pairs(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), Stage(spark, "s"), least=0.8, block=16)
+    sets = [frozenset(brute_spots(t)) for t in texts]
+    first = {}
+    for i, s in zip(ids, sets, strict=True):
+        first.setdefault(s, i)
+    assert {r["id"]: r["representative"] for r in members.collect()} == {i: first[s] for i, s in zip(ids, sets, strict=True)}
+    reps = [(i, s) for s, i in first.items()]
+    want = {(min(i, j), max(i, j)): len(s & t) / len(s | t) for k, (i, s) in enumerate(reps) for j, t in reps[:k] if len(s & t) >= 0.8 * len(s | t)}
+    got = {(r["a"], r["b"]): r["likeness"] for r in pairs.collect()}
+    assert got == pytest.approx(want) and len(want) > 3
+
+
 def test_op6(spark, sf, q):
     from roomflow.llm.queries import URL_RULES
 
