@@ -10,14 +10,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomflow.llm.chunks import _Index
 from roomflow.llm.common import ship
 
-#: Bounds of the model: documents per language to learn from (about), known words and n-grams of each order per language.
-PER_LANGUAGE, WORDS, GRAMS, ORDERS = 1500, 20_000, 8_000, (5, 4, 3, 2, 1)
+#: Bound of the fit: documents per language to learn from (about). All of their words and n-grams are in the model.
+PER_LANGUAGE, ORDERS = 1500, (5, 4, 3, 2, 1)
 #: Added to every count; words that carry evidence of full weight; most that one word counts; memo.
 SMOOTH, EVIDENCE, MOST_FOR_A_WORD, KNOWN = 0.1, 20, 8.0, 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -25,8 +25,11 @@ UNDETERMINED = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall((text or "").lower())
+    """Runs of letters, lower-cased; numerals of any script (½, ①, Ⅷ) are no letters."""
+    found = _WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
 
 
 def _roll(codes: np.ndarray, order: int) -> np.ndarray:
@@ -154,9 +157,8 @@ def _grams(text: Column, order: int) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from texts with a language outside the held-out fold.
 
-    About ``PER_LANGUAGE`` documents of each language are taken by a hash of their id and text (all where there are fewer); their words
-    and n-grams are counted in tasks; the most frequent ``WORDS`` words and ``GRAMS`` n-grams of each order per language come to
-    the driver.
+    About ``PER_LANGUAGE`` documents of each language are taken by a hash of their id (all where there are fewer); their words and n-grams
+    are counted in tasks, and the counts of the sample come to the driver.
     """
     ship(docs.sparkSession)
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -175,8 +177,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             table = words.where(F.char_length(padded) >= order).select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         else:
             table = words.withColumnRenamed("word", "gram")
-        ranked = table.where("n > 1").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-        rows = ranked.where(F.col("at") <= (GRAMS if order else WORDS)).select("lang", "gram", "n").toPandas()
+        rows = table.select("lang", "gram", "n").toPandas()  # of the sample, which is bounded
         if order:
             key = _roll(np.array([[ord(c) for c in g] for g in rows["gram"]], np.uint64).reshape(-1, order), order)[:, 0] if len(rows) else np.zeros(0, np.uint64)
         else:

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator."""
 
 import re
+import zlib
 from collections import Counter
 from itertools import chain
 
@@ -249,6 +250,44 @@ def test_language(docs, none):
     assert identify(none, fit(docs)).count() == 0
 
 
+def test_language_brute_force(spark):
+    """Counts, backoff and scores against a plain version."""
+    from roomflow.llm import langid
+
+    rng = np.random.default_rng(2)
+    parts = {"xx": ["ba", "bo", "ka"], "yy": ["ti", "re", "ka"], "zz": ["ömm", "üll", "ti"]}
+    make = lambda k, n: " ".join("".join(rng.choice(parts[k], rng.integers(1, 4))) for _ in range(n))
+    rows = [(i, make(k, int(rng.integers(0, 30))), k) for i in range(90) for k in [list(parts)[i % 3]]] + [(900, None, "xx"), (901, "½ ² ① ⁵ Ⅷ 12", "yy"), (902, "x½y", None), (903, "qq " * 50, None), (904, "neverseenword katiömm", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.fit(df)).collect()}
+    words = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    grams = lambda w, o: [w] if o == 0 else [f"\x02{w}\x03"[i : i + o] for i in range(len(w) + 3 - o)]
+    tables = {o: {k: Counter() for k in parts} for o in (0, *langid.ORDERS)}
+    for i, t, k in rows:
+        if k and zlib.crc32(str(i).encode()) % 5:
+            for w in words(t):
+                for o in tables:
+                    tables[o][k].update(grams(w, o))
+    for i, t, _ in rows:
+        total = np.zeros(3)
+        for w in words(t):
+            for o in tables:
+                known = [g for g in grams(w, o) if any(g in c for c in tables[o].values())]
+                if known:
+                    every = set().union(*tables[o].values())
+                    size = [sum(c.values()) + langid.SMOOTH * len(every) for c in tables[o].values()]
+                    logs = np.log([[(tables[o][k][g] + langid.SMOOTH) / n for k, n in zip(parts, size, strict=True)] for g in known])
+                    total += np.clip((logs - logs.mean(axis=1, keepdims=True)).mean(axis=0), -langid.MOST_FOR_A_WORD, langid.MOST_FOR_A_WORD)
+                    break
+        n = len(words(t))
+        if not n:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        share = np.exp((total - total.max()) * min(1, langid.EVIDENCE / n))
+        share /= share.sum()
+        assert got[i]["lang_pred"] == list(parts)[int(share.argmax())] and got[i]["score"] == pytest.approx(share.max(), abs=1e-4)
+
+
 def test_language_held_out(spark, sf):
     from roomflow.llm.queries import QUERIES
 
