@@ -18,29 +18,47 @@ from pyspark.sql import functions as F
 from roomflow.llm.chunks import encoder, slices
 from roomflow.llm.common import Stage, part_offsets
 
-BLOCK, SEGMENT = 8192, 65_536
+BLOCK, SEGMENT = 1024, 65_536
 #: Fixed values of the format: bits of an id and ids in a word for selectors 1 to 14.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 _WIDTH, _COUNT = np.array((60, *WIDTHS)), np.array((1, *COUNTS))
 
 
-def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """uint64 ids as words; also the word offset of each block, and the escaped values."""
+#: The narrowest width, as a selector, of every value below 2 ** 16.
+_NARROWEST = np.searchsorted(1 << np.array(WIDTHS, np.int64), np.arange(1 << 16), side="right").astype(np.uint8) + np.uint8(1)
+
+
+def _narrowest(ids: np.ndarray) -> np.ndarray:
+    """For each id the selector of the narrowest width that holds it; 15 where none does."""
+    out = _NARROWEST[np.minimum(ids, np.uint64((1 << 16) - 1)).astype(np.int32)]
+    wide = np.flatnonzero(ids >= np.uint64(1 << 16))
+    out[wide] = np.searchsorted(np.array([1 << w for w in WIDTHS], np.uint64), ids[wide], side="right") + 1
+    return out
+
+
+def pack_segments(ids: np.ndarray, cuts: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of ids between two cuts: its words, the word offset of each block, and the escaped values.
+
+    The blocks of all segments step from word to word side by side.
+    """
     ids = np.asarray(ids, dtype=np.uint64)
-    large = ids >= np.uint64(1 << 60)
-    blocks = -(-len(ids) // BLOCK)
-    padded = np.zeros((blocks, BLOCK + COUNTS[0]), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
-    flat[: len(ids)] = np.where(large, 0, ids)
-    padded[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    wide = np.zeros(blocks * BLOCK, bool)
-    wide[: len(ids)] = large
-    escape = np.zeros(padded.shape, bool)
-    escape[:, :BLOCK] = wide.reshape(blocks, BLOCK)
+    lengths = np.diff(cuts)
+    per = -(-lengths // BLOCK)
+    first, blocks, width = np.cumsum(per) - per, int(per.sum()), BLOCK + COUNTS[0]
+    used = np.full(blocks, BLOCK)
+    need, values = np.full((blocks, width), 1, np.uint8), np.zeros((blocks, width), np.uint64)  # past its end a block holds zeroes, which fit every width
+    selectors, large = _narrowest(ids), ids >= np.uint64(1 << 60)
+    for begin, n, block, some in zip(cuts, lengths.tolist(), first.tolist(), per.tolist(), strict=False):
+        for table, source in ((need, selectors), (values, np.where(large, 0, ids) if large.any() else ids)):
+            whole = n // BLOCK
+            table[block : block + whole, :BLOCK] = source[begin : begin + whole * BLOCK].reshape(whole, BLOCK)
+            if some > whole:
+                table[block + whole, : n % BLOCK] = source[begin + whole * BLOCK : begin + n]
+                used[block + whole] = n % BLOCK
     choice = np.zeros((blocks, BLOCK), np.uint8)
     for selector in range(len(WIDTHS), 0, -1):  # the last that fits has the most ids; where one doesn't fit, no later one does
-        fits, length, count = (padded < np.uint64(1 << WIDTHS[selector - 1])) & ~escape, 1, COUNTS[selector - 1]
+        fits, length, count = need <= selector, 1, COUNTS[selector - 1]
         while length < count:
             step = min(length, count - length)
             fits, length = fits[:, :-step] & fits[:, step:], length + step
@@ -48,27 +66,39 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not fits.any():
             break
         choice[fits] = selector
-    steps = _COUNT[choice]
-    starts, offsets = [], []
-    for b in range(blocks):
-        offsets.append(len(starts))
-        step, i, end, base = steps[b].tolist(), 0, min(BLOCK, len(ids) - b * BLOCK), b * padded.shape[1]
-        while i < end:
-            starts.append(base + i)
-            i += step[i]
-    at = np.array(starts, np.int64)
-    values, columns = padded.ravel(), np.divmod(at, padded.shape[1])
-    chosen = choice[columns]
+    steps, starts = _COUNT.astype(np.uint8)[choice], np.zeros((blocks, BLOCK), bool)
+    row, at = np.arange(blocks), np.zeros(blocks, np.int64)
+    while len(row):
+        starts[row, at] = True
+        at = at + steps[row, at]
+        more = at < used[row]
+        if not more.all():
+            row, at = row[more], at[more]
+    block, column = np.nonzero(starts)
+    chosen, begin, flat = choice[block, column], block * width + column, values.ravel()
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(chosen):
         rows = np.flatnonzero(chosen == selector)
         if selector == 0:
-            words[rows] |= np.arange(len(rows), dtype=np.uint64)
+            segment = np.searchsorted(first + per, block[rows], side="right")
+            words[rows] |= (np.arange(len(rows)) - np.searchsorted(segment, segment)).astype(np.uint64)
             continue
-        width = np.uint64(_WIDTH[selector])
+        from_, held = begin[rows], words[rows]
         for k in range(_COUNT[selector]):
-            words[rows] |= values[at[rows] + k] << (width * np.uint64(k))
-    return words, np.array(offsets, np.int64), ids[large]
+            held |= flat[from_ + k] << np.uint64(_WIDTH[selector] * k)
+        words[rows] = held
+    offsets = np.append(0, np.cumsum(starts.sum(axis=1)))
+    out = []
+    for begin, end, block, some in zip(cuts, cuts[1:], first.tolist(), per.tolist(), strict=False):
+        a, b = offsets[block], offsets[block + some]
+        part = ids[begin:end]
+        out.append((words[a:b], offsets[block : block + some] - a, part[large[begin:end]]))
+    return out
+
+
+def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """uint64 ids as words; also the word offset of each block, and the escaped values."""
+    return pack_segments(ids, [0, len(ids)])[0]
 
 
 def unpack_words(words: np.ndarray, offsets: np.ndarray, escaped: np.ndarray, n: int) -> np.ndarray:
@@ -116,9 +146,9 @@ def _segments(path: str, end_id: int):
                 full[keep] = ids
                 doc_ids = piece.column("doc_id").to_pylist()
                 group = (ends - counts) // SEGMENT
-                for rows in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(group)) + 1):
-                    first, last = int(ends[rows[0]] - counts[rows[0]]), int(ends[rows[-1]])
-                    words, offsets, escaped = pack_words(full[first:last])
+                runs = np.split(np.arange(len(counts)), np.flatnonzero(np.diff(group)) + 1)
+                cuts = [0, *(int(ends[rows[-1]]) for rows in runs)]
+                for rows, first, last, (words, offsets, escaped) in zip(runs, cuts, cuts[1:], pack_segments(full, cuts), strict=False):
                     for name, value in zip(out, (part, segment, before, last - first, [doc_ids[i] for i in rows], counts[rows], words.astype("<u8").tobytes(), offsets, escaped.astype(np.int64)), strict=True):
                         out[name].append(value)
                     segment, before = segment + 1, before + last - first
