@@ -14,6 +14,12 @@ from pyspark.sql import types as T
 UNCLASSIFIED = ("Other", "other", "Unknown", "unknown", "OTHER")
 
 
+def schema(text: str) -> T.StructType:
+    """A schema from 'name type, name type'; names with blanks stand in back quotes. Needs no session."""
+    kinds = {"string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType()}
+    return T.StructType([T.StructField(name.strip("`"), kinds[kind]) for name, kind in (f.rsplit(" ", 1) for f in text.split(", "))])
+
+
 def rename_present(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Renames the columns that exist."""
     return df.withColumnsRenamed(dict(names))

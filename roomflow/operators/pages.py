@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomflow.functions.parse import first_match, tidy
+from roomflow.functions.parse import first_match, strip, tidy
 from roomflow.operators.conform import detail_link
 
 #: Words that mark a line of a room dialog as no facility (H7).
@@ -46,14 +46,14 @@ def rating(html: Column) -> Column:
     return F.coalesce(F.get(marked, F.lit(0))["text"], F.get(good, F.lit(0))["text"])
 
 
-def reviews(html: Column) -> Column:
-    """H3: the number before 'đánh giá', else before 'reviews', without separators."""
-    text = F.lower(visible(html))
+def reviews(text: Column) -> Column:
+    """H3: the number before 'đánh giá', else before 'reviews', without separators; from the visible text."""
+    text = F.lower(text)
     found = F.coalesce(first_match(text, r"(\d[\d.,]*)\s*đánh\s*giá"), first_match(text, r"(\d[\d.,]*)\s*reviews?"))
     return F.regexp_replace(found, "[.,]", "")
 
 
-def address(html: Column) -> Column:
+def address(html: Column, text: Column) -> Column:
     """H4: the best of the spans of 8 characters or more (comma, country and city 2 each, length up to 2), else the text around the country."""
     def rank(t: Column) -> Column:
         low = F.lower(t)
@@ -61,17 +61,17 @@ def address(html: Column) -> Column:
 
     texts = F.filter(F.transform(elements(html, "span"), visible), lambda t: F.length(t) >= 8)
     ranked = F.transform(texts, lambda t, i: F.struct(rank(t).alias("score"), (-i).alias("turn"), t.alias("text")))
-    return F.coalesce(F.array_max(ranked)["text"], first_match(visible(html), r"(?i)([^\n]{10,200}việt nam[^\n]{0,50})"))
+    return F.coalesce(F.array_max(ranked)["text"], first_match(text, r"(?i)([^\n]{10,200}việt nam[^\n]{0,50})"))
 
 
-def discount(html: Column) -> Column:
-    """H5: like -18%."""
-    return first_match(visible(html), r"(-\s?\d{1,3}%)")
+def discount(text: Column) -> Column:
+    """H5: like -18%, in the visible text."""
+    return first_match(text, r"(-\s?\d{1,3}%)")
 
 
-def list_prices(html: Column) -> Column:
-    """H5: all prices with the dong sign, in order."""
-    return F.regexp_extract_all(visible(html), F.lit(PRICE), F.lit(1))
+def list_prices(text: Column) -> Column:
+    """H5: all prices with the dong sign in the visible text, in order."""
+    return F.regexp_extract_all(text, F.lit(PRICE), F.lit(1))
 
 
 def amenities(html: Column, element: str = "li") -> Column:
@@ -92,15 +92,22 @@ def stars(card: Column) -> Column:
     return F.coalesce(labelled, F.nullif(icons, F.lit(0.0)))
 
 
-def card_fields(html: Column) -> Column:
-    """Stars, original and final price (largest and smallest), review count, location score, badge words of a listing card."""
-    text = visible(html)
+def card_fields(html: Column, text: Column) -> Column:
+    """Fields of a listing card, from its html and visible text.
+
+    Stars, original and final price (largest and smallest), review count (before the words, else in brackets), score with its word and
+    address (both from marked elements), location score, badge words.
+    """
+    marked = lambda kind: F.nullif(visible(F.regexp_extract(html, rf'(?is)<(?:div|span|a)\b[^>]*data-testid="{kind}"[^>]*>(.*?)</(?:div|span|a)>', 1)), F.lit(""))
+    graded = marked("review-score")
     low = F.lower(text)
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,3}(?:[.,]\d{3})+)"), F.lit(1)), lambda x: F.regexp_replace(x, "[.,]", "").cast("long"))
     place = first_match(low, r"(?:location|địa điểm)\D{0,20}(\d{1,2}(?:[.,]\d)?)")
     place = F.replace(place, F.lit(","), F.lit(".")).cast("double")
     return F.struct(
-        stars(html).alias("stars"), F.array_max(numbers).alias("original"), F.array_min(numbers).alias("final"), reviews(html).cast("long").alias("reviews"),
+        stars(html).alias("stars"), F.array_max(numbers).alias("original"), F.array_min(numbers).alias("final"), F.coalesce(reviews(text), first_match(text, r"\((\d+)\)")).try_cast("long").alias("card_reviews"),
+        F.replace(first_match(graded, r"(\d{1,2}(?:[.,]\d)?)"), F.lit(","), F.lit(".")).cast("double").alias("score"), F.nullif(strip(F.regexp_replace(graded, r"[\d.,]+", "")), F.lit("")).alias("rating_text"),
+        marked("address").alias("address"),
         F.when(place <= 10, place).alias("location_score"), F.when(low.rlike("free cancellation|hủy miễn phí"), F.lit("Yes")).otherwise(F.lit("No")).alias("free_cancel"),
         F.when(low.rlike("breakfast included|bao bữa sáng"), F.lit("Yes")).otherwise(F.lit("No")).alias("breakfast"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomflow.operators.profile import target_size
+from roomflow.sources.places import stored
 
 
 def _bounds(column: str, method: str, factor: float, shares: tuple[float, float]) -> list[Column]:
@@ -49,14 +50,21 @@ def draw_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
-def _ranked(df: DataFrame, group: str | None, seed: int, key: str) -> DataFrame:
+#: Rows of one class that one task ranks, about.
+BUCKET_ROWS = 20_000
+
+
+def _ranked(df: DataFrame, group: str | None, seed: int, key: str, most: int | None = None) -> DataFrame:
     """Adds ``__rank`` (from 1) by the draw key within a group, spread over tasks.
 
-    The first hex digits cut a group into 4096 buckets; a row's rank is the rows of earlier buckets and its rank in its own bucket, so
-    no task ranks a whole class.
+    The first hex digits cut a group into buckets of about ``BUCKET_ROWS`` rows, by the size ``most`` of the largest group (counted where
+    it isn't given); a row's rank is the rows of earlier buckets and its rank in its own bucket, so no task ranks a whole class.
     """
     groups = [group] if group else []
-    keyed = df.withColumn("__draw", draw_key(seed, key)).withColumn("__bucket", F.substring("__draw", 1, 3))
+    if most is None:
+        most = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    digits = next(d for d in range(1, 12) if 16**d * BUCKET_ROWS >= most)
+    keyed = df.withColumn("__draw", draw_key(seed, key)).withColumn("__bucket", F.substring("__draw", 1, digits))
     sizes = keyed.groupBy(*groups, "__bucket").agg(F.count("*").alias("__held"))
     before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*groups, "__bucket", F.coalesce(F.sum("__held").over(before), F.lit(0)).alias("__before"))
@@ -93,7 +101,7 @@ def stratified_split(df: DataFrame, label: str, key: str, shares: Sequence[float
     if not table:
         return df.withColumn("split", F.lit(None).cast("string"))
     cuts = df.sparkSession.createDataFrame(table, df.select(label).schema.add("__a", "long").add("__b", "long"))
-    ranked = _ranked(df, label, seed, key).join(F.broadcast(cuts), label)
+    ranked = _ranked(df, label, seed, key, max(counts.values())).join(cuts, label)
     split = F.when(F.col("__rank") <= F.col("__a"), F.lit(names[-1])).when(F.col("__rank") <= F.col("__b"), F.lit(names[1])).otherwise(F.lit(names[0]))
     return ranked.withColumn("split", split).drop("__rank", "__a", "__b")
 
@@ -109,33 +117,34 @@ def plain_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> D
     return df.withColumn("split", F.when(F.substring(draw_key(seed, key), 1, 8) < cut, F.lit("test")).otherwise(F.lit("train")))
 
 
-def sample_per_class(df: DataFrame, group: str, n: int | Column, key: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows of each class (all, if it has fewer)."""
-    return _ranked(df, group, seed, key).where(F.col("__rank") <= n).drop("__rank")
+def sample_per_class(df: DataFrame, group: str, n: int | Column, key: str, seed: int = 42, most: int | None = None) -> DataFrame:
+    """Exactly n rows of each class (all, if it has fewer); ``most``: rows of the largest class, if known."""
+    return _ranked(df, group, seed, key, most).where(F.col("__rank") <= n).drop("__rank")
 
 
-def draws(df: DataFrame, group: str, wanted: DataFrame, key: str, seed: int = 42, name: str = "draw") -> DataFrame:
+def draws(df: DataFrame, group: str, wanted: DataFrame, key: str, seed: int = 42, name: str = "draw", most: int | None = None) -> DataFrame:
     """Rows drawn with replacement; ``wanted`` has (group, n). The i-th draw of a class takes rank hash(seed, class, i) mod size + 1."""
     sizes = df.groupBy(group).agg(F.count("*").alias("__size"))
     each = wanted.where("n > 0").join(sizes, group).select(group, "__size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias(name))
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"), F.col(name).cast("string"))), 1, 12), 16, 10).cast("long")
     drawn = each.withColumn("__rank", number % F.col("__size") + 1).drop("__size")
-    return drawn.join(_ranked(df, group, seed, key), [group, "__rank"]).drop("__rank")
+    return drawn.join(_ranked(df, group, seed, key, most), [group, "__rank"]).drop("__rank")
 
 
 def balance(df: DataFrame, group: str, key: str, numeric: Sequence[str], share: float = 0.7, seed: int = 42, jitter: float = 0.0) -> DataFrame:
     """Q6, Q7: every class gets the target size (A26); larger ones are sampled, smaller ones get generated rows.
 
     A generated row has the text of one draw of its class and the numbers of a second one, each moved by up to ``jitter`` of itself;
-    ``row_origin`` tells the two kinds apart. The smoothed bootstrap stands for a generative model.
+    ``row_origin`` tells the two kinds apart. This bootstrap (smoothed, if ``jitter`` is given) stands for a generative model.
     """
-    target = target_size(df, group, share).first()[0] or 0
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("size"))
+    held = stored(df.where(F.col(group).isNotNull()), "unbalanced")  # read by all that follows
+    target = target_size(held, group, share).first()[0] or 0
+    sizes = held.groupBy(group).agg(F.count("*").alias("size"))
     wanted = sizes.select(group, F.greatest(F.lit(target) - F.col("size"), F.lit(0)).alias("n"))
-    held = df.where(F.col(group).isNotNull())
-    real = sample_per_class(held, group, target, key, seed).withColumn("row_origin", F.lit("Real"))
-    text = draws(held, group, wanted, key, seed + 1).drop(*numeric)
-    numbers = draws(held.select(group, key, *numeric), group, wanted, key, seed + 2).drop(key)
+    most = sizes.agg(F.max("size")).first()[0] or 0
+    real = sample_per_class(held, group, target, key, seed, most).withColumn("row_origin", F.lit("Real"))
+    text = draws(held, group, wanted, key, seed + 1, most=most).drop(*numeric)
+    numbers = draws(held.select(group, key, *numeric), group, wanted, key, seed + 2, most=most).drop(key)
     made = text.join(numbers, [group, "draw"])
     if jitter:
         for i, c in enumerate(numeric):

@@ -8,11 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomflow.sources.places import stored
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in ``order``; null keys are equal.
 
-    An aggregation rather than a window, so copies are dropped before the shuffle and a key with very many copies is no hot spot.
+    An aggregation rather than a window, so copies are dropped before the shuffle and a key with very many copies is no hot spot. All
+    columns travel with the aggregate: select those that are wanted before it.
     """
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")
@@ -34,15 +37,17 @@ def distinct_sample(df: DataFrame, columns: Sequence[str], n: int = 20) -> DataF
 def dense_ids(df: DataFrame, order: Sequence[Column | str], name: str = "id") -> DataFrame:
     """1..n in sort order without a global window.
 
-    Rows are range partitioned and sorted, numbered within their partition, and shifted by the rows of the partitions before;
-    only one count per partition is gathered. The order must be total.
+    Rows are range partitioned, sorted and written once to the shared folder with their place in their partition; both the counts of the
+    partitions and the ids come from what is written, so they agree however Spark coalesces. Only one count per partition is gathered.
+    The order must be total.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*cols).withColumn("__part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__at", F.monotonically_increasing_id())
+    placed = stored(ranged, "ids").withColumn("__part", F.shiftrightunsigned("__at", 33))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__part").orderBy(*cols)
-    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.row_number().over(within)).drop("__part", "__before")
+    offsets = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__before", "__at")  # one row per partition
 
 
 def padded_id(number: Column, prefix: str, width: int) -> Column:

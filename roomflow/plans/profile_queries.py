@@ -11,6 +11,7 @@ from roomflow.plans import stages
 from roomflow.plans.registry import query
 from roomflow.plans.tables import rooms
 from roomflow.sources import readers
+from roomflow.sources.places import shared_folder, stored
 
 _AREA = r"nullif(regexp_extract(replace(regexp_replace(lower(area_raw), 'm²|m2', '', 'g'), ',', '.'), '(\d+(\.\d+)?)', 1), '')::double"
 _CLEAN = rf"""
@@ -30,7 +31,7 @@ def room_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stages.profile_rooms(rooms(spark, sf_dir)), "price_p10", "price_p90", "price_mean", "area_p10", "area_p90")
 
 
-@query("A1 A2 A3 O2", "SELECT location, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM rooms WHERE location IS NOT NULL GROUP BY 1")
+@query("A1 A2 O2", "SELECT location, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM rooms WHERE location IS NOT NULL GROUP BY 1")
 def location_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(profile.value_shares(rooms(spark, sf_dir), "location"), "share", digits=9)
 
@@ -63,32 +64,32 @@ _FEATURES = f"""{_CLEAN}, feats AS (SELECT row_id, price, people, area, coalesce
     WITH {_FEATURES}, m AS (SELECT room_class, {', '.join(f'avg({n}) AS {n}' for n in _NAMES)} FROM feats GROUP BY 1), u AS (UNPIVOT m ON {', '.join(_NAMES)} INTO NAME flag VALUE share)
     SELECT room_class, flag, round(share, 9) AS share, share >= 0.15 AS common FROM u""")
 def class_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = features.feature_table(stages.clean_rooms(rooms(spark, sf_dir)), "room_type", "bed_type", "facilities", "price", "area", "people", "room_class")
+    table = features.feature_table(stages.clean_rooms(rooms(spark, sf_dir), *stages.FEATURES), "room_type", "bed_type", "facilities", "price", "area", "people", "room_class")
     long = features.melt(profile.group_means(table, "room_class", _NAMES), ["room_class"], _NAMES, "flag", "share")
     common = profile.common_flags(table, "room_class", {n: n for n in _NAMES}, 0.15)
     both = long.join(common, "room_class", "left")
     return both.select("room_class", "flag", F.round("share", 9).alias("share"), F.coalesce(F.array_contains(F.split("common", ", "), F.col("flag")), F.lit(False)).alias("common"))
 
 
-@query("E1 E2 E3 E4 E5 E6 E7 P2", f"WITH {_FEATURES} SELECT row_id, price, people, area, round(price_per_m2, 9) AS price_per_m2, round(m2_per_person, 9) AS m2_per_person, num_facilities, has_luxury_keyword, room_class, {', '.join(_NAMES)}, round(area * people, 6) AS area_people FROM feats")
+@query("E1 E2 E3 E4 E5", f"WITH {_FEATURES} SELECT row_id, price, people, area, round(price_per_m2, 9) AS price_per_m2, round(m2_per_person, 9) AS m2_per_person, num_facilities, has_luxury_keyword, room_class, {', '.join(_NAMES)} FROM feats")
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = features.feature_table(stages.clean_rooms(rooms(spark, sf_dir)), "room_type", "bed_type", "facilities", "price", "area", "people", "room_class")
-    return _rounded(table.withColumn("area_people", F.round(features.interactions(F.col("area"), F.col("people"), F.col("people"))[0], 6)), "price_per_m2", "m2_per_person", digits=9)
+    table = features.feature_table(stages.clean_rooms(rooms(spark, sf_dir), *stages.FEATURES), "room_type", "bed_type", "facilities", "price", "area", "people", "room_class")
+    return _rounded(table, "price_per_m2", "m2_per_person", digits=9)
 
 
 @query("A22 E8 E9 E10 E13", f"""
     WITH {_FEATURES}, r AS (SELECT min(price) AS a, max(price) AS b, min(area) AS c, max(area) AS d FROM feats), l AS (SELECT room_class, row_number() OVER (ORDER BY room_class) - 1 AS i FROM (SELECT DISTINCT room_class FROM feats))
     SELECT row_id, round(coalesce((price - a) / nullif(b - a, 0), 0), 9) AS price, round(coalesce((area - c) / nullif(d - c, 0), 0), 9) AS area, i AS room_class_index, room_class, CASE WHEN room_class = 'PROMO' THEN -1 ELSE i END AS seen_index FROM feats JOIN l USING (room_class), r""")
 def scaled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = stages.clean_rooms(rooms(spark, sf_dir)).select("row_id", "price", "area", "room_class")
+    clean = stored(stages.clean_rooms(rooms(spark, sf_dir), "row_id").select("row_id", "price", "area", "room_class"), "clean")
     scaled = features.scale(clean, features.fit_ranges(clean, ["price", "area"]), ["price", "area"])
-    labels = features.fit_labels(clean, "room_class")
-    coded = features.decode(features.encode(scaled, labels, "room_class").drop("room_class"), labels, "room_class", "room_class_index")
-    seen = features.encode(coded.drop("room_class_index"), labels.where("room_class <> 'PROMO'"), "room_class", -1).select("row_id", F.col("room_class_index").alias("seen_index"))
-    return _rounded(coded.join(seen, "row_id"), "price", "area", digits=9).select("row_id", "price", "area", "room_class_index", "room_class", "seen_index")
+    labels = stored(features.fit_labels(clean, "room_class"), "labels")
+    seen = features.encode(scaled, labels.where("room_class <> 'PROMO'"), "room_class", -1).withColumnRenamed("room_class_index", "seen_index")
+    coded = features.decode(features.encode(seen, labels, "room_class").drop("room_class"), labels, "room_class", "room_class_index")
+    return _rounded(coded, "price", "area", digits=9).select("row_id", "price", "area", "room_class_index", "room_class", "seen_index")
 
 
-@query("A19 F9 F10", """
+@query("A19 F9", """
     SELECT 'final_price' AS a, 'l_linenumber' AS b, round(corr(final_price, l_linenumber), 8) AS r FROM rooms UNION ALL SELECT 'final_price', 'original_price', round(corr(final_price, original_price), 8) FROM rooms UNION ALL SELECT 'l_linenumber', 'original_price', round(corr(l_linenumber, original_price), 8) FROM rooms""")
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators.conform import numeric_columns
@@ -122,7 +123,7 @@ def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.histogram(readers.table(spark, sf_dir, "events"), "value", 30)
 
 
-@query("A22 A24 A29", "SELECT count(*) AS rows, count(location) AS located, count(bed_type) AS beds, round(min(final_price), 6) AS low, round(max(final_price), 6) AS high, round(avg(l_linenumber), 6) AS mean FROM rooms")
+@query("A22 A29", "SELECT count(*) AS rows, count(location) AS located, count(bed_type) AS beds, round(min(final_price), 6) AS low, round(max(final_price), 6) AS high, round(avg(l_linenumber), 6) AS mean FROM rooms")
 def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rooms(spark, sf_dir)
     one = profile.shape(r.select("location", "bed_type"))
@@ -131,11 +132,11 @@ def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(ends)).join(F.broadcast(r.agg(F.round(F.avg("l_linenumber"), 6).alias("mean"))))
 
 
-@query("A23 S9 J1", f"""
+@query("A23 J1", f"""
     WITH {_CLEAN}, g AS (SELECT hotel_name, location, people, row_id, room_class, coalesce(facilities, badge) AS amenities, price::bigint AS price, row_number() OVER (PARTITION BY hotel_name, location ORDER BY row_id) AS nth FROM clean WHERE location IS NOT NULL)
     SELECT hotel_name, location, max(people) FILTER (nth = 1) AS rating, count(*) AS n_rooms, string_agg(row_id, ',' ORDER BY row_id) AS room_ids, sum(price)::bigint AS total, string_agg(amenities, ';' ORDER BY row_id) AS amenities FROM g GROUP BY 1, 2""")
 def hotel_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = stages.nested_hotels(stages.clean_rooms(rooms(spark, sf_dir)))
+    d = stages.nested_hotels(stages.clean_rooms(rooms(spark, sf_dir), "location", "room_type", "facilities", "badge"))
     amenities = F.nullif(F.array_join(F.transform("rooms", lambda r: r["amenities"]), ";"), F.lit(""))
     some = F.size(F.filter("rooms", lambda r: r["amenities"].isNotNull())) > 0
     return d.select("hotel_name", "location", "rating", F.size("rooms").cast("long").alias("n_rooms"), F.array_join("rooms.room_id", ",").alias("room_ids"), F.aggregate("rooms", F.lit(0).cast("long"), lambda a, r: a + r["price"]).alias("total"), F.when(some, F.coalesce(amenities, F.lit(""))).alias("amenities"))
@@ -163,7 +164,7 @@ def outlier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.flag_outliers(readers.table(spark, sf_dir, "events"), "value").select("event_id", "outlier")
 
 
-@query("Q3 Q4", f"WITH b AS (SELECT event_type, {_bounds_sql('percentile')} FROM events GROUP BY 1) SELECT event_id, value FROM events JOIN b USING (event_type) WHERE value BETWEEN low AND high", rooms=False)
+@query("Q3", f"WITH b AS (SELECT event_type, {_bounds_sql('percentile')} FROM events GROUP BY 1) SELECT event_id, value FROM events JOIN b USING (event_type) WHERE value BETWEEN low AND high", rooms=False)
 def trimmed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.drop_outliers(readers.table(spark, sf_dir, "events"), "value", "event_type", "percentile").select("event_id", "value")
 
@@ -247,22 +248,43 @@ def suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.suspect_labels(_predictions(spark, sf_dir).withColumn("confidence", confidence), "room_class", "predicted", "confidence").select("row_id", "predicted")
 
 
-@query("H1 H3 H5 H6 H7 H8 H9 H11")
-def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.col("html")
-    p = readers.table(spark, sf_dir, "pages")
-    card = p.withColumn("card", pages.card_fields(html)).withColumn("items", F.split(pages.amenities(html), r" \| "))
-    return card.select("page_id", pages.name(html).alias("name"), pages.reviews(html).alias("reviews"), pages.discount(html).alias("discount"), F.array_join(pages.list_prices(html), ";").alias("prices"), pages.amenities(html).alias("amenities"), pages.facility_lines(F.regexp_replace(html, "<[^>]*>", "\n")).alias("lines"), "card.*", pages.room_attributes(F.col("items"), pages.visible(html)).getField("occupancy").alias("occupancy"))
+@query("A3", "SELECT room_class, count(*) AS rejected FROM rooms WHERE location IS NULL OR location = 'Unknown' GROUP BY 1")
+def rejected_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.operators.conform import with_reject_reason
 
+    r = with_reject_reason(rooms(spark, sf_dir).select("room_class", "location", F.lit(20.0).alias("area")), "location", "area")
+    return r.where("reject_reason IS NOT NULL").groupBy("room_class").agg(F.count("*").alias("rejected")).orderBy("room_class")
 
-@query("H2 H4")
-def page_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.table(spark, sf_dir, "pages").select("page_id", pages.rating(F.col("html")).alias("rating"), pages.address(F.col("html")).alias("address"))
 
+@query("A24", f"SELECT count({_AREA}) AS present, round(avg({_AREA}), 6) AS mean FROM rooms")
+def cleaned_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.functions.parse import area_comma
 
-@query("H10 U5 F8")
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.links(readers.table(spark, sf_dir, "pages"), "html", "https://stay.example", "stay.example", "^/.+")
+    return rooms(spark, sf_dir).select(area_comma(F.col("area_raw")).alias("area")).agg(F.count("area").alias("present"), F.round(F.avg("area"), 6).alias("mean"))
+
+
+def _cut(source: str, group: str, low: float, high: float, factor: float | None = None) -> str:
+    """Rows of ``source`` inside the bounds of a group's percentiles, or of quartiles and a factor."""
+    ends = f"greatest(0, quantile_cont(value, {low})) AS lo, quantile_cont(value, {high}) AS hi" if factor is None else f"greatest(0, quantile_cont(value, 0.25) - {factor} * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25))) AS lo, quantile_cont(value, 0.75) + {factor} * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS hi"
+    return f"SELECT e.* FROM {source} e JOIN (SELECT {group}, {ends} FROM {source} GROUP BY 1) b USING ({group}) WHERE value BETWEEN lo AND hi"
+
+
+@query("Q4", f"WITH a AS ({_cut('events', 'event_type', 0.15, 0.85)}), b AS ({_cut('a', 'event_type', 0, 0, 1.5)}), c AS ({_cut('b', 'event_type', 0.01, 0.99)}) SELECT event_id, value FROM c", rooms=False)
+def older_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = readers.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    e = quality.drop_outliers(e, "value", "event_type", "percentile", shares=(0.15, 0.85))
+    e = quality.drop_outliers(e, "value", "event_type", "iqr", factor=1.5)
+    return quality.drop_outliers(e, "value", "event_type", "percentile", shares=(0.01, 0.99)).select("event_id", "value")
+
+
+@query("E6 E7 N16", "SELECT row_id, len(facilities) - len(replace(facilities, ',', '')) + 1 AS n_facilities, l_linenumber * (l_linenumber % 5) AS area_stars, (l_linenumber / 2.0)::double * l_linenumber AS score_area, CASE WHEN original_price > 0 AND original_price < final_price THEN final_price ELSE original_price END AS original, CASE WHEN original_price > 0 AND original_price < final_price THEN original_price ELSE final_price END AS final FROM rooms")
+def older_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.functions.parse import swap_prices
+
+    area, rated = F.col("l_linenumber"), F.col("l_linenumber") / 2
+    area_stars, score_area = features.interactions(area, area % 5, rated)
+    original, final = swap_prices(F.col("original_price"), F.col("final_price"))
+    return rooms(spark, sf_dir).select("row_id", features.count_commas(F.col("facilities")).alias("n_facilities"), area_stars.alias("area_stars"), score_area.alias("score_area"), original.alias("original"), final.alias("final"))
 
 
 _MODEL = ["price", "people", "area", "price_per_m2", "m2_per_person", "num_facilities"]
@@ -271,7 +293,7 @@ _MODEL = ["price", "people", "area", "price_per_m2", "m2_per_person", "num_facil
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators.models import label_rank
 
-    table = features.feature_table(stages.clean_rooms(rooms(spark, sf_dir)), "room_type", "bed_type", "facilities", "price", "area", "people", "room_class")
+    table = features.feature_table(stages.clean_rooms(rooms(spark, sf_dir), *stages.FEATURES), "room_type", "bed_type", "facilities", "price", "area", "people", "room_class")
     return quality.stratified_split(label_rank(table.withColumn("people", F.col("people").cast("double")), "room_class"), "room_class", "row_id")
 
 
@@ -298,7 +320,7 @@ def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stacked_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators import models
 
-    t = stages.clean_rooms(rooms(spark, sf_dir)).select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people"))
+    t = stages.clean_rooms(rooms(spark, sf_dir), "row_id").select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people"))
     fitted = models.stacked_regression(t, "label", ["area", "people"], "row_id", folds=2)
     return evaluate.price_gap(models.predict_stacked(fitted, t, ["area", "people"]), "price", "prediction").select("row_id", F.round("gap", 2).alias("gap"))
 
@@ -307,7 +329,7 @@ def stacked_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tuned_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators import models
 
-    t = stages.clean_rooms(rooms(spark, sf_dir)).select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people"))
+    t = stages.clean_rooms(rooms(spark, sf_dir), "row_id").select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people"))
     best = models.price_regression(t, "label", ["area", "people"], folds=2)
     return evaluate.price_gap(best.transform(models.assemble(t, ["area", "people"])), "price", "prediction").select("row_id", F.round("gap", 2).alias("gap"))
 
@@ -319,8 +341,6 @@ def stored_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import RandomForestClassificationModel
 
     from roomflow.operators import models
-    from roomflow.sources.places import shared_folder
-
     t = _training(spark, sf_dir).persist()
     model, _, _ = models.random_forest(t.where("split = 'train'"), t.where("split = 'validation'"), _MODEL, "label", trees=(5,), depth=4)
     path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
@@ -336,6 +356,6 @@ def prepared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from roomflow.operators import models
 
-    t = stages.clean_rooms(rooms(spark, sf_dir)).select("row_id", "room_class", F.when(F.col("l_linenumber") % 5 != 0, F.col("price")).alias("price"))
+    t = stages.clean_rooms(rooms(spark, sf_dir), "l_linenumber").select("row_id", "room_class", F.when(F.col("l_linenumber") % 5 != 0, F.col("price")).alias("price"))
     out = models.preparation(["price"], ["room_class"], median_error=0.0).fit(t).transform(t).withColumn("v", vector_to_array("features"))
     return out.select("row_id", F.round(F.col("v")[0], 2).alias("x"), *[F.col("v")[i + 1].alias(f"h{i}") for i in range(6)])

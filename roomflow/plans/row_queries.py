@@ -12,28 +12,31 @@ from roomflow.sources import readers, sinks
 
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("area"), F.col("p_brand").alias("brand"))
+    """Details of all parts; every third one under a key that no room has."""
+    shifted = F.when(F.col("p_partkey") % 3 == 0, -F.col("p_partkey")).otherwise(F.col("p_partkey"))
+    return readers.table(spark, sf_dir, "part").select(shifted.alias("l_partkey"), F.col("p_size").alias("area"), F.col("p_brand").alias("brand"))
 
 
-@query("J1 J2 J3 J4 O2 N22", "SELECT row_id, l_partkey, coalesce(p_size, 0) AS area, p_brand AS brand FROM rooms LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON l_partkey = p_partkey")
+@query("J1 J2 J3 J4 O2 N22", "SELECT row_id, l_partkey, coalesce(p_size, 0) AS area, p_brand AS brand FROM rooms LEFT JOIN part ON l_partkey = CASE WHEN p_partkey % 3 = 0 THEN -p_partkey ELSE p_partkey END")
 def left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rooms(spark, sf_dir).select("row_id", "l_partkey")
     return rows.left_details(r, _details(spark, sf_dir), "l_partkey").select("row_id", "l_partkey", F.coalesce("area", F.lit(0)).alias("area"), "brand").orderBy("row_id")
 
 
-@query("J5", "WITH h AS (SELECT s_suppkey, 'https://stay.example/' || s_suppkey AS url, s_name AS hotel_name, s_acctbal FROM supplier WHERE s_suppkey % 4 <> 0) SELECT row_id, rooms.hotel_name, h.hotel_name AS hotel_name_hotel, s_acctbal FROM rooms LEFT JOIN h ON regexp_replace(hotel_link, '#.*', '') = url")
+@query("J5", "WITH h AS (SELECT s_suppkey, 'https://' || CASE WHEN s_suppkey % 4 = 0 THEN 'moved.example/' ELSE 'stay.example/' END || s_suppkey AS url, s_name AS hotel_name, s_acctbal FROM supplier) SELECT row_id, rooms.hotel_name, h.hotel_name AS hotel_name_hotel, s_acctbal FROM rooms LEFT JOIN h ON regexp_replace(hotel_link, '#.*', '') = url")
 def url_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hotels = readers.table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0").select(F.concat(F.lit("https://stay.example/"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_name").alias("hotel_name"), "s_acctbal")
+    host = F.when(F.col("s_suppkey") % 4 == 0, F.lit("https://moved.example/")).otherwise(F.lit("https://stay.example/"))
+    hotels = readers.table(spark, sf_dir, "supplier").select(F.concat(host, F.col("s_suppkey").cast("string")).alias("url"), F.col("s_name").alias("hotel_name"), "s_acctbal")
     r = rooms(spark, sf_dir).select("row_id", "hotel_name", F.regexp_replace("hotel_link", "#.*", "").alias("link"))
     return rows.left_by_urls(r, hotels, "link", "url").select("row_id", "hotel_name", "hotel_name_hotel", "s_acctbal")
 
 
-@query("J6", "SELECT l_partkey, count(*) AS n FROM rooms WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0) GROUP BY 1")
+@query("J6", "SELECT l_partkey, count(*) AS n FROM rooms WHERE l_partkey NOT IN (SELECT CASE WHEN p_partkey % 3 = 0 THEN -p_partkey ELSE p_partkey END FROM part) GROUP BY 1")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orphans(rooms(spark, sf_dir).select("row_id", "l_partkey"), _details(spark, sf_dir), "l_partkey").groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 
-@query("J7 U3 W5 W6", """
+@query("J7 W5 W6", """
     WITH p AS (SELECT n_name AS city, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS hotel_id, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
     k AS (SELECT *, 'HTL_' || lpad(row_number() OVER (ORDER BY city, hotel_id)::varchar, 5, '0') AS new_id FROM p)
     SELECT row_id, k.city, k.hotel_id, new_id FROM rooms JOIN k ON l_suppkey = s_suppkey""")
@@ -93,9 +96,10 @@ def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("row_id", "id", rows.padded_id(F.col("id"), "ROOM_", 6).alias("room_code"))
 
 
-@query("U4 U5", "SELECT DISTINCT regexp_replace(hotel_link, '#.*', '') AS hotel_link FROM rooms WHERE regexp_replace(hotel_link, '#.*', '') NOT IN (SELECT 'https://stay.example/' || s_suppkey FROM supplier WHERE s_suppkey % 5 = 0)")
+@query("U5", "SELECT DISTINCT regexp_replace(hotel_link, '#.*', '') AS hotel_link FROM rooms WHERE regexp_replace(hotel_link, '#.*', '') NOT IN (SELECT 'https://' || CASE WHEN s_suppkey % 5 = 0 THEN 'stay.example/' ELSE 'moved.example/' END || s_suppkey FROM supplier)")
 def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = readers.table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.concat(F.lit("https://stay.example/"), F.col("s_suppkey").cast("string")).alias("hotel_link"))
+    host = F.when(F.col("s_suppkey") % 5 == 0, F.lit("https://stay.example/")).otherwise(F.lit("https://moved.example/"))
+    seen = readers.table(spark, sf_dir, "supplier").select(F.concat(host, F.col("s_suppkey").cast("string")).alias("hotel_link"))
     return rows.unseen(rows.canonical_links(rooms(spark, sf_dir), "hotel_link"), seen, "hotel_link")
 
 
@@ -105,7 +109,7 @@ def ordered_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.array_join(rows.ordered_distinct(F.array(F.lit("x"), "event_type", F.lit("y"), "event_type", F.lit("x"))), " | ").alias("tags"))
 
 
-@query("O3 O4 A1", "SELECT hotel_name, count(*) AS n FROM rooms GROUP BY 1 ORDER BY n DESC, hotel_name LIMIT 10")
+@query("O3 A1", "SELECT hotel_name, count(*) AS n FROM rooms GROUP BY 1 ORDER BY n DESC, hotel_name LIMIT 10")
 def top_hotels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators.profile import value_counts
 
@@ -132,7 +136,7 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.key_violations(readers.table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("S1 S13 S14", "SELECT page_id, url FROM pages WHERE (page_id BETWEEN 0 AND 99 OR page_id BETWEEN 150 AND 100000000) AND starts_with(url, 'https')", rooms=False)
+@query("S1 S13", "SELECT page_id, url FROM pages WHERE (page_id BETWEEN 0 AND 99 OR page_id BETWEEN 150 AND 100000000) AND starts_with(url, 'https')", rooms=False)
 def ranged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.ranged(readers.table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", [(0, 99), (150, 100_000_000)], "url", "https")
 
@@ -160,6 +164,17 @@ def split_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.plain_split(rooms(spark, sf_dir).select("row_id"), "row_id", 0.2).select("row_id", "split")
 
 
+@query("W8", """
+    WITH c AS (SELECT room_class, count(*) AS n FROM rooms GROUP BY 1), k AS (SELECT row_id, room_class, row_number() OVER (PARTITION BY room_class ORDER BY md5('42|' || row_id)) AS nth FROM rooms),
+    t AS (SELECT ceil(round(sum(n) * 0.2, 6))::bigint AS want, sum(n) AS total FROM c),
+    e AS (SELECT room_class, floor(n * want / total)::bigint AS low, n * want / total - floor(n * want / total) AS part, want FROM c, t),
+    q AS (SELECT room_class, low + CASE WHEN row_number() OVER (ORDER BY part DESC, room_class) <= want - sum(low) OVER () THEN 1 ELSE 0 END AS test FROM e)
+    SELECT row_id, room_class, CASE WHEN nth <= test THEN 'test' ELSE 'train' END AS split FROM k JOIN q USING (room_class)""")
+def split_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rooms(spark, sf_dir).select("row_id", "room_class")
+    return quality.stratified_split(r, "room_class", "row_id", (0.8, 0.2), names=("train", "test", "test")).select("row_id", "room_class", "split")
+
+
 @query("W9", "SELECT row_id, room_class FROM (SELECT row_id, room_class, row_number() OVER (PARTITION BY room_class ORDER BY md5('42|' || row_id)) AS nth FROM rooms) WHERE nth <= 300")
 def class_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sample_per_class(rooms(spark, sf_dir).select("row_id", "room_class"), "room_class", 300, "row_id").select("row_id", "room_class")
@@ -174,16 +189,3 @@ def class_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rooms(spark, sf_dir).select("row_id", "room_class")
     wanted = r.select("room_class").distinct().withColumn("n", F.lit(200))
     return quality.draws(r, "room_class", wanted, "row_id").select("room_class", "draw", "row_id")
-
-
-@query("C12 H12", """
-    WITH f AS (SELECT url AS link, CASE WHEN contains(lower(html), 'the ') THEN 'has' END AS x FROM pages)
-    SELECT page_id, url AS link, 'Unknown' AS location FROM pages WHERE NOT contains(lower(html), 'không còn phòng')""", rooms=False)
-def located_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from roomflow.operators import pages
-
-    p = pages.with_rooms(readers.table(spark, sf_dir, "pages"), "html", "không còn phòng")
-    listings = p.select("page_id", F.col("url").alias("link"), F.lit("Unknown").alias("location"))
-    return pages.fill_location(listings, p, "link", "url", "html", "location").select("page_id", "link", "location")
-
-

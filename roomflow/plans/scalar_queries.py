@@ -169,7 +169,7 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGET = T.StructType([T.StructField(n, t) for n, t in (("data_source", T.StringType()), ("hotel_name", T.StringType()), ("hotel_link", T.StringType()), ("address", T.StringType()), ("rating", T.DoubleType()), ("room_type", T.StringType()), ("bed_type", T.StringType()), ("area_m2", T.DoubleType()), ("facilities", T.StringType()), ("price", T.DoubleType()))])
 
 
-@query("P1 P2 P3 P4 P5 P6 P7 P8 P9 P10 U1 U2", rf"""
+@query("P1 P3 P4 P6 P7 U1 U2", rf"""
     WITH a AS (SELECT 'site_a' AS data_source, hotel_name, hotel_link, address, try_cast(replace(score_raw, ',', '.') AS double) AS rating, room_type, bed_type, {_first(_UNIT, r'(\d+(\.\d+)?)')}::double AS area_m2, facilities, round(final_price, 4) AS price FROM rooms WHERE l_suppkey % 2 = 0),
     b AS (SELECT 'site_b' AS data_source, hotel_name, NULL AS hotel_link, NULL AS address, NULL::double AS rating, room_type, NULL AS bed_type, NULL::double AS area_m2, NULL AS facilities, round(original_price, 4) AS price FROM rooms WHERE l_suppkey % 2 = 1)
     SELECT data_source, hotel_name, hotel_link, address, CASE WHEN isnan(rating) THEN NULL ELSE rating END AS rating, room_type, bed_type, area_m2, facilities, price, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")

@@ -9,8 +9,16 @@ from roomflow.functions import classify, parse
 from roomflow.operators import conform, features, profile, quality, rows
 
 
-def clean_rooms(raw: DataFrame) -> DataFrame:
-    """Text and numbers read, classes set; rows without price, area or people and repeated rooms go."""
+KEYS = ("hotel_name", "room_class", "price", "area", "people")
+FEATURES = ("room_type", "bed_type", "facilities")
+
+
+def clean_rooms(raw: DataFrame, *columns: str) -> DataFrame:
+    """Text and numbers read, classes set; rows without price, area or people and repeated rooms go.
+
+    With ``columns``, only the keys, the row id and those columns (of the source, ``level`` or ``bed_class``) travel through the
+    de-duplication; without, all.
+    """
     parsed = raw.withColumns({
         "price": parse.price_digits(F.col("price_raw")).cast("double"),
         "area": parse.area_comma(F.col("area_raw")),
@@ -19,12 +27,14 @@ def clean_rooms(raw: DataFrame) -> DataFrame:
         "bed_class": classify.bed_family(F.col("bed_type")),
     })
     whole = conform.complete(parsed, ["price", "area", "people"])
-    return rows.keep_first(whole, ["hotel_name", "room_class", "price", "area", "people"], ["row_id"])
+    if columns:
+        whole = whole.select(*dict.fromkeys((*KEYS, "row_id", *columns)))
+    return rows.keep_first(whole, list(KEYS), ["row_id"])
 
 
 def profile_rooms(raw: DataFrame) -> DataFrame:
     """The minimum slice: price and area profile per class after cleaning, de-duplication and outlier removal."""
-    trimmed = quality.drop_outliers(clean_rooms(raw), "price", "room_class", factor=0.8)
+    trimmed = quality.drop_outliers(clean_rooms(raw, "row_id"), "price", "room_class", factor=0.8)
     return profile.class_profile(trimmed, "room_class", "price", "area")
 
 

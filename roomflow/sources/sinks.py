@@ -26,8 +26,14 @@ def upsert(target: DataFrame, new: DataFrame, key: str, columns: Sequence[str])
 
 
 def csv(df: DataFrame, path: str, separator: str = ",") -> None:
-    """S3, S8, S14."""
-    df.write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+    """S3, S14."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("sep", separator).csv(path)
+
+
+def csv_for_people(df: DataFrame, path: str) -> None:
+    """Every file starts with the mark by which spreadsheets tell UTF-8."""
+    first = df.columns[0]
+    csv(df.withColumnRenamed(first, f"\ufeff{first}"), path)
 
 
 def nested_json(df: DataFrame, path: str) -> None:

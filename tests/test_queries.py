@@ -43,8 +43,12 @@ def test_same_rows(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE_SQL.keys()))
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).limit(5).toPandas().shape[1] >= 1
+def test_runs(spark, sf, name, tmp_path):
+    """The others can be written whole, with unique column names."""
+    got = QUERIES[name](spark, sf)
+    assert len(set(got.columns)) == len(got.columns)
+    got.write.parquet(str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() > 0
 
 
 def test_all_covered():

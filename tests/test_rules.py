@@ -148,7 +148,8 @@ def test_pages(spark):
     html = '<h1 class="x">Khách <b>sạn</b></h1><span>9,5<svg/></span><span>8.1</span><span>12 Lê Lợi, Quận 1, Việt Nam</span><p>1.234 đánh giá -18% 2.894.667 ₫</p><ul><li>Wifi</li><li>Pool</li><li>Wifi</li></ul><a href="/hotel/12-a.html#x">a</a>'
     df = spark.createDataFrame([(html,), (None,), ("",)], "h string")
     h = F.col("h")
-    r = df.select(pages.name(h), pages.rating(h), pages.address(h), pages.reviews(h), pages.discount(h), pages.list_prices(h), pages.amenities(h)).first()
+    t = pages.visible(h)
+    r = df.select(pages.name(h), pages.rating(h), pages.address(h, t), pages.reviews(t), pages.discount(t), pages.list_prices(t), pages.amenities(h)).first()
     assert tuple(r) == ("Khách sạn", "9,5", "12 Lê Lợi, Quận 1, Việt Nam", "1234", "-18%", ["2.894.667 ₫"], "Wifi | Pool")
     assert [x[0] for x in pages.links(df, "h", "https://stay.example", "stay.example", r"^/hotel/\d+-.*\.html$").collect()] == ["https://stay.example/hotel/12-a.html"]
     assert df.select(pages.facility_lines(F.lit("Wifi\nĐóng\n x \nPool"))).first()[0] == "Wifi, Pool"
@@ -167,3 +168,32 @@ def test_nested_documents(spark):
     df = spark.createDataFrame([("h", "l", "2", "t", "c", 1.0, 5.0, "f", "b", 2), ("h", "l", "1", "t", "c", 1.0, 6.0, None, "b", 3), ("h", None, "3", "t", "c", 1.0, 6.0, None, "b", 3)], "hotel_name string, location string, row_id string, room_type string, room_class string, area double, price double, facilities string, badge string, people int")
     got = nested_hotels(df).collect()
     assert len(got) == 1 and [r["room_id"] for r in got[0]["rooms"]] == ["1", "2"] and got[0]["rating"] == 3 and got[0]["rooms"][0]["amenities"] == "b"
+
+
+def test_dense_ids_keep_all_rows(spark):
+    """Wide rows, many partitions and small coalescing: the written table has every row and 1..n."""
+    from roomflow.sources.places import stored
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        df = spark.range(400_000).select(F.xxhash64("id").alias("k"), "id", F.rpad(F.col("id").cast("string"), 128, "x").alias("pad"))
+        got = rows.dense_ids(df, ["k", "id"], "n")
+        back = stored(got, "dense")
+        assert back.agg(F.count("*"), F.min("n"), F.max("n"), F.countDistinct("n"), F.countDistinct("id")).first() == (400_000, 1, 400_000, 400_000, 400_000)
+        small = back.where("n <= 50").orderBy("n").toPandas()
+        assert small.k.is_monotonic_increasing
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_first_rows_carry_what_is_read(spark, sf):
+    """Only the wanted columns go through the de-duplication of rooms."""
+    from roomflow.plans.stages import clean_rooms
+    from roomflow.plans.tables import rooms
+
+    plan = clean_rooms(rooms(spark, sf), "facilities")._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(line for line in plan.splitlines() if "min_by" in line)
+    assert "facilities" in aggregate and not any(c in aggregate for c in ("address", "room_text", "check_in", "bed_tags"))
