@@ -150,6 +150,22 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
 
+def _hashed(order: int, number: dict[str, int]):
+    """Rows (lang, gram, n) as numbers: hash, index of the language, count; 16 bytes instead of texts."""
+
+    def run(batches):
+        for batch in batches:
+            grams = batch.column("gram").to_pylist()
+            if order:
+                key = _roll(np.array([[ord(c) for c in g] for g in grams], np.uint64).reshape(-1, order), order)[:, 0] if grams else np.zeros(0, np.uint64)
+            else:
+                key = np.fromiter((xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams), np.uint64, len(grams))
+            language = np.fromiter((number[x] for x in batch.column("lang").to_pylist()), np.int32, len(grams))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(language), batch.column("n").cast(pa.int32())], names=["key", "language", "n"])
+
+    return run
+
+
 def _grams(text: Column, order: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(text) - order + 1), lambda i: F.substring(text, i, F.lit(order)))
 
@@ -170,19 +186,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = usable.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
     words = sample.select("text", "lang").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     padded = F.concat(F.lit("\x02"), F.col("word"), F.lit("\x03"))
-    counts: dict[int, list] = {}
+    counts: dict[int, tuple] = {}
+    number = {x: i for i, x in enumerate(languages)}
     for order in (0, *ORDERS):
         if order:
             grams = _grams(padded, order)
             table = words.where(F.char_length(padded) >= order).select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         else:
             table = words.withColumnRenamed("word", "gram")
-        rows = table.select("lang", "gram", "n").toPandas()  # of the sample, which is bounded
-        if order:
-            key = _roll(np.array([[ord(c) for c in g] for g in rows["gram"]], np.uint64).reshape(-1, order), order)[:, 0] if len(rows) else np.zeros(0, np.uint64)
-        else:
-            key = np.array([xxhash.xxh64_intdigest(w.encode()) for w in rows["gram"]], np.uint64)
-        counts[order] = (key, np.array([languages.index(x) for x in rows["lang"]], np.int64), rows["n"].to_numpy(np.float64))
+        rows = table.select("lang", "gram", "n").mapInArrow(_hashed(order, number), "key long, language int, n int").toArrow()  # of the sample, which is bounded
+        key, language, n = (rows.column(c).to_numpy() for c in ("key", "language", "n"))
+        counts[order] = (key.view(np.uint64), language.astype(np.int64), n.astype(np.float64))
     words.unpersist()
     return Model(languages, counts)
 
