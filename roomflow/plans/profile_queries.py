@@ -297,31 +297,57 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.stratified_split(label_rank(table.withColumn("people", F.col("people").cast("double")), "room_class"), "room_class", "row_id")
 
 
-@query("L1 L2 L4 L6 O4 O6")
+#: The sizes that are tried for forests, and the fixed one.
+TREES, FIXED_TREES, DEPTH = (50, 100, 200), 100, 10
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    t = stored(_training(spark, sf_dir), "training")
+    return t.where("split = 'train'"), t.where("split = 'validation'"), t.where("split = 'test'")
+
+
+@query("L1 L6 O6")
 def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators import models
 
-    t = _training(spark, sf_dir).persist()
+    train, validation, test = _parts(spark, sf_dir)
+    chosen = [*_MODEL, *_NAMES]
+    model, _, _ = models.random_forest(train, validation, chosen, "label", trees=TREES, depth=DEPTH)
+    return models.score(model, test, chosen, "label").select("row_id", "room_class", "prediction", F.round("confidence", 6).alias("confidence"), "correct")
+
+
+@query("L2 L4 O4")
+def feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten features that count most in the forest of fixed size."""
+    from roomflow.operators import models
+
+    train, validation, _ = _parts(spark, sf_dir)
     chosen = [*_MODEL, *_NAMES]
-    model, _, _ = models.random_forest(t.where("split = 'train'"), t.where("split = 'validation'"), chosen, "label", trees=(5, 10), depth=5)
-    return models.score(model, t.where("split = 'test'"), chosen, "label").select("row_id", "room_class", "prediction", F.round("confidence", 6).alias("confidence"), "correct")
+    model, _, _ = models.random_forest(train, validation, chosen, "label", trees=(FIXED_TREES,), depth=DEPTH)
+    return models.importance(model, chosen, spark)
 
 
 @query("L3 Q8")
 def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six boosted models against the rest, of 50 rounds each (README)."""
     from roomflow.operators import models
 
-    t = _training(spark, sf_dir).persist()
-    model = models.boosted_trees(t.where("split = 'train'"), _MODEL, "label", rounds=3, depth=3)
-    return models.score(model, t.where("split = 'test'"), _MODEL, "label").select("row_id", "prediction", F.round("confidence", 6).alias("confidence"), "correct")
+    train, _, test = _parts(spark, sf_dir)
+    model = models.boosted_trees(train, _MODEL, "label", rounds=50, depth=6)
+    return models.score(model, test, _MODEL, "label").select("row_id", "prediction", F.round("confidence", 6).alias("confidence"), "correct")
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stages.clean_rooms(rooms(spark, sf_dir), "row_id")
+    return stored(t.select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people")), "priced")
 
 
 @query("L8 L9")
 def stacked_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators import models
 
-    t = stages.clean_rooms(rooms(spark, sf_dir), "row_id").select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people"))
-    fitted = models.stacked_regression(t, "label", ["area", "people"], "row_id", folds=2)
+    t = _priced(spark, sf_dir)
+    fitted = models.stacked_regression(t, "label", ["area", "people"], "row_id", folds=5)
     return evaluate.price_gap(models.predict_stacked(fitted, t, ["area", "people"]), "price", "prediction").select("row_id", F.round("gap", 2).alias("gap"))
 
 
@@ -329,23 +355,25 @@ def stacked_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tuned_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators import models
 
-    t = stages.clean_rooms(rooms(spark, sf_dir), "row_id").select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people"))
-    best = models.price_regression(t, "label", ["area", "people"], folds=2)
+    t = _priced(spark, sf_dir)
+    best = models.price_regression(t, "label", ["area", "people"], folds=3)
     return evaluate.price_gap(best.transform(models.assemble(t, ["area", "people"])), "price", "prediction").select("row_id", F.round("gap", 2).alias("gap"))
 
 
 @query("L5")
 def stored_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest of fixed size, saved, loaded and applied."""
     import uuid
 
     from pyspark.ml.classification import RandomForestClassificationModel
 
     from roomflow.operators import models
-    t = _training(spark, sf_dir).persist()
-    model, _, _ = models.random_forest(t.where("split = 'train'"), t.where("split = 'validation'"), _MODEL, "label", trees=(5,), depth=4)
+
+    train, validation, test = _parts(spark, sf_dir)
+    model, _, _ = models.random_forest(train, validation, _MODEL, "label", trees=(FIXED_TREES,), depth=DEPTH)
     path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
     models.save(model, path)
-    return models.score(RandomForestClassificationModel.load(path), t.where("split = 'test'"), _MODEL, "label").select("row_id", "prediction", F.round("confidence", 6).alias("confidence"))
+    return models.score(RandomForestClassificationModel.load(path), test, _MODEL, "label").select("row_id", "prediction", F.round("confidence", 6).alias("confidence"))
 
 
 @query("E11 E12", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roomflow.functions import classify, parse
 from roomflow.operators import conform, features, profile, quality, rows
+from roomflow.sources.places import stored
 
 
 KEYS = ("hotel_name", "room_class", "price", "area", "people")
@@ -40,7 +41,7 @@ def profile_rooms(raw: DataFrame) -> DataFrame:
 
 def balanced_rooms(raw: DataFrame, seed: int = 42) -> DataFrame:
     """Steps 1-5: conform and clean, drop unknown places and large areas, fill, remove outliers, balance, remove loose outliers."""
-    cleaned = conform.with_reject_reason(clean_rooms(raw), "location", "area").where("reject_reason IS NULL").drop("reject_reason")
+    cleaned = conform.with_reject_reason(clean_rooms(raw, "location", *FEATURES), "location", "area").where("reject_reason IS NULL").drop("reject_reason")
     filled = quality.fill_median(cleaned, ["price", "area"])
     strict = quality.drop_outliers(quality.drop_outliers(filled, "area"), "price", "room_class")
     balanced = quality.balance(strict, "room_class", "row_id", ["price", "area", "people"], seed=seed)
@@ -49,10 +50,11 @@ def balanced_rooms(raw: DataFrame, seed: int = 42) -> DataFrame:
 
 def scaled_features(raw: DataFrame) -> DataFrame:
     """Features, scaled and encoded, with their split."""
-    table = features.feature_table(clean_rooms(raw), "room_type", "bed_type", "facilities", "price", "area", "people", "room_class")
+    table = features.feature_table(clean_rooms(raw, *FEATURES), "room_type", "bed_type", "facilities", "price", "area", "people", "room_class")
     numbers = ["price", "people", "area", "price_per_m2", "m2_per_person", "num_facilities"]
+    table = stored(table, "features")  # read for ranges, labels, counts and rows
     scaled = features.scale(table, features.fit_ranges(table, numbers), numbers)
-    encoded = features.encode(scaled, features.fit_labels(scaled, "room_class"), "room_class")
+    encoded = features.encode(scaled, features.fit_labels(table, "room_class"), "room_class")
     return quality.stratified_split(encoded, "room_class", "row_id")
 
 
