@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -11,11 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where a local session names none, a folder in its warehouse. A cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/.stages"
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return base.rstrip("/")
 
 

@@ -31,9 +31,12 @@ def components(links: DataFrame, stage: Stage, name: str = "component") -> DataF
 
     Each task first contracts its own links (there are fewer of them than documents, and a task holds its share only). Then each round
     a node takes the smallest label among its own and its neighbours', and after that its label's label (pointer jumping), until no
-    label changes. Labels are written each round; nothing but whether any has moved comes to the driver.
+    label changes. Labels are written each round; nothing but whether any has moved comes to the driver. Most nodes of a large component
+    soon have one neighbour and one label in common; both joins are inner ones with nothing above that needs their keys together, so
+    Spark's skew handling deals such a key's rows over many tasks. Repeated links and links of a node with itself are harmless; rows
+    with a null are passed over; an empty table gives an empty result.
     """
-    star = links.select("a", "b").mapInArrow(_contract, "a long, b long").distinct()
+    star = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(_contract, "a long, b long").distinct()
     both = stage.write(star.select(F.col("a").alias("node"), F.col("b").alias("other")).union(star.select("b", "a")).union(star.select("b", "b")).union(star.select("a", "a")).distinct(), f"{name}-edges")
     labels = both.select("node").distinct().withColumn("label", F.col("node"))
     turn = 0

@@ -382,3 +382,25 @@ def test_pipeline(spark, sf):
     assert all(i == t for i, t in top.items())
     pieces = corpus_pipeline.run(spark, sf).toPandas()
     assert set(pieces.doc_id) == set(kept.doc_id) and (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_pipeline_edges(spark, sf, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns in every stage."""
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(60)]
+    rows = [(1, None, "en"), (2, "", "en"), (3, " ".join(words), "en"), (3, " ".join(words), "en"), (4, " ".join(words + ["more"]), None), (None, "only letters here", None), (5, "12 34 ½", "en"), (6, LONG, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in CLASH})
+    steps = dict(corpus_pipeline.STAGES)
+    spark.createDataFrame([(3, 0), (6, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    place, empty = str(tmp_path), docs.where("false")
+    kept = steps["toxicity"](spark, docs, place)
+    assert kept.columns == docs.columns and kept.count() == len(rows)  # no toxic label: nothing goes
+    told = steps["language"](spark, docs, place)
+    assert told.columns == docs.columns and sorted((r["doc_id"] or 0) for r in told.collect()) == [0, 3, 3, 4, 6]
+    lone = steps["near_dedup"](spark, docs, place)
+    assert lone.columns == docs.columns and sorted((r["doc_id"] or 0) for r in lone.collect()) == [0, 1, 2, 3, 5, 6]
+    packed = steps["packing"](spark, docs, place).toPandas()
+    assert packed[packed.start == 0].doc_tokens.min() == 1 and (packed.start == 0).sum() == len(rows)
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, empty, place).count() == 0, name
