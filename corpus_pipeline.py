@@ -1,4 +1,8 @@
-"""Corpus pipeline: toxicity, language, near-duplicates, packing; each stage's result is written and read again."""
+"""Corpus pipeline: toxicity, language, near-duplicates, packing; each stage's result is written and read again.
+
+For all stages: a null text counts as an empty one; very long texts are used whole; repeated rows are judged alike; an empty table gives
+an empty one; columns beside id and text pass through whatever their names (the last stage returns pieces instead).
+"""
 
 from __future__ import annotations
 
@@ -17,23 +21,34 @@ def _text():
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a toxicity score of at least 0.7."""
+    """Drops documents with a toxicity score of at least 0.7.
+
+    Empty texts have a score like any other and stay unless it is that high; a score of exactly 0.7 goes. Without labels of both kinds
+    all stay or, if all labels are toxic, all go. Rows without id are judged by their text.
+    """
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity_of(model)(_text()).getField("score") < THRESHOLD)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told (no letters)."""
+    """Drops documents whose language can't be told.
+
+    These are the texts without any letter, null and empty ones among them, and all of them where no document has a language to learn
+    from. Ties between languages go to the one that sorts first, and the document stays.
+    """
     return docs.where(language_of(fit(docs))(_text()).getField("lang_pred") != UNDETERMINED)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id, or one without id where none has any."""
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id, or one without id where none has any.
+
+    Of equal rows one stays, and of several texts under one id each group's is its own. Texts without words link with nothing and all stay.
+    """
     return distinct_documents(docs, Stage(spark, "pipeline-near"), size=5, percent=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences of 1024 tokens."""
+    """Pieces of packed sequences of 1024 tokens; an empty text is one piece with the end id alone, and each repeated row has pieces of its own."""
     import public_tokenizers
 
     pieces = pack(docs, Stage(spark, "pipeline-packing"), public_tokenizers.path("byte_bpe_50k.json"))
