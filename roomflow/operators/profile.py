@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomflow.sources.places import stored
+
 
 def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     """A1, O3: null isn't counted; ties by value."""
@@ -29,10 +31,36 @@ def column_values(df: DataFrame, columns: Sequence[str], most: int | None = None
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float], groups: Sequence[str] = (), approximate: bool = False) -> DataFrame:
     """Interpolated quantiles as an array; ``approximate`` for groups too large to hold their distinct values."""
+    if not groups and not approximate:
+        return whole_quantiles(df, column, shares)
     f = F.percentile_approx if approximate else F.percentile
     return df.groupBy(*groups).agg(f(F.col(column), list(shares)).alias("quantiles"))
 
 
+def whole_quantiles(df: DataFrame, column: str, shares: Sequence[float], name: str = "quantiles") -> DataFrame:
+    """A6, A8 over a whole table: one row with the interpolated quantiles as an array; null without values.
+
+    Equal values are counted first; the counts are range partitioned and written with their place, and the values at the wanted ranks are
+    picked by running sums within partitions and one total per partition. No task holds the values of the table.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.shiftrightunsigned(F.monotonically_increasing_id(), 33))
+    placed = stored(ranged, "counted")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    totals = placed.groupBy("part").agg(F.sum("n").alias("held"))
+    totals = totals.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), F.sum("held").over(Window.partitionBy()).alias("every"))
+    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = placed.join(F.broadcast(totals), "part").withColumn("upto", F.col("start") + F.sum("n").over(within))
+    picked, out = [F.max("every").alias("every")], []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("every") - 1)
+        for end, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picked.append(F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v"))).alias(f"{end}{i}"))
+        low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+    return rows.agg(*picked).select(F.when(F.col("every").isNotNull(), F.array(*out)).alias(name))
+
+
 def group_means(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """A9."""
     return df.groupBy(group).agg(*[F.avg(c).alias(c) for c in columns])
@@ -64,7 +92,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def box_summary(df: DataFrame, column: str, groups: Sequence[str] = (), factor: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (outermost values within factor times the interquartile range) and outliers."""
     held = df.where(F.col(column).isNotNull())
-    q = held.groupBy(*groups).agg(F.percentile(F.col(column), [0.25, 0.5, 0.75]).alias("q")).select(*groups, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantiles(held, column, [0.25, 0.5, 0.75], groups).withColumnRenamed("quantiles", "q").select(*groups, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     both = held.join(q, list(groups)) if groups else held.join(F.broadcast(q))  # one row
     x, width = F.col(column), (F.col("q3") - F.col("q1")) * factor
     inside = (x >= F.col("q1") - width) & (x <= F.col("q3") + width)

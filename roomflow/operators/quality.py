@@ -8,22 +8,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomflow.operators.profile import target_size
+from roomflow.operators.profile import quantiles, target_size
 from roomflow.sources.places import stored
 
 
-def _bounds(column: str, method: str, factor: float, shares: tuple[float, float]) -> list[Column]:
-    if method == "percentile":
-        low, high = F.percentile(F.col(column), shares[0]), F.percentile(F.col(column), shares[1])
-    else:
-        q1, q3 = F.percentile(F.col(column), 0.25), F.percentile(F.col(column), 0.75)
-        low, high = q1 - (q3 - q1) * factor, q3 + (q3 - q1) * factor
-    return [F.greatest(F.lit(0.0), low).alias("__low"), high.alias("__high"), F.count("*").alias("__n")]
+def _bounds(df: DataFrame, column: str, group: str | None, method: str, factor: float, shares: tuple[float, float]) -> DataFrame:
+    """One row for each group, or for the whole table: bounds and rows."""
+    ends = list(shares) if method == "percentile" else [0.25, 0.75]
+    low, high = F.col("quantiles")[0], F.col("quantiles")[1]
+    if method != "percentile":
+        low, high = low - (high - low) * factor, high + (high - low) * factor
+    bounds = [F.greatest(F.lit(0.0), low).alias("__low"), high.alias("__high")]
+    if group is None:
+        return quantiles(df, column, ends).select(*bounds, F.lit(None).cast("long").alias("__n"))
+    held = df.groupBy(group).agg(F.percentile(F.col(column), ends).alias("quantiles"), F.count("*").alias("__n"))
+    return held.select(group, *bounds, "__n")
 
 
 def flag_outliers(df: DataFrame, column: str, group: str | None = None, method: str = "iqr", factor: float = 0.8, shares: tuple[float, float] = (0.05, 0.95), name: str = "outlier") -> DataFrame:
     """Q5: true outside the bounds of Q1-Q4; a missing value is outside; groups under 5 rows have no bounds; rows without group are null."""
-    bounds = df.groupBy(*([group] if group else [])).agg(*_bounds(column, method, factor, shares))
+    bounds = _bounds(df, column, group, method, factor, shares)
     if group:
         both = df.join(bounds, group, "left")
         small = F.col("__n") < 5
@@ -40,9 +44,10 @@ def drop_outliers(df: DataFrame, column: str, group: str | None = None, method:
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All medians in one pass, as one row."""
-    medians = df.agg(*[F.median(c).alias(f"__{c}") for c in columns])
-    return df.join(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
+    """The medians are one row each."""
+    for c in columns:
+        df = df.join(F.broadcast(quantiles(df, c, [0.5]).select(F.col("quantiles")[0].alias(f"__{c}")))).withColumn(c, F.coalesce(c, f"__{c}")).drop(f"__{c}")
+    return df
 
 
 def draw_key(seed: int, *columns: str) -> Column:
