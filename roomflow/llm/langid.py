@@ -19,7 +19,7 @@ from roomflow.llm.common import ship
 #: Bound of the fit: documents per language to learn from (about). All of their words and n-grams are in the model.
 PER_LANGUAGE, ORDERS = 1500, (5, 4, 3, 2, 1)
 #: Added to every count; words that carry evidence of full weight; most that one word counts; memo.
-SMOOTH, EVIDENCE, MOST_FOR_A_WORD, KNOWN = 0.1, 20, 8.0, 300_000
+SMOOTH, EVIDENCE, MOST_FOR_A_WORD, KNOWN = 0.1, 20, 8.0, 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 

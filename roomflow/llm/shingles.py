@@ -7,7 +7,7 @@ from itertools import chain
 import numpy as np
 import xxhash
 
-KNOWN = 400_000
+KNOWN = 250_000
 
 
 class _WordHash(dict):
