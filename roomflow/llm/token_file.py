@@ -174,7 +174,11 @@ def write_tokens(docs: DataFrame, stage: Stage, name: str, tokenizer_path: str,
 
 
 def read_tokens(segments: DataFrame, with_ids: bool = True) -> DataFrame:
-    """Decodes segments into one row per document: doc_id, start, n_tokens, ids_crc32 and, if wanted, the ids themselves."""
+    """Decodes segments into one row per document: doc_id, start, n_tokens, ids_crc32 and, if wanted, the ids themselves.
+
+    Each written row has one of its own, repeated and null ids too; an empty text has its end id alone; a table without segments gives no
+    row. A segment is decoded at once, and so is a very long document, which lies in one.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     placed = segments.join(F.broadcast(part_offsets(segments, F.col("n_ids"))), "__part")  # one row per file
 

@@ -124,7 +124,8 @@ def near_vectors(table: DataFrame, stage: Stage, threshold: float = 0.98, id_col
 
     Equal vectors form a class, which is compared once and counts with its size. Candidates share a key of sign bits in some
     table; links are counted where they are found, so pairs never leave a task: only counts and the block's components do. A
-    bucket of any size is compared in blocks of ``BLOCK`` by ``BLOCK`` vectors. Null, zero and non-finite vectors, and rows without
+    bucket of any size is compared in blocks of ``BLOCK`` by ``BLOCK`` vectors, so a bucket of n different vectors makes n * n / ``BLOCK``
+    rows before the sketches are compared: link counts need every pair, and copies count once. Null, zero and non-finite vectors, and rows without
     label or id, link with nothing (a row without id has no component and isn't kept). Vectors of different lengths never link.
     Repeated rows count as other vectors. An empty table gives an empty result. Other columns are ignored.
     """
