@@ -63,8 +63,9 @@ DISTRICT_WORDS = (
     ("TP. Vũng Tàu", ("vũng tàu", "vung tau")), ("Bình Dương", ("bình dương", "binh duong")),
     ("TP. Đà Lạt", ("đà lạt", "da lat")), ("TP. Hồ Chí Minh", ("hồ chí minh", "tphcm")),
 )
+#: Fixed value: a place's name, and the pattern of administrative units.
 _NAME = r"[a-zà-ỹ]+(?:\s+[a-zà-ỹ]+)*"
-_DISTRICT = "|".join([r"quận\s+\d+", rf"quận\s+{_NAME}", r"district\s+\d+", rf"tp\.\s+{_NAME}", rf"thành\s+phố\s+{_NAME}", rf"thị\s+xã\s+{_NAME}", rf"huyện\s+{_NAME}", r"phường\s+\d+", rf"phường\s+{_NAME}"])
+DISTRICT = rf"(quận\s+\d+|quận\s+{_NAME}|district\s+\d+|tp\.\s+{_NAME}|thành\s+phố\s+{_NAME}|thị\s+xã\s+{_NAME}|huyện\s+{_NAME}|phường\s+\d+|phường\s+{_NAME})"
 #: Scores of room classes; 2 otherwise.
 ROOM_SCORES = {
     "Presidential": 10, "Penthouse": 9, "Villa": 8, "Resort": 7, "Bungalow": 6, "Suite": 6, "Luxury": 5, "Grand": 5, "Executive": 5,
@@ -103,7 +104,7 @@ def district(address: Column, search_location: Column) -> Column:
     text = F.lower(address)
     place = F.initcap(search_location)
     place = F.when(F.coalesce(place, F.lit("")).isin("Nan", "None", "", "N/A"), F.lit("Other")).otherwise(place)
-    return F.coalesce(F.initcap(first_match(text, f"({_DISTRICT})")), first_of(text, DISTRICT_WORDS, place))
+    return F.coalesce(F.initcap(first_match(text, DISTRICT)), first_of(text, DISTRICT_WORDS, place))
 
 
 def room_level(c: Column) -> Column:

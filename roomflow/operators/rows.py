@@ -111,11 +111,6 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key).distinct(), key, "left_anti")
 
 
-def sorted_tags(items: Column, separator: str = ", ") -> Column:
-    """U6."""
-    return F.array_join(F.array_sort(F.array_distinct(items)), separator)
-
-
 def ordered_distinct(items: Column) -> Column:
     """U7."""
     return F.array_distinct(items)

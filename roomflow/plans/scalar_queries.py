@@ -99,10 +99,9 @@ def _title(x: str) -> str:
 
 
 _PLACE = f"CASE WHEN coalesce({_title('search_location')}, '') IN ('Nan', 'None', '', 'N/A') THEN 'Other' ELSE {_title('search_location')} END"
-_UNITS = "(" + classify._DISTRICT.replace("\\", "\\") + ")"
 
 
-@query("C2", f"SELECT row_id, coalesce({_title(_first('lower(address)', _UNITS))}, {_cases('lower(address)', classify.DISTRICT_WORDS, _PLACE)}) AS district FROM rooms")
+@query("C2", f"SELECT row_id, coalesce({_title(_first('lower(address)', classify.DISTRICT))}, {_cases('lower(address)', classify.DISTRICT_WORDS, _PLACE)}) AS district FROM rooms")
 def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rooms(spark, sf_dir).select("row_id", classify.district(F.col("address"), F.col("search_location")).alias("district"))
 
