@@ -86,10 +86,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"), Stage(spark, "shards"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_pieces, op3_near_documents, op4_toxicity, op5_spots, op6_url_rules, op7_packing, op8_language, op9_near_vectors, op10_sharding)}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.llm.merkle import verify
+
+    return verify(_table(spark, sf_dir, "documents"), Stage(spark, "merkle"), fan=16)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_pieces, op3_near_documents, op4_toxicity, op5_spots, op6_url_rules, op7_packing, op8_language, op9_near_vectors, op10_sharding, op13_merkle)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+def _crc(value: str) -> str:
+    """CRC-32 of a number's decimal text in SQL, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({value}::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+
+
+def _fields(text: str) -> str:
+    return " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}::VARCHAR) || ':' || {f} END" for f in ("doc_id", "source", "lang", "n_chars", text))
+
+
+_BEFORE = "array_to_string(hs[:idx % 16], '')"
+_AFTER = "array_to_string(hs[idx % 16 + 2:], '')"
+
 ORACLE_SQL = {
     "op6_url_rules": f"""
         WITH parts AS (
@@ -131,4 +150,32 @@ ORACLE_SQL = {
         tops AS (SELECT rep, min(seen) AS top FROM reach GROUP BY rep)
         SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE top END AS component_id, d.doc_id = CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE top END AS kept
         FROM sets d JOIN classes c ON list_sort(d.s) = c.s JOIN tops USING (rep)""",
+    "op13_merkle": f"""
+        WITH RECURSIVE marked AS (
+            SELECT doc_id, source, lang, n_chars, text, coalesce({_crc("doc_id")} % 5 = 0, false) AS hit FROM documents),
+        both_texts AS (
+            SELECT *, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM marked),
+        hashed AS (
+            SELECT doc_id, source, sha256({_fields("text")}) AS leaf, sha256({_fields("other")}) AS other_leaf FROM both_texts),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+        tree(source, level, idx, n, h) AS (
+            SELECT source, 0, idx, n, leaf FROM leaves
+            UNION ALL SELECT source, level + 1, idx // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY source, level, idx // 16),
+        runs AS (SELECT source, level, idx // 16 AS run, list(h ORDER BY idx) AS hs FROM tree WHERE n > 1 GROUP BY ALL),
+        subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top(level, idx, n, h) AS (
+            SELECT 0, idx, n, subroot FROM subroots
+            UNION ALL SELECT level + 1, idx // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 16),
+        top_runs AS (SELECT level, idx // 16 AS run, list(h ORDER BY idx) AS hs FROM top WHERE n > 1 GROUP BY ALL),
+        low(doc_id, source, leaf, level, idx, n, proof, folded) AS (
+            SELECT doc_id, source, leaf, 0, idx, n, '', other_leaf FROM leaves
+            UNION ALL SELECT doc_id, f.source, leaf, f.level + 1, idx // 16, (n + 15) // 16, proof || {_BEFORE} || {_AFTER}, sha256({_BEFORE} || folded || {_AFTER})
+            FROM low f JOIN runs r ON f.source IS NOT DISTINCT FROM r.source AND f.level = r.level AND idx // 16 = r.run WHERE n > 1),
+        high(doc_id, leaf, subroot, level, idx, n, proof, folded) AS (
+            SELECT doc_id, leaf, subroot, 0, s.idx, s.n, proof, folded FROM low f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source WHERE f.n = 1
+            UNION ALL SELECT doc_id, leaf, subroot, f.level + 1, idx // 16, (n + 15) // 16, proof || {_BEFORE} || {_AFTER}, sha256({_BEFORE} || folded || {_AFTER})
+            FROM high f JOIN top_runs r ON f.level = r.level AND idx // 16 = r.run WHERE n > 1)
+        SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+        FROM high CROSS JOIN (SELECT h FROM top WHERE n = 1) WHERE n = 1""",
 }
