@@ -86,13 +86,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"), Stage(spark, "shards"), shards=24)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.llm.filter_audit import audit
+
+    return audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"), Stage(spark, "audit"))
+
+
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.llm.suffix_tree import score
+
+    return score(_table(spark, sf_dir, "documents"), Stage(spark, "suffixes"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.llm.merkle import verify
 
     return verify(_table(spark, sf_dir, "documents"), Stage(spark, "merkle"), fan=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_pieces, op3_near_documents, op4_toxicity, op5_spots, op6_url_rules, op7_packing, op8_language, op9_near_vectors, op10_sharding, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_pieces, op3_near_documents, op4_toxicity, op5_spots, op6_url_rules, op7_packing, op8_language, op9_near_vectors, op10_sharding, op11_filter_audit, op12_suffix_tree, op13_merkle)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
@@ -150,6 +162,25 @@ ORACLE_SQL = {
         tops AS (SELECT rep, min(seen) AS top FROM reach GROUP BY rep)
         SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE top END AS component_id, d.doc_id = CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE top END AS kept
         FROM sets d JOIN classes c ON list_sort(d.s) = c.s JOIN tops USING (rep)""",
+    "op11_filter_audit": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w,
+                min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+        known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        failed AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(first_id < d.doc_id, false)] AS f
+            FROM texts d LEFT JOIN known k ON d.doc_id = k.doc_id),
+        sets AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+        orders(o) AS (SELECT [i] FROM range(1, 6) r(i) UNION ALL SELECT list_append(o, i) FROM orders, range(1, 6) r(i) WHERE NOT list_contains(o, i)),
+        steps AS (SELECT array_to_string(list_transform(o, lambda i: chr(64 + i::INT)), '') AS filter_order, s::INT AS step, o[s] AS i, o[:s - 1] AS before FROM orders, range(1, 6) r(s) WHERE len(o) = 5),
+        told AS (
+            SELECT part, filter_order, step, i, sum(CASE WHEN NOT f[i] AND NOT early THEN n ELSE 0 END) AS kept, sum(CASE WHEN f[i] AND NOT early THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN f[i] AND early THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f[i] AND len(list_filter(f, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN f[i] AND NOT early THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN f[i] AND NOT early THEN toxic ELSE 0 END) AS toxic_lost
+            FROM (SELECT *, len(list_filter(before, lambda b: f[b])) > 0 AS early FROM sets, steps) GROUP BY ALL)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+            good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley FROM told""",
     "op13_merkle": f"""
         WITH RECURSIVE marked AS (
             SELECT doc_id, source, lang, n_chars, text, coalesce({_crc("doc_id")} % 5 = 0, false) AS hit FROM documents),
