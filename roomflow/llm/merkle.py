@@ -1,9 +1,9 @@
 """Merkle manifest of a table: one hash tree per group of rows, and one over the groups' roots.
 
-Every level is a sibling-shift self-join: each node computes the indices of the nodes in its run (the index itself and its XOR with 1 in a
-binary tree, the run's first index plus each slot offset otherwise) and equijoins the level's nodes with them; the rows in slot zero then
-emit the parents. Runs hold at most ``fan`` digests, so the join keys are even however large a group is. Proofs go the other way: from the
-top down each node appends its own siblings to its parent's path.
+Every level is a sibling-shift self-join: the node in slot zero of each run computes the indices of its siblings (its own XOR 1 in a binary
+tree, plus each slot offset otherwise), an equijoin finds them among the level's nodes, and the slot-zero rows emit the parents. Runs hold
+at most ``fan`` digests, so the join keys are even however large a group is. Proofs go the other way: from the top down each node puts its
+own siblings before its parent's path.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ def digest(*texts: Column) -> Column:
 
 @dataclass
 class Manifest:
-    """``leaves``: tree, idx, n (leaves of the tree), leaf and the columns that were passed along; ``levels``: the runs of each level,
-    lowest first; ``tops``: the root of each tree and its level; ``parents``: the manifest over these roots, if there is one above."""
+    """``leaves``: tree, idx, n (leaves of the tree), leaf (as bytes) and the columns that were passed along; ``levels``: the runs of each
+    level, lowest first, as tree, idx and n of their parents, and the digests; ``tops``: the root of each tree and its level; ``parents``:
+    the manifest over these roots, if there is one above."""
 
     leaves: DataFrame
     levels: list[DataFrame]
@@ -43,36 +44,36 @@ class Manifest:
     parents: Manifest | None = None
 
 
-def _run(fan: int) -> Column:
-    """Indices of the nodes in a node's run, itself included."""
+def _siblings(fan: int) -> Column:
+    """Indices of a run's nodes, told by the one in slot zero."""
     idx, n = F.col("idx"), F.col("n")
     if fan == 2:
         return F.filter(F.array(idx, idx.bitwiseXOR(F.lit(1).cast("long"))), lambda i: i < n)
-    first = idx - idx % fan
-    return F.sequence(first, F.least(first + fan - 1, n - 1))
+    return F.sequence(idx, F.least(idx + fan - 1, n - 1))
+
+
+def _texts(run: Column) -> Column:
+    return F.array_join(F.transform(run, lambda x: F.lower(F.hex(x))), "")
 
 
 def _level(nodes: DataFrame, fan: int) -> DataFrame:
-    """tree, idx, n, hash, and the digests of its run before (``left``) and after it (``right``); lone nodes of a run have neither."""
-    asks = nodes.select("tree", "idx", "n", F.explode(_run(fan)).alias("other"))
+    """Parents of a level's nodes as tree, idx, n, with the digests of their runs in order. The plan is the same at every size."""
+    asks = nodes.where(F.col("idx") % fan == 0).select("tree", "idx", "n", F.explode(_siblings(fan)).alias("other"))
     have = nodes.select("tree", F.col("idx").alias("other"), "hash")
-    found = asks.join(have, ["tree", "other"]).groupBy("tree", "idx", "n").agg(F.sort_array(F.collect_list(F.struct("other", F.lower(F.hex("hash")).alias("hash")))).alias("run"))
-    side = lambda keep: F.array_join(F.transform(F.filter("run", keep), lambda x: x["hash"]), "")
-    own = F.filter("run", lambda x: x["other"] == F.col("idx"))[0]["hash"]
-    return found.select("tree", "idx", "n", own.alias("hash"), side(lambda x: x["other"] < F.col("idx")).alias("left"), side(lambda x: x["other"] > F.col("idx")).alias("right"))
+    found = asks.hint("merge").join(have, ["tree", "other"]).groupBy("tree", "idx", "n").agg(F.sort_array(F.collect_list(F.struct("other", "hash"))).alias("run"))  # at most ``fan`` of them
+    return found.select("tree", F.expr(f"idx div {fan}").alias("idx"), F.expr(f"(n + {fan - 1}) div {fan}").alias("n"), F.col("run.hash").alias("run"))
 
 
 def grow(leaves: DataFrame, stage: Stage, fan: int, name: str) -> Manifest:
     """Builds all trees level by level; as many rounds as the largest tree has levels. Each level is written once."""
-    nodes, levels, tops, level = leaves.select("tree", "idx", "n", F.unhex("leaf").alias("hash")), [], [], 0
+    nodes, levels, tops = leaves.select("tree", "idx", "n", F.col("leaf").alias("hash")), [], []
+    left = nodes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     while True:
-        tops.append(nodes.where("n = 1").select("tree", F.lit(level).alias("level"), F.lower(F.hex("hash")).alias("subroot")))
-        runs = stage.write(_level(nodes.where("n > 1"), fan), f"{name}-{level}")
-        if runs.isEmpty():
+        tops.append(nodes.where("n = 1").select("tree", F.lit(len(levels)).alias("level"), F.col("hash").alias("subroot")))
+        if left <= 1:
             break
-        levels.append(runs)
-        emitted = runs.where(F.col("idx") % fan == 0).select("tree", F.expr(f"idx div {fan}").alias("idx"), F.expr(f"(n + {fan - 1}) div {fan}").alias("n"), F.unhex(digest("left", "hash", "right")).alias("hash"))
-        nodes, level = emitted, level + 1
+        levels.append(stage.write(_level(nodes.where("n > 1"), fan), f"{name}-{len(levels)}"))
+        nodes, left = levels[-1].select("tree", "idx", "n", F.unhex(digest(_texts(F.col("run")))).alias("hash")), -(-left // fan)
     out = tops[0]
     for more in tops[1:]:
         out = out.union(more)
@@ -88,9 +89,8 @@ def build(docs: DataFrame, stage: Stage, key: str = "doc_id", group: str = "sour
     """
     col = {f: F.col(f) for f in {*fields, key, group}}
     other = {**col, **(changed or {})}
-    first = docs.select(
-        col[key].alias("key"), col[group].alias("group"), digest(*[field(col[f]) for f in fields]).alias("leaf"), digest(*[field(other[f]) for f in fields]).alias("other_leaf")
-    ).withColumn("tie", F.monotonically_increasing_id())
+    hashed = lambda values: F.unhex(digest(*[field(values[f]) for f in fields]))
+    first = docs.select(col[key].alias("key"), col[group].alias("group"), hashed(col).alias("leaf"), hashed(other).alias("other_leaf")).withColumn("tie", F.monotonically_increasing_id())
     rows = stage.write(first, "rows")  # texts are read and hashed once; the tie is fixed from here on
     placed = numbered(rows, [F.col("group").asc_nulls_first(), F.col("key").asc_nulls_first(), F.col("leaf"), F.col("tie")], stage, "placed").withColumn("block", F.shiftright("row_number", BLOCK_BITS))
     blocks = placed.groupBy("group", "block").agg(F.min("row_number").alias("from"), F.count("*").alias("rows"))
@@ -102,32 +102,52 @@ def build(docs: DataFrame, stage: Stage, key: str = "doc_id", group: str = "sour
     n = roots.count()
     high = stage.write(roots.select(F.lit(-1).cast("long").alias("tree"), F.col("row_number").alias("idx"), F.lit(n).cast("long").alias("n"), "leaf", F.col("tree").alias("below")), "root-leaves")
     low.parents = grow(high, stage, fan, "root-level")
+    stage.drop("rows", "placed")
     return low
 
 
 def root_of(manifest: Manifest) -> DataFrame:
     """One row with the root of all; none for an empty table."""
-    return manifest.parents.tops.select(F.col("subroot").alias("root"))
+    return manifest.parents.tops.select(F.lower(F.hex("subroot")).alias("root"))
+
 
+def _step(run: Column, slot: Column) -> Column:
+    """The digests of a run before and after a slot, as texts."""
+    return F.struct(_texts(F.slice(run, F.lit(1), slot)).alias("left"), _texts(F.slice(run, slot + 2, F.size(run))).alias("right"))
 
-def _down(levels: list[DataFrame], tops: DataFrame, fan: int) -> DataFrame:
-    """For each lowest node: tree, idx, path (siblings of each level, lowest first) and what its top carries. ``tops``: tree, level, path, carried."""
+
+def _down(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, fan: int) -> DataFrame:
+    """Leaves with their path (siblings of each level, lowest first) and what their tree's top carries. ``tops``: tree, level, path, carried.
+
+    Each run of siblings is held once, by its parent, so that what moves is a parent's path and not one for each node.
+    """
     carried = [c for c in tops.columns if c not in ("tree", "level", "path")]
-    at = lambda level: tops.where(F.col("level") == level).select("tree", F.lit(0).cast("long").alias("idx"), "path", *carried)
-    above = at(len(levels))
-    for level in range(len(levels) - 1, -1, -1):
-        up = above.select(F.col("tree"), F.col("idx").alias("up"), F.col("path").alias("rest"), *carried)
-        steps = levels[level].withColumn("up", F.expr(f"idx div {fan}")).join(up, ["tree", "up"])
-        above = steps.select("tree", "idx", F.concat(F.array(F.struct("left", "right")), "rest").alias("path"), *carried).union(at(level))
-    return above
+    at = lambda level: tops.where(F.col("level") == level).drop("level").withColumn("idx", F.lit(0).cast("long"))
+    slot = (F.col("idx") % fan).cast("int")
+
+    def paths(nodes: DataFrame, level: int, runs: DataFrame | None, hint: str | None = None) -> DataFrame:
+        """Nodes of a level with their paths, from the runs above them; tops have theirs already."""
+        own = nodes.join(at(level), ["tree", "idx"])
+        if runs is None:
+            return own
+        up = runs.select("tree", F.col("idx").alias("up"), "run", F.col("path").alias("rest"), *carried)
+        asked = nodes.withColumn("up", F.expr(f"idx div {fan}"))
+        below = (asked.hint(hint) if hint else asked).join(up, ["tree", "up"]).withColumn("path", F.concat(F.array(_step(F.col("run"), slot)), "rest"))
+        columns = [*nodes.columns, "path", *carried]
+        return below.select(*columns).union(own.select(*columns))
+
+    runs = None
+    for level in range(len(levels), 0, -1):
+        runs = paths(levels[level - 1].select("tree", "idx", F.col("run").alias("own_run")), level, runs).withColumnRenamed("own_run", "run")
+    return paths(leaves, 0, runs, "merge")
 
 
 def proofs(manifest: Manifest, stage: Stage, fan: int = 16) -> DataFrame:
     """Each leaf with its path to the root, subroot and root. The path's steps hold the digests before and after the node on it."""
-    top = manifest.parents.tops.select("tree", "level", F.array().cast(_PATH).alias("path"), F.col("subroot").alias("root"))
-    groups = _down(manifest.parents.levels, top, fan).join(manifest.parents.leaves.select("tree", "idx", "below"), ["tree", "idx"]).select(F.col("below").alias("tree"), "path", "root")
-    tops = stage.write(manifest.tops.join(groups, "tree").select("tree", "level", "path", "subroot", "root"), "paths")  # every level reads it
-    return _down(manifest.levels, tops, fan).join(manifest.leaves, ["tree", "idx"])
+    top = manifest.parents.tops.select("tree", "level", F.array().cast(_PATH).alias("path"), F.lower(F.hex("subroot")).alias("root"))
+    groups = _down(manifest.parents.leaves.select("tree", "idx", "below"), manifest.parents.levels, top, fan).select(F.col("below").alias("tree"), "path", "root")
+    tops = stage.write(manifest.tops.join(groups, "tree").select("tree", "level", "path", F.lower(F.hex("subroot")).alias("subroot"), "root"), "paths")  # every level reads it
+    return _down(manifest.leaves, manifest.levels, tops, fan)
 
 
 def proof_hash(path: Column) -> Column:
@@ -136,7 +156,7 @@ def proof_hash(path: Column) -> Column:
 
 def fold(leaf: Column, path: Column) -> Column:
     """The root that a leaf's digest and its siblings give."""
-    return F.aggregate(path, leaf, lambda acc, s: digest(s["left"], acc, s["right"]))
+    return F.aggregate(path, F.lower(F.hex(leaf)), lambda acc, s: digest(s["left"], acc, s["right"]))
 
 
 def tampered(text: Column, key: Column, every: int = 5) -> Column:
@@ -153,4 +173,4 @@ def verify(docs: DataFrame, stage: Stage, key: str = "doc_id", text: str = "text
     """
     manifest = build(docs, stage, key=key, fan=fan, changed={text: tampered(F.col(text), F.col(key))}, **more)
     found = proofs(manifest, stage, fan).withColumn("folded_root", fold(F.col("other_leaf"), F.col("path")))
-    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof_hash(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    return found.select(F.col("key").alias("doc_id"), F.lower(F.hex("leaf")).alias("leaf"), "subroot", "root", proof_hash(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
