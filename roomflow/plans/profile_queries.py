@@ -327,14 +327,23 @@ def feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.importance(model, chosen, spark)
 
 
-@query("L3 Q8")
+#: Rounds and depth of the boosted classes.
+ROUNDS, BOOST_DEPTH = 200, 6
+_ALL_FEATURES = [*_MODEL, "has_luxury_keyword", *_NAMES]
+
+
+@query("L3 L4 Q8")
 def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six boosted models against the rest, of 50 rounds each (README)."""
-    from roomflow.operators import models
+    """Boosted classes scored on all rows, with the labels that a confident model contradicts (unseen in fold 0) and those that
+    confident learning suspects out of fold."""
+    from roomflow.operators import audit
 
-    train, _, test = _parts(spark, sf_dir)
-    model = models.boosted_trees(train, _MODEL, "label", rounds=50, depth=6)
-    return models.score(model, test, _MODEL, "label").select("row_id", "prediction", F.round("confidence", 6).alias("confidence"), "correct")
+    t = stored(_training(spark, sf_dir), "training")
+    found, _ = audit.audit_labels(t, _ALL_FEATURES, "label", "row_id", 6, ROUNDS, depth=BOOST_DEPTH)
+    confidence = F.array_max("first")
+    prediction = (F.array_position("first", confidence) - 1).cast("double")
+    wrong = prediction != F.col("y")
+    return found.select(F.col("key").alias("row_id"), F.col("fold"), prediction.alias("prediction"), F.round(confidence, 6).alias("confidence"), (~wrong).cast("int").alias("correct"), (wrong & (confidence >= 0.9)).alias("misaligned"), "suggested", "suspect")
 
 
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
