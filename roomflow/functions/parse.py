@@ -106,8 +106,9 @@ def area_integer(c: Column) -> Column:
 
 
 def area_whole(c: Column) -> Column:
-    """N8d: unit off, then the whole text must be a number."""
-    return number(strip(_unit_off(c)))
+    """N8d: unit off, then the whole text must be a number; a decimal comma makes it none."""
+    text = strip(F.regexp_replace(F.lower(c), "m²|m2", ""))
+    return F.when(~text.rlike("[df]$"), number(text))  # Java reads such endings as number kinds
 
 
 def area_with_unit(c: Column) -> Column:

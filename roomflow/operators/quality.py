@@ -136,12 +136,14 @@ def draws(df: DataFrame, group: str, wanted: DataFrame, key: str, seed: int = 42
     return drawn.join(_ranked(df, group, seed, key, most), [group, "__rank"]).drop("__rank")
 
 
-def balance(df: DataFrame, group: str, key: str, numeric: Sequence[str], share: float = 0.7, seed: int = 42, jitter: float = 0.0) -> DataFrame:
+def balance(df: DataFrame, group: str, key: str, numeric: Sequence[str], share: float = 0.7, seed: int = 42, jitter: float = 0.0, copula: bool = False) -> DataFrame:
     """Q6, Q7: every class gets the target size (A26); larger ones are sampled, smaller ones get generated rows.
 
-    A generated row has the text of one draw of its class and the numbers of a second one, each moved by up to ``jitter`` of itself;
-    ``row_origin`` tells the two kinds apart. This bootstrap (smoothed, if ``jitter`` is given) stands for a generative model.
+    A generated row has the text of one draw of its class. Its numbers are those of a second draw, each moved by up to ``jitter`` of itself
+    (a bootstrap), or with ``copula`` drawn from a model of the class (``operators.copula``). ``row_origin`` tells real and generated apart.
     """
+    from roomflow.operators.copula import generate
+
     held = stored(df.where(F.col(group).isNotNull()), "unbalanced")  # read by all that follows
     target = target_size(held, group, share).first()[0] or 0
     sizes = held.groupBy(group).agg(F.count("*").alias("size"))
@@ -149,9 +151,9 @@ def balance(df: DataFrame, group: str, key: str, numeric: Sequence[str], share:
     most = sizes.agg(F.max("size")).first()[0] or 0
     real = sample_per_class(held, group, target, key, seed, most).withColumn("row_origin", F.lit("Real"))
     text = draws(held, group, wanted, key, seed + 1, most=most).drop(*numeric)
-    numbers = draws(held.select(group, key, *numeric), group, wanted, key, seed + 2, most=most).drop(key)
+    numbers = generate(held, group, wanted, key, numeric, seed + 2) if copula else draws(held.select(group, key, *numeric), group, wanted, key, seed + 2, most=most).drop(key)
     made = text.join(numbers, [group, "draw"])
-    if jitter:
+    if jitter and not copula:
         for i, c in enumerate(numeric):
             unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}-{i}"), F.col(group).cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / 2**31 - 1
             made = made.withColumn(c, F.col(c) * (1 + unit * jitter))

@@ -54,7 +54,7 @@ _UNIT = "replace(regexp_replace(lower(area_raw), 'm²|m2', '', 'g'), ',', '.')"
 
 @query("N8a N8b N8c N8d N8e N9", rf"""
     SELECT row_id, {_first('area_raw', r'(\d+(\.\d+)?)')}::double AS n8a, {_first(_UNIT, r'(\d+(\.\d+)?)')}::double AS n8b, {_first('area_raw', r'(\d+)')}::bigint AS n8c,
-     try_cast(trim({_UNIT}) AS double) AS n8d, {_first('area_raw', r'(\d+)\s*(?:m²|m2)')}::bigint AS n8e, {_first('people_raw', r'(\d+)')}::int AS n9 FROM rooms""")
+     try_cast(trim(regexp_replace(lower(area_raw), 'm²|m2', '', 'g')) AS double) AS n8d, {_first('area_raw', r'(\d+)\s*(?:m²|m2)')}::bigint AS n8e, {_first('people_raw', r'(\d+)')}::int AS n9 FROM rooms""")
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = F.col("area_raw")
     return rooms(spark, sf_dir).select("row_id", parse.area_first(area).alias("n8a"), parse.area_comma(area).alias("n8b"), parse.area_integer(area).alias("n8c"), parse.area_whole(area).alias("n8d"), parse.area_with_unit(area).alias("n8e"), parse.people(F.col("people_raw")).alias("n9"))

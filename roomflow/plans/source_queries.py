@@ -14,72 +14,104 @@ from roomflow.plans.tables import rooms
 from roomflow.sources import readers, sinks
 from roomflow.sources.places import shared_folder
 
-#: Each site's file, as text made from the room rows: column names are the site's, values are ours. Rooms and hotels of two sites are apart.
+#: Each site's file, as text made from the room rows: column names are the site's, values are ours. The hotels of two sites are files of
+#: their own, made from suppliers; some have no id, so that some rooms find no hotel.
+_HOTELS = "SELECT s_suppkey, s_name, n_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+_TOURS_LINK = "concat('https://tours.example/', cast({key} as string))"
 SITES = {
-    "booking": {"Hotel Name": "hotel_name", "Hotel Link": "hotel_link", "Search Location": "search_location", "Address": "address", "Stars_Clean": "cast(l_linenumber % 5 as double)", "Rating_Clean": "cast(l_linenumber as double) / 2", "Review Count": "review_text", "Room Type": "room_type", "Room_Class": "room_class", "Bed Type": "bed_type",
-                "Area_m2_cleaned": "cast(l_linenumber * 10 as double) + 0.5", "Total_Guests": "l_linenumber", "Original Price": "cast(floor(original_price) as bigint)", "Final Price": "cast(floor(final_price) as bigint)", "Discount %": "cast(l_linenumber as string)", "Free_Cancel_Bool": "free_cancel = 'Yes'", "Breakfast_Bool": "l_linenumber = 2", "Facilities_cleaned": "facilities", "Check-in": "check_in"},
-    "trips": {"hotelId": "cast(l_suppkey as string)", "hotelName": "hotel_name", "imageUrl": "hotel_link", "cityName": "location", "address": "address", "latitude": "cast(l_linenumber as double)", "longitude": "cast(l_linenumber as double) + 100", "star": "cast(l_linenumber % 5 as double)", "commentScore": "cast(l_linenumber as double) / 2", "commenterNumber": "review_text",
-              "roomNames": "room_type", "categoryName": "room_class", "minPrice": "cast(floor(final_price) as bigint)", "maxPrice": "cast(floor(original_price) as bigint)", "checkInDates": "check_in", "checkOutDates": "cast(NULL as string)"},
-    "stays": {"hotel_id": "cast(l_suppkey as string)", "hotel_name": "hotel_name", "hotel_link": "hotel_link", "city": "location", "room_name": "room_type", "bed_type": "bed_type", "area_m2": "area_raw", "max_occupancy": "l_linenumber", "price": "cast(floor(final_price) as bigint)", "amenities": "facilities", "no_discount": "'0'"},
-    "advisor": {"hotel_name": "hotel_name", "hotel_url": "hotel_link", "address": "address", "ratingValue": "cast(l_linenumber as double) / 2", "reviewCount": "review_text", "room_types": "room_type", "amenities": "facilities", "priceRange": "price_raw"},
-    "tours": {"ten": "hotel_name", "hotel_name": "hotel_name", "link": "hotel_link", "hotel_link": "hotel_link", "dia_chi": "address", "diem_danh_gia": "cast(l_linenumber as double) / 2", "so_luong_danh_gia": "review_text", "tien_nghi": "badge", "room_name": "room_type", "bed": "bed_type", "area": "area_raw", "people": "people_raw", "room_amenities": "facilities",
-              "both_amenities": "concat(coalesce(facilities, ''), ' | ', coalesce(badge, ''))", "list_price": "price_raw", "final_price": "price_raw", "discount_pct": "cast(l_linenumber as string)", "breakfast": "free_cancel", "cancel_policy": "free_cancel", "gia_niem_yet": "price_raw", "gia_hien_tai": "price_raw", "discount": "cast(l_linenumber as string)"},
+    "booking": """SELECT hotel_name AS "Hotel Name", hotel_link AS "Hotel Link", search_location AS "Search Location", address AS "Address", cast(l_linenumber % 5 as double) AS "Stars_Clean", cast(l_linenumber as double) / 2 AS "Rating_Clean",
+        review_text AS "Review Count", room_type AS "Room Type", room_class AS "Room_Class", bed_type AS "Bed Type", cast(l_linenumber * 10 as double) + 0.5 AS "Area_m2_cleaned", l_linenumber AS "Total_Guests", cast(floor(original_price) as bigint) AS "Original Price",
+        cast(floor(final_price) as bigint) AS "Final Price", cast(l_linenumber as string) AS "Discount %", free_cancel = 'Yes' AS "Free_Cancel_Bool", l_linenumber = 2 AS "Breakfast_Bool", facilities AS "Facilities_cleaned", check_in AS "Check-in" FROM rooms""",
+    "trips": """SELECT cast(l_suppkey as string) AS "hotelId", hotel_name AS "hotelName", hotel_link AS "imageUrl", location AS "cityName", address, cast(l_linenumber as double) AS latitude, cast(l_linenumber as double) + 100 AS longitude, cast(l_linenumber % 5 as double) AS star,
+        cast(l_linenumber as double) / 2 AS "commentScore", review_text AS "commenterNumber", room_type AS "roomNames", room_class AS "categoryName", cast(floor(final_price) as bigint) AS "minPrice", cast(floor(original_price) as bigint) AS "maxPrice", check_in AS "checkInDates", cast(NULL as string) AS "checkOutDates" FROM rooms""",
+    "stays hotels": f"SELECT CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE cast(s_suppkey as string) END AS hotel_id, s_name AS hotel_name, concat('https://stays.example/', cast(s_suppkey as string)) AS hotel_link, n_name AS city FROM ({_HOTELS}) h",
+    "stays rooms": "SELECT cast(l_suppkey as string) AS hotel_id, room_type AS room_name, bed_type, area_raw AS area_m2, l_linenumber AS max_occupancy, cast(floor(final_price) as bigint) AS price, facilities AS amenities FROM rooms",
+    "advisor": """SELECT hotel_name, hotel_link AS hotel_url, address, cast(l_linenumber as double) / 2 AS "ratingValue", review_text AS "reviewCount", room_type AS room_types, facilities AS amenities, CASE WHEN l_linenumber = 3 THEN concat(price_raw, ' - ', price_raw) ELSE price_raw END AS "priceRange" FROM rooms""",
+} | {
+    f"tours hotels {i}": f"""SELECT s_name AS ten, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE {_TOURS_LINK.format(key='s_suppkey')} END AS link, concat(n_name, ', Việt Nam') AS dia_chi, cast(s_suppkey % 10 as double) AS diem_danh_gia, concat(cast(s_suppkey as string), ' đánh giá') AS so_luong_danh_gia,
+        CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'pool | tv' END AS tien_nghi, '1.000.000 ₫' AS gia_niem_yet, '900.000 ₫' AS gia_hien_tai, '-10%' AS discount FROM ({_HOTELS}) h WHERE s_suppkey % 2 = {i - 1}"""
+    for i in (1, 2)
+} | {
+    f"tours rooms {i}": f"""SELECT hotel_name, {_TOURS_LINK.format(key='l_suppkey')} AS hotel_link, room_type AS room_name, people_raw AS people, area_raw AS area, bed_type AS bed, facilities AS room_amenities, price_raw AS list_price, price_raw AS final_price, cast(l_linenumber as string) AS discount_pct,
+        free_cancel AS breakfast, free_cancel AS cancel_policy FROM rooms WHERE l_suppkey % 2 = {i - 1}"""
+    for i in (1, 2)
 }
 
 
-def _site(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return rooms(spark, sf_dir).select(*[F.expr(e).alias(c) for c, e in SITES[name].items()])
+def sites(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All files as tables."""
+    held = {t: readers.table(spark, sf_dir, t) for t in ("supplier", "nation")}
+    names = {"rooms": rooms(spark, sf_dir)} | held
+    out = {}
+    for site, text in SITES.items():
+        text = text.replace('"', "`").replace("FROM rooms", "FROM {rooms}").replace("FROM supplier JOIN nation", "FROM {supplier} JOIN {nation}")
+        out[site] = spark.sql(text, **{n: t for n, t in names.items() if f"{{{n}}}" in text})
+    return out
 
 
-#: How DuckDB reads a source column by rule.
-_RULES = {
-    "as it is": "{}", "first integer": r"try_cast(nullif(regexp_extract({}::varchar, '(\d+)', 1), '') AS bigint)", "digits": "try_cast(nullif(regexp_replace({}, '[^0-9]', '', 'g'), '') AS bigint)",
-    "has có": "contains(lower({}), 'có')::int", "yes": "({})::int",
-}
-_KINDS = {"string": "varchar", "double": "double", "bigint": "bigint", "int": "int"}
-
-
-def _sql(maps: dict[str, str], target) -> str:
-    """Counts of equal rows of all sites in a schema."""
-    parts = []
-    for name, text in maps.items():
-        sources, held = SITES[name.split()[0]], {}
-        for part in text.split("; "):
-            to, source = part.split("=")
-            column, _, rule = source.partition(", ")
-            held[to] = _RULES[rule or "as it is"].format(f"({sources[column]})")
-        held["source"] = f"'{name}'"
-        parts.append("SELECT " + ", ".join(f"try_cast({held.get(f.name, 'NULL')} AS {_KINDS[f.dataType.simpleString()]}) AS \"{f.name}\"" for f in target) + " FROM rooms")
-    return f"SELECT {', '.join(_plain(f) for f in target)}, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
-
+def _counted(every: DataFrame) -> DataFrame:
+    every = conform.snake_names(every)
+    return every.groupBy(*every.columns).agg(F.count("*").alias("n"))
 
-def _plain(field) -> str:
-    return f'"{field.name}" AS "{_snake(field.name)}"'
 
+def _files(*names: str) -> str:
+    """SQL that has the named files as tables."""
+    return "WITH " + ", ".join(f'"{n}" AS ({SITES[n]})' for n in names)
 
-def _snake(name: str) -> str:
-    return name.strip().lower().replace(" ", "_").replace("-", "_").replace("%", "percent")
 
+_DIGITS = "try_cast(nullif(regexp_replace({}, '[^0-9]', '', 'g'), '') AS bigint)"
+_FIRST_RUN = "try_cast(nullif(regexp_extract(translate({}, ',.₫', ''), '([0-9]+)', 1), '') AS double)"
+_WHOLE = "try_cast(trim(regexp_replace(lower({}), 'm²|m2', '', 'g')) AS double)"
+_INTEGER = r"try_cast(nullif(regexp_extract({}, '(\d+)', 1), '') AS bigint)"
 
-def _united(spark: SparkSession, sf_dir: str, maps: dict[str, str], target) -> DataFrame:
-    sites = [site_maps.into(_site(spark, sf_dir, name.split()[0]), text, target, name) for name, text in maps.items()]
-    every = conform.snake_names(rows.union_all(*sites))
-    return every.groupBy(*every.columns).agg(F.count("*").alias("n"))
 
-
-@query("P8 U2", _sql(site_maps.TEN_MAPS, site_maps.TEN))
+@query("P8 U2 F7 J3 J5", f"""
+    {_files("booking", "trips", "stays hotels", "stays rooms", "advisor", "tours hotels 1", "tours hotels 2", "tours rooms 1", "tours rooms 2")},
+    hotels AS (FROM "tours hotels 1" UNION ALL FROM "tours hotels 2"), beds AS (FROM "tours rooms 1" UNION ALL FROM "tours rooms 2"),
+    every AS (
+        SELECT 'booking' AS source, "Hotel Name" AS hotel_name, "Hotel Link" AS hotel_link, "Address" AS address, "Rating_Clean" AS rating, "Room Type" AS room_type, "Bed Type" AS bed_type, "Area_m2_cleaned" AS area_m2, "Facilities_cleaned" AS facilities, "Final Price"::double AS price FROM booking
+        UNION ALL SELECT 'trips', "hotelName", "imageUrl", address, "commentScore", "roomNames", NULL, NULL, "categoryName", "minPrice" FROM trips
+        UNION ALL SELECT 'stays', hotel_name, hotel_link, city, NULL, room_name, bed_type, {_WHOLE.format('area_m2')}, amenities, price FROM "stays rooms" LEFT JOIN "stays hotels" USING (hotel_id)
+        UNION ALL SELECT 'advisor', hotel_name, hotel_url, address, "ratingValue", room_types, NULL, NULL, amenities, {_FIRST_RUN.format('"priceRange"')} FROM advisor
+        UNION ALL SELECT 'tours', ten, hotel_link, dia_chi, diem_danh_gia, room_name, bed, {_WHOLE.format('area')}, coalesce(room_amenities, '') || ' | ' || coalesce(tien_nghi, ''), {_FIRST_RUN.format('final_price')} FROM beds LEFT JOIN hotels ON hotel_link = link)
+    SELECT *, count(*) AS n FROM every WHERE hotel_name IS NOT NULL GROUP BY ALL""")
 def ten_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _united(spark, sf_dir, site_maps.TEN_MAPS, site_maps.TEN)
-
-
-@query("P9 U2", _sql(site_maps.WIDE_MAPS, site_maps.WIDE))
+    return _counted(site_maps.ten_columns(sites(spark, sf_dir)))
+
+
+@query("P9 U2 J3 J5", f"""
+    {_files("booking", "trips", "stays hotels", "stays rooms", "advisor", "tours hotels 1", "tours hotels 2", "tours rooms 1", "tours rooms 2")},
+    tours AS (SELECT * FROM "tours rooms 1" LEFT JOIN "tours hotels 1" ON hotel_link = link UNION ALL SELECT * FROM "tours rooms 2" LEFT JOIN "tours hotels 2" ON hotel_link = link),
+    every AS (
+        SELECT 'booking' AS source, NULL::varchar AS hotel_id, "Hotel Name" AS hotel_name, "Hotel Link" AS hotel_url, "Search Location" AS city, "Address" AS address, NULL::double AS latitude, NULL::double AS longitude, "Stars_Clean" AS stars, "Rating_Clean" AS rating, "Review Count" AS review_count,
+            "Room Type" AS room_name, "Room_Class" AS room_class, "Bed Type" AS bed_type, {_INTEGER.format('"Area_m2_cleaned"::varchar')} AS area_m2, "Total_Guests"::int AS max_occupancy, "Original Price"::varchar AS price_original, "Final Price"::varchar AS price_final, "Discount %" AS discount_pct,
+            "Free_Cancel_Bool"::int AS free_cancel, "Breakfast_Bool"::int AS breakfast, "Facilities_cleaned" AS amenities, "Check-in" AS checkin_date, NULL::varchar AS checkout_date FROM booking
+        UNION ALL SELECT 'trips', "hotelId", "hotelName", "imageUrl", "cityName", address, latitude, longitude, star, "commentScore", "commenterNumber", "roomNames", NULL, NULL, NULL, NULL, "maxPrice"::varchar, "minPrice"::varchar, NULL, NULL, NULL, NULL, "checkInDates", "checkOutDates" FROM trips
+        UNION ALL SELECT 'stays', hotel_id, hotel_name, hotel_link, city, NULL, NULL, NULL, NULL, NULL, NULL, room_name, NULL, bed_type, {_INTEGER.format('area_m2')}, max_occupancy, price::varchar, price::varchar, '0', NULL, NULL, amenities, NULL, NULL FROM "stays rooms" LEFT JOIN "stays hotels" USING (hotel_id)
+        UNION ALL SELECT 'advisor', NULL, hotel_name, hotel_url, NULL, address, NULL, NULL, NULL, "ratingValue", "reviewCount", room_types, NULL, NULL, NULL, NULL, "priceRange", "priceRange", NULL, NULL, NULL, amenities, NULL, NULL FROM advisor
+        UNION ALL SELECT 'tours', NULL, hotel_name, hotel_link, NULL, dia_chi, NULL, NULL, NULL, diem_danh_gia, so_luong_danh_gia, room_name, NULL, bed, {_INTEGER.format('area')}, {_INTEGER.format('people')}::int, {_DIGITS.format('list_price')}::varchar, {_DIGITS.format('final_price')}::varchar, discount_pct,
+            contains(lower(cancel_policy), 'có')::int, contains(lower(breakfast), 'có')::int, room_amenities, NULL, NULL FROM tours)
+    SELECT *, count(*) AS n FROM every GROUP BY ALL""")
 def wide_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _united(spark, sf_dir, site_maps.WIDE_MAPS, site_maps.WIDE)
-
-
-@query("P10 P6 U2", _sql(site_maps.EXPORT_MAPS, site_maps.EXPORT))
+    return _counted(site_maps.wide_columns(sites(spark, sf_dir)))
+
+
+@query("P10 P6 U2", f"""
+    {_files("trips", "stays hotels", "stays rooms", "advisor", "tours hotels 1", "tours hotels 2", "tours rooms 1", "tours rooms 2")},
+    hotels AS (FROM "tours hotels 1" UNION ALL FROM "tours hotels 2"), beds AS (FROM "tours rooms 1" UNION ALL FROM "tours rooms 2"),
+    every AS (
+        SELECT hotel_name, hotel_link, city AS search_location, NULL::varchar AS address, NULL::double AS stars_clean, NULL::double AS rating_clean, NULL::varchar AS review_count, NULL::varchar AS room_type, NULL::varchar AS bed_type, NULL::varchar AS area_m2_cleaned, NULL::varchar AS total_guests,
+            NULL::double AS adults, NULL::varchar AS facilities_cleaned, NULL::varchar AS original_price, NULL::varchar AS final_price, NULL::varchar AS discount_percent, NULL::varchar AS breakfast_bool, NULL::varchar AS free_cancel_bool FROM "stays hotels"
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, room_name, bed_type, area_m2, max_occupancy::varchar, NULL, amenities, NULL, price::varchar, NULL, NULL, NULL FROM "stays rooms"
+        UNION ALL SELECT hotel_name, hotel_url, NULL, address, NULL, "ratingValue", "reviewCount", NULL, NULL, NULL, NULL, NULL, amenities, NULL, NULL, NULL, NULL, NULL FROM advisor
+        UNION ALL SELECT "hotelName", NULL, "cityName", address, star, "commentScore", "commenterNumber", NULL, NULL, NULL, NULL, NULL, NULL, "maxPrice"::varchar, "minPrice"::varchar, NULL, NULL, NULL FROM trips
+        UNION ALL SELECT ten, link, NULL, dia_chi, NULL, diem_danh_gia, so_luong_danh_gia, NULL, NULL, NULL, NULL, NULL, tien_nghi, gia_niem_yet, gia_hien_tai, discount, NULL, NULL FROM hotels
+        UNION ALL SELECT hotel_name, hotel_link, NULL, NULL, NULL, NULL, NULL, room_name, bed, area, NULL, {_INTEGER.format('people')}, room_amenities, list_price, final_price, discount_pct, breakfast, cancel_policy FROM beds)
+    SELECT *, count(*) AS n FROM every GROUP BY ALL""")
 def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _united(spark, sf_dir, site_maps.EXPORT_MAPS, site_maps.EXPORT)
+    files = sites(spark, sf_dir)
+    both = {f"tours {kind}": rows.union_all(files[f"tours {kind} 1"], files[f"tours {kind} 2"]) for kind in ("hotels", "rooms")}
+    return _counted(site_maps.export_columns(files | both))
 
 
 @query("P2 P5", "SELECT hotel_name, row_id AS id, final_price AS price FROM rooms")

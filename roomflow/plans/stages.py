@@ -1,4 +1,7 @@
-"""The job's pipelines: raw rooms to balanced rooms, rooms to features, rooms to exports. Each is one lazy plan."""
+"""The job's pipelines: raw rooms to balanced rooms, rooms to features, rooms to exports.
+
+Tables that several steps read are written once to the shared folder while a pipeline is built.
+"""
 
 from __future__ import annotations
 
@@ -40,12 +43,16 @@ def profile_rooms(raw: DataFrame) -> DataFrame:
 
 
 def balanced_rooms(raw: DataFrame, seed: int = 42) -> DataFrame:
-    """Steps 1-5: conform and clean, drop unknown places and large areas, fill, remove outliers, balance, remove loose outliers."""
+    """Steps 1-5: conform and clean, drop unknown places and large areas, remove outliers, balance with modelled numbers, remove loose outliers.
+
+    Rows without price, area or people are gone after cleaning, so there is nothing left to fill. The raw rows are read once; each outlier
+    pass reads the table stored before it twice, once for the bounds.
+    """
     cleaned = conform.with_reject_reason(clean_rooms(raw, "location", *FEATURES), "location", "area").where("reject_reason IS NULL").drop("reject_reason")
-    filled = quality.fill_median(cleaned, ["price", "area"])
-    strict = quality.drop_outliers(quality.drop_outliers(filled, "area"), "price", "room_class")
-    balanced = quality.balance(strict, "room_class", "row_id", ["price", "area", "people"], seed=seed)
-    return quality.drop_outliers(balanced, "price", "room_class", factor=1.5)
+    sized = quality.drop_outliers(stored(cleaned, "cleaned"), "area")
+    strict = quality.drop_outliers(stored(sized, "sized"), "price", "room_class")
+    balanced = quality.balance(strict, "room_class", "row_id", ["price", "area", "people"], seed=seed, copula=True)
+    return quality.drop_outliers(stored(balanced, "balanced"), "price", "room_class", factor=1.5)
 
 
 def scaled_features(raw: DataFrame) -> DataFrame:

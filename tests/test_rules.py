@@ -24,7 +24,7 @@ def column(spark, values, f, kind="string"):
         (parse.area_first, ["25.5 m²", "25,5 m2", "khoảng 20 m2", "N/A", None], [25.5, 25.0, 20.0, None, None]),
         (parse.area_comma, ["25 m²", "25,5 m2", "m2", None], [25.0, 25.5, None, None]),
         (parse.area_integer, ["25.5", "x", None], [25, None, None]),
-        (parse.area_whole, ["25,5 m2", "khoảng 20 m2", "N/A", None], [25.5, None, None, None]),
+        (parse.area_whole, ["25,5 m2", "25.5 m2", " 30 m² ", "khoảng 20 m2", "12f", "N/A", None], [None, 25.5, 30.0, None, None, None, None]),
         (parse.area_with_unit, ["25 m²", "25M2", "25", None], [25, 25, None, None]),
         (parse.people, ["2 người", "4", "x", None], [2, 4, None, None]),
         (parse.score, ["8,9", "8.9", "nan", "N/A", "abc", None], [8.9, 8.9, None, None, None, None]),
