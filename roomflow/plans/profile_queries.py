@@ -236,7 +236,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.compare(_predictions(spark, sf_dir), _predictions(spark, sf_dir, "m2", "6", "PROMO"), "room_class", "predicted"), "precision_a", "recall_a", "precision_b", "recall_b", "gain")
 
 
-@query("A28 L9", "WITH p AS (SELECT original_price AS y, final_price AS p FROM rooms) SELECT round(avg(abs(y - p)), 4) AS mae, round(1 - sum((y - p) * (y - p)) / sum((y - (SELECT avg(y) FROM p)) * (y - (SELECT avg(y) FROM p))), 6) AS r2 FROM p")
+@query("A28", "WITH p AS (SELECT original_price AS y, final_price AS p FROM rooms) SELECT round(avg(abs(y - p)), 4) AS mae, round(1 - sum((y - p) * (y - p)) / sum((y - (SELECT avg(y) FROM p)) * (y - (SELECT avg(y) FROM p))), 6) AS r2 FROM p")
 def regression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rooms(spark, sf_dir).select(F.log1p("original_price").alias("y"), F.log1p("final_price").alias("p"))
     return evaluate.regression_metrics(r, "y", "p").select(F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
@@ -346,27 +346,53 @@ def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("row_id"), F.col("fold"), prediction.alias("prediction"), F.round(confidence, 6).alias("confidence"), (~wrong).cast("int").alias("correct"), (wrong & (confidence >= 0.9)).alias("misaligned"), "suggested", "suspect")
 
 
-def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = stages.clean_rooms(rooms(spark, sf_dir), "row_id")
-    return stored(t.select("row_id", F.log1p("price").alias("label"), "price", "area", F.col("people").cast("double").alias("people")), "priced")
+#: Tried settings of each kind of boosted trees, and rounds after each rung of halving; rounds of the stacked learners.
+TRIALS, RUNGS, STACK_ROUNDS = 6, (8, 16, 32), 100
+_PRICE = ["area", "people", "stars", "rating", "review_count", "distance_km", "facility_count", "room_score", "area_stars", "score_area", "has_luxury_keyword", *_NAMES, "class_index", "place_index", "bed_index"]
 
 
-@query("L8 L9")
-def stacked_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from roomflow.operators import models
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log prices with numbers, ratios, flags and categories by their rank (-1 for none); missing numbers stay missing."""
+    from roomflow.functions import parse
 
-    t = _priced(spark, sf_dir)
-    fitted = models.stacked_regression(t, "label", ["area", "people"], "row_id", folds=5)
-    return evaluate.price_gap(models.predict_stacked(fitted, t, ["area", "people"]), "price", "prediction").select("row_id", F.round("gap", 2).alias("gap"))
+    t = stages.clean_rooms(rooms(spark, sf_dir), *stages.FEATURES, "location", "room_text", "score_raw", "distance_raw", "review_text", "l_linenumber", "level", "bed_class")
+    area_stars, score_area = features.interactions(F.col("area"), F.col("stars"), F.col("room_score"))
+    t = t.withColumns({"stars": (F.col("l_linenumber") % 5).cast("double"), "rating": parse.score(F.col("score_raw")), "review_count": parse.review_count(F.col("review_text")), "distance_km": parse.distance_km(F.col("distance_raw")), "facility_count": features.count_facilities(F.col("facilities")), "room_score": classify.room_score(F.col("level"))})
+    t = t.withColumns({"area_stars": area_stars, "score_area": score_area, "has_luxury_keyword": features.luxury_flag(F.lower("room_type"))})
+    t = features.facility_flags(features.bed_flags(t, "room_type", "bed_type", "facilities"), "facilities")
+    t = stored(t, "priced")
+    for column, name in (("room_class", "class_index"), ("location", "place_index"), ("bed_class", "bed_index")):
+        t = features.encode(t, features.fit_labels(t, column), column, unknown=-1).withColumnRenamed(f"{column}_index", name)
+    return stored(t.select("row_id", "price", parse.log_price(F.col("price")).alias("log_price"), *_PRICE), "price-features")
 
 
 @query("L7")
 def tuned_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from roomflow.operators import models
+    """All settings that were tried, with the error that each had when it stopped, and the best of each kind."""
+    from roomflow.operators import prices
+
+    best, every = prices.successive_halving(_priced(spark, sf_dir), _PRICE, "log_price", "row_id", prices.random_trials(TRIALS), RUNGS)
+    table = [(t.kind, t.number, t.spec.depth, t.spec.rate, t.spec.rows, t.spec.columns, t.rounds, round(t.error, 6), best[t.kind] == t) for t in every]
+    return spark.createDataFrame(table, "kind string, number int, depth int, rate double, rows double, columns double, rounds int, error double, best boolean")
+
+
+@query("L8 L9")
+def stacked_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by the stacked best settings; a row's prediction is by models that have not seen it."""
+    from roomflow.operators import prices
 
     t = _priced(spark, sf_dir)
-    best = models.price_regression(t, "label", ["area", "people"], folds=3)
-    return evaluate.price_gap(best.transform(models.assemble(t, ["area", "people"])), "price", "prediction").select("row_id", F.round("gap", 2).alias("gap"))
+    best, _ = prices.successive_halving(t, _PRICE, "log_price", "row_id", prices.random_trials(TRIALS), RUNGS)
+    _, unseen = prices.stack(t, _PRICE, "log_price", "row_id", [b.spec for b in best.values()], STACK_ROUNDS)
+    found = t.select("row_id", "price").join(unseen.select(F.col("key").alias("row_id"), "prediction"), "row_id")
+    return evaluate.price_gap(found, "price", "prediction").select("row_id", F.round("gap", 2).alias("gap"))
+
+
+@query("L9", "SELECT row_id, round(abs(final_price - original_price), 4) AS gap FROM rooms")
+def price_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list price as a prediction of the final one."""
+    r = rooms(spark, sf_dir).select("row_id", "final_price", F.log1p("original_price").alias("prediction"))
+    return evaluate.price_gap(r, "final_price", "prediction").select("row_id", F.round("gap", 4).alias("gap"))
 
 
 @query("L5")
@@ -379,10 +405,10 @@ def stored_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomflow.operators import models
 
     train, validation, test = _parts(spark, sf_dir)
-    model, _, _ = models.random_forest(train, validation, _MODEL, "label", trees=(FIXED_TREES,), depth=DEPTH)
+    model, _, _ = models.random_forest(train, validation, _ALL_FEATURES, "label", trees=(FIXED_TREES,), depth=DEPTH)
     path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
     models.save(model, path)
-    return models.score(RandomForestClassificationModel.load(path), test, _MODEL, "label").select("row_id", "prediction", F.round("confidence", 6).alias("confidence"))
+    return models.score(RandomForestClassificationModel.load(path), test, _ALL_FEATURES, "label").select("row_id", "prediction", F.round("confidence", 6).alias("confidence"))
 
 
 @query("E11 E12", f"""

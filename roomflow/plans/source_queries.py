@@ -153,6 +153,26 @@ def csv_with_semicolons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.csv(spark, path, conform.schema(_TEXTS), ";")
 
 
+@query("S2 S8", "SELECT row_id, hotel_name, room_type || chr(10) || '\"x\"' AS room_type, facilities, original_price FROM rooms")
+def csv_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks and quotes, read back from byte ranges."""
+    path = _place(spark, "ranges")
+    sinks.csv_for_people(_texts(spark, sf_dir).withColumn("room_type", F.concat("room_type", F.lit('\n"x"'))), path)
+    return readers.split_csv(spark, path, conform.schema(_TEXTS))
+
+
+@query("S4", "SELECT 'there' AS data_source, 'whole' AS state, count(*) AS rows, 0::bigint AS broken_records FROM rooms UNION ALL SELECT 'notes', 'partly', count(*) FILTER (l_linenumber <> 2), count(*) FILTER (l_linenumber = 2) FROM rooms UNION ALL SELECT 'nowhere', 'missing', 0, 0")
+def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole source, one with records that don't fit, and one that isn't there."""
+    r = rooms(spark, sf_dir).select("row_id", "l_linenumber", "hotel_name")
+    there, notes = _place(spark, "there"), _place(spark, "notes")
+    sinks.overwrite(r.select("l_linenumber", "hotel_name"), there)
+    sinks.csv(r.select(F.when(F.col("l_linenumber") == 2, F.lit("two")).otherwise(F.col("l_linenumber").cast("string")).alias("l_linenumber"), "hotel_name"), notes)
+    sources = {"there": ("parquet", there), "notes": ("csv", notes), "nowhere": ("json", _place(spark, "nowhere"))}
+    _, report = readers.tolerant_sources(spark, sources, conform.schema("l_linenumber int, hotel_name string"))
+    return report.select("data_source", "state", "rows", "broken_records")
+
+
 @query("S4 S5", "SELECT row_id, hotel_name FROM rooms")
 def sources_that_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, schema = _place(spark, "there"), conform.schema("row_id string, hotel_name string")
@@ -171,6 +191,23 @@ def appended_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(e.schema).parquet(path).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("S6 S7", """
+    WITH last AS (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS spent, max_by(o_orderpriority, o_orderkey) AS segment FROM orders GROUP BY 1),
+    known AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_nationkey <> 3)
+    SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(spent, c_acctbal) AS c_acctbal, coalesce(c_mktsegment, segment) AS c_mktsegment, 2::bigint AS versions FROM known FULL JOIN last ON c_custkey = o_custkey""", rooms=False)
+def merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of all nations but one, then each customer's last order as their balance; the second batch comes twice."""
+    from roomflow.sources.merge import MergeTable
+
+    customers = readers.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
+    orders = readers.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderpriority").alias("c_mktsegment"), "o_orderkey")
+    table = MergeTable(spark, _place(spark, "merged"), customers.select("c_custkey", "c_acctbal", "c_mktsegment").schema, ["c_custkey"])
+    table.merge(customers.where("c_nationkey <> 3"), "customers")
+    for _ in range(2):
+        table.merge(orders, "orders", columns=["c_acctbal"], order="o_orderkey")
+    return table.read().withColumn("versions", F.lit(len(table.versions())).cast("long"))
+
+
 @query("S9 A23", "SELECT hotel_name, count(*) AS n_rooms, round(sum(original_price), 2) AS total, min(row_id) AS first_room FROM rooms GROUP BY 1")
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark, "documents")

@@ -6,8 +6,8 @@ import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +25,42 @@ def jdbc(spark: SparkSession, options: Mapping[str, str], name: str, column: str
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",") -> DataFrame:
-    """Header, UTF-8 with or without mark, line breaks in quotes."""
+    """Header, UTF-8 with or without mark, line breaks in quotes. A file is one task's work; ``split_csv`` reads large ones."""
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("sep", separator).csv(path)
 
 
+def split_csv(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",") -> DataFrame:
+    """S2, S3 for large files: the same rows as ``csv`` gives, from files that are read in byte ranges.
+
+    A line starts a record if an even number of quotes stands before it in its file. Quotes are counted by range and summed up over a file's
+    ranges, then line by line within each range. A record of one line, as nearly all are, needs nothing else; only lines of longer ones are
+    put together by a shuffle. The first record of each file is its header. Files need a name of their own for their ranges to be told apart.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.regexp_count("value", F.lit('"')).alias("quotes")
+    )
+    ranges = lines.groupBy("file", "block").agg(F.sum("quotes").alias("held"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a file
+    before = ranges.select("file", "block", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("file", "block").orderBy("line")
+    so_far = F.coalesce(F.sum("quotes").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(before, ["file", "block"]).withColumn("start", ((F.col("before") + so_far) % 2 == 0).cast("int"))
+    counts = placed.groupBy("file", "block").agg(F.sum("start").alias("starts"))
+    offsets = counts.select("file", "block", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("first"))
+    numbered = placed.join(offsets, ["file", "block"]).withColumn("record", F.col("first") + F.sum("start").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = (F.col("start") == 1) & (F.col("quotes") % 2 == 0)
+    single = numbered.where(whole).select("file", "record", "value")
+    parts = numbered.where(~whole).groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("lines"))  # the lines of one record
+    records = single.unionByName(parts.select("file", "record", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value")))
+    body = records.where("record > 1").select(F.regexp_replace("value", "\r$", "").alias("value")).where("value <> ''")
+    options = {"sep": separator, "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "lineSep": "\u0001"}
+    return body.select(F.from_csv("value", _ddl(schema), options).alias("row")).select("row.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
 def tolerant(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
     """A missing source is an empty table of the schema, and is logged."""
     try:
@@ -40,6 +72,63 @@ def tolerant(spark: SparkSession, path: str, schema: T.StructType, kind: str = "
         return spark.createDataFrame([], schema)
 
 
+#: How a source may be: read whole, not there, in part unreadable, or not readable at all.
+WHOLE, MISSING, PARTLY, BROKEN = "whole", "missing", "partly", "broken"
+_CORRUPT = "__corrupt"
+
+
+def tolerant_sources(spark: SparkSession, sources: Mapping[str, tuple[str, str]], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows of all sources that can be read, with ``data_source``, and a report; no source stops the others.
+
+    ``sources``: name to (kind, path), where kind is ``csv``, ``json`` or ``parquet``. Records of text that don't fit the schema, and Parquet
+    files that can't be opened or break off, are left out and counted. The report has for each source its state, files, broken files,
+    rows and broken records. It costs a pass over the sources, as any count does; what it counts is what the rows hold.
+    """
+    kept, reports = [], []
+    for name, (kind, path) in sources.items():
+        try:
+            part, wrong = _forgiving(spark, kind, path, schema)
+            files = part.inputFiles()
+        except PySparkException as e:
+            missing = isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND"
+            _LOG.warning("source %s: %s", name, str(e).splitlines()[0])
+            reports.append(spark.createDataFrame([(name, MISSING if missing else BROKEN, 0, 0, 0, 0)], _REPORT))
+            continue
+        each = part.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("seen"), F.sum(wrong.cast("int")).alias("wrong"))
+        sums = each.agg(F.count("*").alias("full"), F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("wrong"))
+        silent, broken = F.lit(_unreadable(spark, files, each) if kind == "parquet" else 0), F.col("wrong")
+        state = F.when((silent == 0) & (broken == 0), WHOLE).when(F.col("seen") > broken, PARTLY).otherwise(BROKEN)
+        reports.append(sums.select(F.lit(name).alias("data_source"), state.alias("state"), F.lit(len(files)).cast("long").alias("files"), silent.cast("long").alias("broken_files"), (F.col("seen") - broken).alias("rows"), broken.alias("broken_records")))
+        kept.append(part.where(~wrong).select(*schema.names).withColumn("data_source", F.lit(name)))
+    empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("data_source", T.StringType())]))
+    return reduce(lambda a, b: a.unionByName(b), kept, empty), reduce(lambda a, b: a.unionByName(b), reports, spark.createDataFrame([], _REPORT))
+
+
+_REPORT = "data_source string, state string, files long, broken_files long, rows long, broken_records long"
+
+
+def _unreadable(spark: SparkSession, files: Sequence[str], each: DataFrame) -> int:
+    """Parquet files without rows that don't end as such files do. Only files that gave no rows are looked at."""
+    seen = {r[0] for r in each.select("file").collect()}  # names, as many as the listing has
+    silent = [f for f in files if f not in seen]
+    if not silent:
+        return 0
+    ending = F.decode(F.expr("right(content, 4)"), "ISO-8859-1")
+    return spark.read.format("binaryFile").load(silent).where((F.col("length") < 12) | (ending != "PAR1")).count()
+
+
+def _forgiving(spark: SparkSession, kind: str, path: str, schema: T.StructType) -> tuple[DataFrame, Column]:
+    """Rows of a source and which of them are broken records."""
+    if kind == "parquet":
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path), F.lit(False)
+    wider = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    reader = spark.read.schema(wider).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).option("ignoreCorruptFiles", True)
+    if kind == "csv":
+        reader = reader.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True)
+    whole = F.concat_ws("", *[F.col(f"`{n}`").cast("string") for n in schema.names])  # what a record is worth shows only when all of it is parsed
+    return reader.format(kind).load(path), F.col(_CORRUPT).isNotNull() | (F.length(whole) < 0)
+
+
 def ranged(df: DataFrame, key: str, ranges: Sequence[tuple[int, int]], link: str | None = None, prefix: str = "http") -> DataFrame:
     """Rows in any of the key ranges whose link starts with a prefix, in key order; the filters reach the scan."""
     inside = reduce(lambda a, b: a | b, [F.col(key).between(a, b) for a, b in ranges])
