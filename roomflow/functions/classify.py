@@ -83,6 +83,11 @@ FACILITY_FLAGS = {
 LUXURY_WORDS = "deluxe|superior|suite|premium|luxury|executive"
 
 
+def _low(c: Column, lowered: bool) -> Column:
+    """The text in lower case. Rules ask it many times, so one that several rules read is best lowered once, in a select before theirs."""
+    return c if lowered else F.lower(c)
+
+
 def first_of(text: Column, table, default: Column) -> Column:
     out = default
     for name, words in reversed(table):
@@ -90,9 +95,9 @@ def first_of(text: Column, table, default: Column) -> Column:
     return out
 
 
-def tags(c: Column, table: dict[str, str]) -> Column:
+def tags(c: Column, table: dict[str, str], lowered: bool = False) -> Column:
     """All tags whose keyword is in the text, sorted and joined by ' & '."""
-    text = F.lower(c)
+    text = _low(c, lowered)
     hits = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(text.contains(k), F.lit(t)) for k, t in table.items()]))))
     none = F.when(contains_any(text, ("phòng", "room")), F.lit("Standard")).otherwise(F.lit("Other"))
     known = F.when(F.size(hits) > 0, F.array_join(hits, " & ")).otherwise(none)
@@ -107,9 +112,9 @@ def district(address: Column, search_location: Column) -> Column:
     return F.coalesce(F.initcap(first_match(text, DISTRICT)), first_of(text, DISTRICT_WORDS, place))
 
 
-def room_level(c: Column) -> Column:
+def room_level(c: Column, lowered: bool = False) -> Column:
     """C3."""
-    return F.coalesce(first_of(F.lower(c), LEVELS, F.lit("Standard")), F.lit("Standard"))
+    return F.coalesce(first_of(_low(c, lowered), LEVELS, F.lit("Standard")), F.lit("Standard"))
 
 
 def room_level_words(c: Column) -> Column:
@@ -120,9 +125,9 @@ def room_level_words(c: Column) -> Column:
     return F.when(F.lower(F.coalesce(F.trim(c), F.lit(""))).isin("nan", "(blanks)", ""), F.lit("Unknown")).otherwise(out)
 
 
-def room_family(c: Column) -> Column:
+def room_family(c: Column, lowered: bool = False) -> Column:
     """Fifteen families; apartments split by studio and bedrooms."""
-    text = F.lower(F.trim(c))
+    text = _low(c, lowered)
     flat = F.when(text.contains("studio"), F.lit("Studio")).when(contains_any(text, ("1 bedroom", "1 phòng ngủ")), F.lit("Apartment 1BR")).when(contains_any(text, ("2 bedroom", "2 phòng ngủ")), F.lit("Apartment 2BR")).otherwise(F.lit("Apartment"))
     out = (
         F.when(contains_any(text, ("dorm", "hostel", "tập thể")), F.lit("Dormitory"))
@@ -138,10 +143,10 @@ def _one_bed(text: Column, table, several: str) -> Column:
     return F.when(F.size(hits) == 1, hits[0]).when(F.size(hits) > 1, F.lit(several)).otherwise(F.lit("Unknown"))
 
 
-def bed_family(c: Column, single: str = "Single") -> Column:
+def bed_family(c: Column, single: str = "Single", lowered: bool = False) -> Column:
     """C4; C7 names the fourth family 'Single/Twin'."""
     table = [(single if name == "Single" else name, words) for name, words in BEDS]
-    return F.when(c.isNull(), F.lit("Unknown")).otherwise(_one_bed(F.lower(c), table, "Mixed Beds"))
+    return F.when(c.isNull(), F.lit("Unknown")).otherwise(_one_bed(_low(c, lowered), table, "Mixed Beds"))
 
 
 def bed_class(c: Column) -> Column:
@@ -154,9 +159,9 @@ def bed_class(c: Column) -> Column:
     return F.when(c.isNull() | (c == "Standard") | (total == 0), F.lit("Unknown")).when(total == 1, one).otherwise(F.lit("Mixed"))
 
 
-def bed_text(c: Column) -> Column:
+def bed_text(c: Column, lowered: bool = False) -> Column:
     """From free text; a dormitory wins. (Counts before a bed's name never add a family that the name itself doesn't.)"""
-    text = F.lower(F.trim(c))
+    text = _low(c, lowered)
     table = [(name, tuple(w for w in words if w != "twin")) for name, words in BEDS]
     return F.when(c.isNull(), F.lit("Unknown")).when(contains_any(text, ("tập thể", "dorm")), F.lit("Dormitory")).otherwise(_one_bed(text, table, "Mixed"))
 
@@ -166,9 +171,9 @@ def first_known(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(a, F.lit("Unknown")), F.nullif(b, F.lit("Unknown")), F.lit("Unknown"))
 
 
-def city(c: Column) -> Column:
+def city(c: Column, lowered: bool = False) -> Column:
     """C11: null where no city is named."""
-    return first_of(F.lower(c), CITIES, F.lit(None).cast("string"))
+    return first_of(_low(c, lowered), CITIES, F.lit(None).cast("string"))
 
 
 def value_map(c: Column, table: dict, default) -> Column:

@@ -86,14 +86,44 @@ def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b, key)
 
 
+#: Longest gram of the containment index.
+GRAM = 3
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    """Different substrings of length n; of a shorter text itself."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
+
+
+def containing_candidates(short: DataFrame, long: DataFrame, scope: str, a: str, b: str) -> DataFrame:
+    """scope, a, b: pairs within a scope whose ``b`` has the rarest gram of ``a``, and so every pair whose ``b`` contains ``a``.
+
+    Both sides must be distinct. A text's rarest gram is the one that fewest texts of the other side have in its scope; a text with a gram
+    that none has is in none. So a scope with very many texts is spread over its grams, and common ones are not met.
+    """
+    index = long.select(scope, b, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(F.col(b), n) for n in range(1, GRAM + 1)]))).alias("__gram"))
+    counts = index.groupBy(scope, "__gram").agg(F.count("*").alias("__held"))
+    asked = short.where(F.col(a).isNotNull()).select(scope, a, F.explode(_grams(F.col(a), F.least(F.lit(GRAM), F.length(a)))).alias("__gram")).join(counts, [scope, "__gram"], "left")
+    held = F.coalesce("__held", F.lit(0))
+    rarest = asked.groupBy(scope, a).agg(F.min_by("__gram", F.struct(held, "__gram")).alias("__gram"), F.min(held).alias("__least")).where("__least > 0").drop("__least")
+    return rarest.join(index, [scope, "__gram"]).select(scope, a, b)
+
+
 def match_rooms(listings: DataFrame, page_rooms: DataFrame, link: str, name: str, page_name: str, position: str, key: str) -> DataFrame:
-    """For each listing the first room of its page where either name contains the other, without case and spaces."""
+    """For each listing the first room of its page where either name contains the other, without case and spaces.
+
+    Names meet once for each page however many rows have them, and through an index of their grams rather than all with all.
+    """
     plain = lambda c: F.regexp_replace(F.lower(c), r"\s", "")
-    right = page_rooms.withColumn("__p", plain(F.col(page_name)))
-    left = listings.select(key, link, plain(F.col(name)).alias("__l"))
-    hits = left.join(right, link).where(F.col("__p").contains(F.col("__l")) | F.col("__l").contains(F.col("__p")))
-    best = hits.groupBy(key).agg(F.min_by(F.struct(*[c for c in page_rooms.columns if c != link]), position).alias("match"))
-    return listings.join(best, key, "left")
+    pages = page_rooms.withColumn("__p", plain(F.col(page_name))).where("__p IS NOT NULL").groupBy(link, "__p").agg(F.min_by(F.struct(*[c for c in page_rooms.columns if c != link]), position).alias("match"), F.min(position).alias("__at"))
+    named = listings.withColumn("__l", plain(F.col(name)))
+    names = named.select(link, "__l").distinct()
+    inside = containing_candidates(names, pages, link, "__l", "__p").where(F.col("__p").contains(F.col("__l")))
+    around = containing_candidates(pages.select(link, "__p"), names.where("__l IS NOT NULL"), link, "__p", "__l").where(F.col("__l").contains(F.col("__p")))
+    hits = inside.unionByName(around).join(pages, [link, "__p"])
+    best = hits.groupBy(link, "__l").agg(F.min_by("match", "__at").alias("match"))
+    return named.join(best, [link, "__l"], "left").select(*listings.columns, "match")
 
 
 def union_all(*tables: DataFrame) -> DataFrame:

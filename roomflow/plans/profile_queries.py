@@ -248,11 +248,14 @@ def suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.suspect_labels(_predictions(spark, sf_dir).withColumn("confidence", confidence), "room_class", "predicted", "confidence").select("row_id", "predicted")
 
 
-@query("A3", "SELECT room_class, count(*) AS rejected FROM rooms WHERE location IS NULL OR location = 'Unknown' GROUP BY 1")
+@query("A3", """
+    WITH r AS (SELECT room_class, location, try_cast(nullif(regexp_extract(area_raw, '(\\d+)', 1), '') AS bigint) * 4 AS area FROM rooms)
+    SELECT room_class, count(*) AS rejected FROM r WHERE location IS NULL OR location = 'Unknown' OR area > 120 GROUP BY 1""")
 def rejected_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomflow.functions.parse import area_integer
     from roomflow.operators.conform import with_reject_reason
 
-    r = with_reject_reason(rooms(spark, sf_dir).select("room_class", "location", F.lit(20.0).alias("area")), "location", "area")
+    r = with_reject_reason(rooms(spark, sf_dir).select("room_class", "location", (area_integer(F.col("area_raw")) * 4).alias("area")), "location", "area")
     return r.where("reject_reason IS NOT NULL").groupBy("room_class").agg(F.count("*").alias("rejected")).orderBy("room_class")
 
 

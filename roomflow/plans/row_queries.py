@@ -17,7 +17,16 @@ def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.table(spark, sf_dir, "part").select(shifted.alias("l_partkey"), F.col("p_size").alias("area"), F.col("p_brand").alias("brand"))
 
 
-@query("J1 J2 J3 J4 O2 N22", "SELECT row_id, l_partkey, coalesce(p_size, 0) AS area, p_brand AS brand FROM rooms LEFT JOIN part ON l_partkey = CASE WHEN p_partkey % 3 = 0 THEN -p_partkey ELSE p_partkey END")
+@query("J4", """
+    SELECT s_name, n_name, l_orderkey, l_linenumber, l_partkey FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = CASE WHEN s_suppkey % 4 = 0 THEN -s_suppkey ELSE s_suppkey END""", rooms=False)
+def hotels_with_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hotel with all of its rooms, and hotels without any."""
+    hotels = readers.table(spark, sf_dir, "supplier").join(readers.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    hotels = hotels.select("s_name", "n_name", F.when(F.col("s_suppkey") % 4 == 0, -F.col("s_suppkey")).otherwise(F.col("s_suppkey")).alias("l_suppkey"))
+    return rows.left_details(hotels, readers.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"), "l_suppkey").drop("l_suppkey")
+
+
+@query("J1 J2 J3 O2 N22", "SELECT row_id, l_partkey, coalesce(p_size, 0) AS area, p_brand AS brand FROM rooms LEFT JOIN part ON l_partkey = CASE WHEN p_partkey % 3 = 0 THEN -p_partkey ELSE p_partkey END")
 def left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rooms(spark, sf_dir).select("row_id", "l_partkey")
     return rows.left_details(r, _details(spark, sf_dir), "l_partkey").select("row_id", "l_partkey", F.coalesce("area", F.lit(0)).alias("area"), "brand").orderBy("row_id")

@@ -91,7 +91,8 @@ def _tags_sql(x: str, table: dict[str, str]) -> str:
 
 @query("C1 U6", f"SELECT row_id, {_tags_sql('bed_type', classify.BED_TAGS)} AS bed, {_tags_sql('room_text', classify.ROOM_TAGS)} AS room FROM rooms")
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rooms(spark, sf_dir).select("row_id", classify.tags(F.col("bed_type"), classify.BED_TAGS).alias("bed"), classify.tags(F.col("room_text"), classify.ROOM_TAGS).alias("room"))
+    r = rooms(spark, sf_dir).select("row_id", F.lower("bed_type").alias("bed"), F.lower("room_text").alias("room"))
+    return r.select("row_id", classify.tags(F.col("bed"), classify.BED_TAGS, True).alias("bed"), classify.tags(F.col("room"), classify.ROOM_TAGS, True).alias("room"))
 
 
 def _title(x: str) -> str:
@@ -131,13 +132,14 @@ _C13 = "CASE split_part(room_type, ' ', 1) " + " ".join(f"WHEN '{k}' THEN {v}" f
      {_cases('lower(address)', classify.CITIES, 'NULL')} AS c11, {_C13} AS c13, CASE WHEN contains(room_class, 'AL') THEN 'x' ELSE 'y' END AS c14_like, CASE WHEN contains(room_type, 'AI') THEN 'AI' ELSE 'Real' END AS c14
     FROM rooms""")
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text, bed = F.col("room_text"), F.col("bed_type")
-    c8, c9 = classify.bed_class(F.col("bed_tags")), classify.bed_text(bed)
-    return rooms(spark, sf_dir).select(
-        "row_id", classify.room_level(text).alias("c3"), classify.bed_family(bed).alias("c4"), classify.room_level_words(text).alias("c5"), classify.room_family(text).alias("c6"), classify.bed_family(bed, "Single/Twin").alias("c7"),
-        c8.alias("c8"), c9.alias("c9"), classify.first_known(c8, c9).alias("c10"), classify.city(F.col("address")).alias("c11"), classify.room_score(F.split_part("room_type", F.lit(" "), F.lit(1))).alias("c13"),
+    r = rooms(spark, sf_dir).withColumns({"room_low": F.lower("room_text"), "bed_low": F.lower("bed_type"), "address_low": F.lower("address")})
+    text, bed = F.col("room_low"), F.col("bed_low")
+    found = r.select(
+        "row_id", classify.room_level(text, True).alias("c3"), classify.bed_family(bed, lowered=True).alias("c4"), classify.room_level_words(F.col("room_text")).alias("c5"), classify.room_family(text, True).alias("c6"), classify.bed_family(bed, "Single/Twin", True).alias("c7"),
+        classify.bed_class(F.col("bed_tags")).alias("c8"), classify.bed_text(bed, True).alias("c9"), classify.city(F.col("address_low"), True).alias("c11"), classify.room_score(F.split_part("room_type", F.lit(" "), F.lit(1))).alias("c13"),
         F.when(F.col("room_class").contains("AL"), F.lit("x")).otherwise(F.lit("y")).alias("c14_like"), classify.row_origin(F.col("room_type")).alias("c14"),
     )
+    return found.withColumn("c10", classify.first_known(F.col("c8"), F.col("c9")))
 
 
 @query("F1 F2 F3 F4 F6 F7", """

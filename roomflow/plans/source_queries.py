@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomflow.functions import parse
 from roomflow.operators import conform, rows
 from roomflow.plans import site_maps
 from roomflow.plans.registry import query
@@ -218,13 +219,15 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("hotel_name", F.size("rooms").cast("long").alias("n_rooms"), F.round(total, 2).alias("total"), F.array_min("rooms.row_id").alias("first_room"))
 
 
-@query("S10", "SELECT row_id, location, location IS NOT NULL AND location <> 'Unknown' AS accepted FROM rooms")
+@query("S10", """
+    WITH r AS (SELECT row_id, location, try_cast(nullif(regexp_extract(area_raw, '(\\d+)', 1), '') AS bigint) * 4 AS area FROM rooms)
+    SELECT row_id, location, area, location IS NOT NULL AND location <> 'Unknown' AND coalesce(area, 0) <= 120 AS accepted FROM r""")
 def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = _place(spark, "accepted"), _place(spark, "rejected")
-    r = conform.with_reject_reason(rooms(spark, sf_dir).select("row_id", "location", F.lit(20.0).alias("area")), "location", "area")
-    sinks.quarantine(r, good, bad)
-    kept, dropped = spark.read.parquet(good), spark.read.parquet(bad)
-    return rows.union_all(kept.withColumn("accepted", F.lit(True)), dropped.withColumn("accepted", F.lit(False))).select("row_id", "location", "accepted")
+    path = _place(spark, "quarantine")
+    r = rooms(spark, sf_dir).select("row_id", "location", (parse.area_integer(F.col("area_raw")) * 4).alias("area"))
+    sinks.quarantine(conform.with_reject_reason(r, "location", "area"), path)
+    kept, dropped = spark.read.schema(r.schema).parquet(f"{path}/accepted=true"), spark.read.schema(r.schema).parquet(f"{path}/accepted=false")
+    return rows.union_all(kept.withColumn("accepted", F.lit(True)), dropped.withColumn("accepted", F.lit(False)))
 
 
 @query("S11", "SELECT n_nationkey, n_name FROM nation", rooms=False)

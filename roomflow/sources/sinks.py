@@ -41,10 +41,9 @@ def nested_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def quarantine(df: DataFrame, accepted: str, rejected: str, reason: str = "reject_reason") -> None:
-    """Accepted and rejected rows go to tables of their own."""
-    overwrite(df.where(F.col(reason).isNull()).drop(reason), accepted)
-    overwrite(df.where(F.col(reason).isNotNull()), rejected)
+def quarantine(df: DataFrame, path: str, reason: str = "reject_reason") -> None:
+    """Accepted and rejected rows go to tables of their own, ``accepted=true`` and ``accepted=false`` of the path, in one pass."""
+    df.withColumn("accepted", F.col(reason).isNull()).write.mode("overwrite").partitionBy("accepted").parquet(path)
 
 
 def overwrite_unless_empty(df: DataFrame, path: str) -> bool:

@@ -123,8 +123,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 4
     assert not sinks.overwrite_unless_empty(df.where("id > 5"), str(tmp_path / "p")) and spark.read.parquet(str(tmp_path / "p")).count() == 4
     marked = conform.with_reject_reason(spark.createDataFrame([("a", 10.0), ("Unknown", 1.0), ("a", 500.0), ("a", None)], "l string, x double"), "l", "x")
-    sinks.quarantine(marked, str(tmp_path / "ok"), str(tmp_path / "bad"))
-    assert (spark.read.parquet(str(tmp_path / "ok")).count(), spark.read.parquet(str(tmp_path / "bad")).count()) == (2, 2)
+    sinks.quarantine(marked, str(tmp_path / "both"))
+    assert (spark.read.parquet(str(tmp_path / "both/accepted=true")).count(), spark.read.parquet(str(tmp_path / "both/accepted=false")).count()) == (2, 2)
     sinks.lines(spark.createDataFrame([(" http://a ",), ("",)], "u string"), "u", str(tmp_path / "l"))
     assert [r[0] for r in readers.links(spark, str(tmp_path / "l")).collect()] == ["http://a"]
     sinks.csv(df, str(tmp_path / "c"))
