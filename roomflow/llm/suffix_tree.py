@@ -14,7 +14,9 @@ everywhere is one entry of each chunk, and buckets are even. Nothing of the corp
 
 from __future__ import annotations
 
+import gc
 import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ DEPTH, MIN_CONTEXT, GAIN = 2, 64, 5.0
 #: Smoothing weights to choose from, times the occurrences of the context.
 WEIGHTS = (1 / 16, 1 / 4, 1.0, 4.0)
 #: Tokens of a chunk (a longer document is one chunk), bytes of text that are split at once, keys of a bucket on average.
-CHUNK_TOKENS, SPLIT_BYTES, BUCKET_KEYS = 1_500_000, 4 << 20, 1 << 20
+CHUNK_TOKENS, SPLIT_BYTES, BUCKET_KEYS = 500_000, 1 << 20, 1 << 19
+#: Chunks of one task.
+TASK_CHUNKS = 8
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Kinds of questions are kept apart by the high bits of the bucket.
 _COUNTS, _GAINS, _KIND = 0, 1, 40
@@ -68,6 +72,22 @@ def _join(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(context * np.uint64(0xD6E8FEB86659FD93) + word)
 
 
+#: A number for each place in a word (later ones go round, times an odd number) and byte.
+_TABLE = np.random.default_rng(20240229).integers(1, 2**63, (64, 256), dtype=np.uint64)
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of texts without empty ones: sums of a number for each place and byte, spread."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    plain = words.cast(pa.binary())
+    ends = np.frombuffer(plain.buffers()[1], np.int32)[plain.offset : plain.offset + len(plain) + 1].astype(np.int64)
+    data = np.frombuffer(plain.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    starts = ends[:-1] - ends[0]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(ends))
+    return _mix(np.add.reduceat(_TABLE[place & 63, data] * (2 * (place >> 6) + 1).astype(np.uint64), starts) + np.diff(ends).astype(np.uint64))
+
+
 class Chunk:
     """Tokens of some documents, and what their chunk has learned about the corpus so far.
 
@@ -125,18 +145,33 @@ class Chunk:
             p[at] = (self.a[f"n{k}"][at] + pull * p[at]) / (seen + pull)
         return p
 
-    def gains(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens whose context is to be tested (frequent, and its suffix a state), the contexts' hashes, and the log ratios by weight (0 outside training)."""
-        open_ = self.frequent(depth)
+    def tested(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose context is to be tested (frequent, and its suffix a state), the number of each one's context, and the contexts' sorted hashes."""
+        open_ = self.frequent(depth) > 0
         if depth > 1:
-            open_ = np.where(self.a[f"s{depth - 1}"] > 0, open_, 0)
+            open_ &= self.a[f"s{depth - 1}"] > 0
         at = np.flatnonzero(open_)
-        seen, n, p = open_[at].astype(float), self.a[f"n{depth}"][at].astype(float), self.chances(depth - 1)[at]
-        out = np.empty((len(at), len(self.model["weights"])))
+        if depth > 1:
+            keys, where = np.unique(self._contexts(depth)[at], return_inverse=True)
+            return at, where, keys
+        words = self._back(self.a["words"], len(self.a["hashes"]))[at]  # contexts of one word need no sorting of tokens
+        there = np.flatnonzero(np.bincount(words, minlength=len(self.a["hashes"]) + 1))
+        keys, rank = np.unique(_mix(np.append(self.a["hashes"], BEGIN)[there]), return_inverse=True)
+        place = np.zeros(len(self.a["hashes"]) + 1, np.int64)
+        place[there] = rank
+        return at, place[words], keys
+
+    def gains(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of the contexts to be tested, and the sums of their log ratios by weight."""
+        at, where, keys = self.tested(depth)
+        learned = self.train[at]
+        at, where = at[learned], where[learned]
+        seen, n, p = (x[at].astype(np.float32) for x in (self.frequent(depth), self.a[f"n{depth}"], self.chances(depth - 1)))
+        out = np.empty((len(keys), len(self.model["weights"])), np.float32)
         for i, weight in enumerate(self.model["weights"]):
-            pull = weight * seen
-            out[:, i] = np.where(self.train[at], np.log((np.maximum(n - 1, 0) + pull * p) / (seen - 1 + pull)) - np.log(p), 0.0)
-        return at, self._contexts(depth)[at], out
+            pull = np.float32(weight) * seen
+            out[:, i] = np.bincount(where, weights=np.log((n - 1 + pull * p) / ((seen - 1 + pull) * p)), minlength=len(keys))
+        return keys, out
 
     def asks(self, step: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """Questions of a round as (kind, sorted distinct keys, own values): words first, then grams of each length, and gains one round later."""
@@ -147,8 +182,7 @@ class Chunk:
             at, keys = self.grams(step)
             out.append((_COUNTS, *_summed(keys, self.train[at].astype(float))))
         if step > 1:
-            _, keys, gains = self.gains(step - 1)
-            out.append((_GAINS, *_summed(keys, gains)))
+            out.append((_GAINS, *self.gains(step - 1)))
         return out
 
     def take(self, step: int, answers: dict[int, np.ndarray]) -> None:
@@ -157,17 +191,16 @@ class Chunk:
             _, where = np.unique(self.a["hashes"], return_inverse=True)
             self.a["counts"] = answers[_COUNTS][where].astype(np.int64)
             return
-        placed = []
         if step > 1:
-            at, keys, _ = self.gains(step - 1)
-            placed.append((f"s{step - 1}", np.uint8, at, keys, answers.get(_GAINS)))
+            self.a[f"s{step - 1}"] = np.zeros(self.n, np.uint8)
+            at, where, _ = self.tested(step - 1)
+            if len(at):
+                self.a[f"s{step - 1}"][at] = answers[_GAINS][where]
         if step <= self.model["depth"]:
+            self.a[f"n{step}"] = np.zeros(self.n, np.int64)
             at, keys = self.grams(step)
-            placed.append((f"n{step}", np.int64, at, keys, answers.get(_COUNTS)))
-        for name, kind, at, keys, values in placed:
-            self.a[name] = np.zeros(self.n, kind)
             if len(at):
-                self.a[name][at] = values[np.unique(keys, return_inverse=True)[1]].astype(kind)
+                self.a[f"n{step}"][at] = answers[_COUNTS][np.unique(keys, return_inverse=True)[1]]
 
     def scores(self) -> dict[str, np.ndarray]:
         lens, words, m = self.a["lens"], self.a["words"], self.model
@@ -179,11 +212,9 @@ class Chunk:
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their values (columns apart, if there are several)."""
+    """Sorted distinct keys and the sums of their values."""
     unique, where = np.unique(keys, return_inverse=True)
-    if values.ndim == 1:
-        return unique, np.bincount(where, weights=values, minlength=len(unique))
-    return unique, np.stack([np.bincount(where, weights=v, minlength=len(unique)) for v in values.T], axis=1)
+    return unique, np.bincount(where, weights=values, minlength=len(unique))
 
 
 def _chunked(batches):
@@ -197,7 +228,7 @@ def _chunked(batches):
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SPLIT_BYTES, "right")))
             part = batch.slice(at, end - at)
-            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.cast(pc.fill_null(part.column("text"), ""), pa.large_string())))
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text"), "")))
             flat = lists.flatten()
             full = pc.not_equal(pc.binary_length(flat), 0)  # white space at the ends leaves empty words
             doc = pc.list_parent_indices(lists).to_numpy()[full.to_numpy(zero_copy_only=False)]
@@ -212,8 +243,6 @@ def _chunked(batches):
 
 
 def _chunk(number: int, rows: list) -> pa.RecordBatch:
-    import xxhash
-
     told = pa.chunked_array([r[3] for r in rows]).combine_chunks().dictionary_encode()
     if isinstance(told, pa.ChunkedArray):
         told = told.combine_chunks()
@@ -222,14 +251,16 @@ def _chunk(number: int, rows: list) -> pa.RecordBatch:
     inside = np.ones(len(words), bool)
     inside[np.cumsum(lens) - 1] = False
     words[inside] = told.indices.to_numpy() + 1
-    hashes = np.array([END, *(xxhash.xxh3_64_intdigest(w) for w in told.dictionary.to_pylist())], np.uint64)
+    hashes = np.concatenate([[END], _word_hashes(told.dictionary)])
     ids = pa.chunked_array([r[0] for r in rows])
     arrays = {"ids": pc.fill_null(ids, 0).to_numpy().astype(np.int64), "known": pc.is_valid(ids).to_numpy(), "train": ~np.concatenate([r[1] for r in rows]).astype(bool), "lens": lens.astype(np.int64), "words": words, "hashes": hashes}
-    return pa.record_batch({"chunk": [number], "bucket": [-1], "tokens": [len(words)], "data": [pack(arrays)]}, _CHUNKS)
+    return pa.record_batch({"chunk": [number], "tokens": [len(words)], "data": [pack(arrays)]}, _KEPT)
 
 
 _CHUNKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("tokens", pa.int64()), ("data", pa.binary())])
 _CHUNKS_SQL = "chunk long, bucket long, tokens long, data binary"
+_KEPT = pa.schema([f for f in _CHUNKS if f.name != "bucket"])
+_KEPT_SQL = "chunk long, tokens long, data binary"
 
 
 def _asking(step: int, buckets: int, model: dict):
@@ -244,7 +275,7 @@ def _asking(step: int, buckets: int, model: dict):
                     cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(keys)]
                     for a, b in zip(cuts, cuts[1:], strict=False):
                         own = values[a:b].astype(np.int64) if kind == _COUNTS else values[a:b]
-                        yield pa.record_batch({"chunk": [number], "bucket": [int(place[a]) + (kind << _KIND)], "tokens": [b - a], "data": [pack({"keys": keys[a:b], "values": own})]}, _CHUNKS)
+                        yield pa.record_batch({"chunk": [number], "bucket": [int(place[a]) + (kind << _KIND)], "tokens": [b - a], "data": [pack({"steps": np.diff(keys[a:b], prepend=np.uint64(0)), "values": own})]}, _CHUNKS)
 
     return run
 
@@ -258,7 +289,7 @@ def _answering(gain: float):
         for group in groups(batches, "bucket"):
             bucket = int(group["bucket"][0])
             asked = [unpack(d) for d in group["data"]]
-            unique, where = np.unique(np.concatenate([x["keys"] for x in asked]), return_inverse=True)
+            unique, where = np.unique(np.concatenate([np.cumsum(x["steps"], dtype=np.uint64) for x in asked]), return_inverse=True)
             values = np.concatenate([x["values"] for x in asked])
             if bucket >> _KIND == _GAINS:
                 sums = np.stack([np.bincount(where, weights=v) for v in values.T], axis=1)
@@ -266,7 +297,7 @@ def _answering(gain: float):
             else:
                 told = np.bincount(where, weights=values).astype(np.int64)
                 yield pa.record_batch({"chunk": [-1], "bucket": [int((told > 0).sum())], "tokens": [int(told.sum())], "data": [b""]}, _CHUNKS)
-            ends = np.cumsum([len(x["keys"]) for x in asked])
+            ends = np.cumsum([len(x["steps"]) for x in asked])
             for number, own in zip(group["chunk"].tolist(), np.split(told[where], ends[:-1]), strict=True):
                 yield pa.record_batch({"chunk": [number], "bucket": [bucket], "tokens": [len(own)], "data": [pack({"told": own})]}, _CHUNKS)
 
@@ -274,21 +305,28 @@ def _answering(gain: float):
 
 
 def _taking(step: int, model: dict):
-    """Each chunk with its answers put in; rows come sorted by chunk and bucket, the chunk itself first."""
-    def run(batches):
-        for group in groups(batches, "chunk"):
-            chunk = Chunk(unpack(group["data"][0]), model)
-            answers = {}
-            for kind in (_COUNTS, _GAINS):
-                told = [unpack(d)["told"] for b, d in zip(group["bucket"].tolist(), group["data"], strict=True) if b >= 0 and b >> _KIND == kind]
-                if told:
-                    answers[kind] = np.concatenate(told)
-            chunk.take(step, answers)
-            yield pa.record_batch({"chunk": [int(group["chunk"][0])], "bucket": [-1], "tokens": [chunk.n], "data": [pack(chunk.a)]}, _CHUNKS)
+    """A chunk with its answers put in."""
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(unpack(own.column("data")[0].as_py()), model)
+        told: dict[int, list[np.ndarray]] = {}
+        answers = answers.sort_by("bucket")
+        for bucket, data in zip(answers.column("bucket").to_pylist(), answers.column("data"), strict=True):
+            told.setdefault(bucket >> _KIND, []).append(unpack(data.as_py())["told"])
+        chunk.take(step, {kind: np.concatenate(parts) for kind, parts in told.items()})
+        return pa.table({"chunk": [own.column("chunk")[0].as_py()], "tokens": [chunk.n], "data": [pack(chunk.a)]}, _KEPT)
 
     return run
 
 
+def _kept(chunks: DataFrame, stage: Stage, name: str, tasks: int) -> DataFrame:
+    """Writes chunks in buckets of their number, so that answers can be brought to them and they need not move again."""
+    spark, table = chunks.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    chunks.write.bucketBy(tasks, "chunk").sortBy("chunk").format("parquet").option("path", f"{stage.path}/{name}").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only; the files stay
+    return out
+
+
 def _scoring(model: dict):
     def run(batches):
         for batch in batches:
@@ -312,18 +350,22 @@ def score(docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str =
     model = {"depth": depth, "least": max(2, least), "weights": WEIGHTS, "tokens": 0, "distinct": 0}
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    chunks = stage.write(rows.mapInArrow(_chunked, _CHUNKS_SQL), "chunks")
-    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    buckets = int(tokens // BUCKET_KEYS + 1)
+    cut = stage.write(rows.mapInArrow(_chunked, _KEPT_SQL), "cut")
+    tokens, n = cut.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    buckets, tasks = int(tokens // BUCKET_KEYS + 1), int(n // TASK_CHUNKS + 1)
+    chunks = _kept(cut.repartition(tasks, "chunk"), stage, "chunks", tasks)
+    stage.keep("chunks")
     for step in range(depth + 2):
-        asked = chunks.select("chunk", "bucket", "tokens", "data").mapInArrow(_asking(step, buckets, dict(model)), _CHUNKS_SQL)
+        asked = chunks.mapInArrow(_asking(step, buckets, dict(model)), _CHUNKS_SQL)
         answers = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answering(gain), _CHUNKS_SQL)
         if step == 0:
             answers = stage.write(answers, "word-counts")
             sums = answers.where("chunk = -1").agg(F.coalesce(F.sum("bucket"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
             model |= {"distinct": sums[0], "tokens": sums[1]}
-        both = chunks.union(answers.where("chunk >= 0")).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-        learned = stage.write(both.mapInArrow(_taking(step, dict(model)), _CHUNKS_SQL), f"chunks-{step}")
+        both = chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
+        learned = _kept(both.applyInArrow(_taking(step, dict(model)), _KEPT_SQL), stage, f"chunks-{step}", tasks)
         stage.keep(f"chunks-{step}")
-        chunks = learned
+        chunks, asked, answers, both = learned, None, None, None
+        gc.collect()
+        docs.sparkSession._jvm.System.gc()  # a round's shuffle files go once the driver's collector has seen that nothing refers to them
     return chunks.mapInArrow(_scoring(dict(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_deep long")

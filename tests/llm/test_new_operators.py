@@ -34,7 +34,7 @@ def corpus():
         words = []
         for _ in range(draw.randrange(1, 12)):
             k = draw.randrange(12)
-            words += ["The", nouns[k], verbs[k] if draw.random() < 0.8 else draw.choice(verbs), draw.choice(["so", "then"])]
+            words += ["The", "é" + nouns[k], verbs[k] if draw.random() < 0.8 else draw.choice(verbs), draw.choice(["so", "then"])]
         out.append((i, " ".join(words)))
     return [*out, *((i + 500, out[i][1]) for i in range(20)), (900, ""), (901, None)]
 
@@ -93,6 +93,8 @@ def test_suffix_tree(spark, corpus, monkeypatch, depth, small):
     docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
     if small:  # chunks of a few documents and many buckets
         monkeypatch.setattr(operator, "BUCKET_KEYS", 40)
+        monkeypatch.setattr(operator, "CHUNK_TOKENS", 300)
+        monkeypatch.setattr(operator, "SPLIT_BYTES", 200)
         docs = docs.repartition(9)
     want, states = suffix_tree(corpus, depth, 4, 2.0)
     assert {len(c) for c in states} == set(range(1, depth + 1))
