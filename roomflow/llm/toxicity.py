@@ -1,14 +1,17 @@
 """Toxicity by compression distance: windows of a text against one dictionary of toxic and one of ordinary text.
 
-Two zstandard dictionaries are trained apart, one on all windows of ordinary documents and one on all windows of toxic documents. Each
-window is compressed with the ordinary dictionary, and with the toxic one put before it. Language that both kinds share is in the ordinary
-dictionary already, so what a window loses in length by the toxic dictionary tells what it has in common with toxic text alone. How much
-and how often, is calibrated to a score on labelled documents that the dictionaries in use have not seen (cross-fitting).
+A window is one word, its head in capitals so that a match tells where words start, written three times so that a frame's fixed costs hide
+nothing. Two zstandard dictionaries of one size are made apart: one of the toxic documents' telling words, and one of the ordinary words that
+are most like those. A window is compressed with each of them and with a neutral dictionary of that size. What it saves by the toxic one,
+and by how much more than by the ordinary one, is counted over a text's words and calibrated to a score on labelled documents that the
+dictionaries in use have not seen (cross-fitting).
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -17,98 +20,123 @@ from pyspark.sql import functions as F
 
 from roomflow.llm.common import ship
 
-#: Bounds of the fit: labelled documents of each kind that come to the driver.
-TOXIC_DOCS, ORDINARY_DOCS = 1400, 4500
-#: Words in a window; bytes of the dictionaries (that of toxic text holds little more than what comes often in it); zstandard's level.
-WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 16, 2048, 112_000, 6
-#: Lengths of a segment and of the sequences that are counted in it, in bytes, for the trainer: about two words, and one.
-SEGMENT, COUNTED = 16, 6
-FOLDS, ROUNDS, WEIGHT = 2, 2, 8
-_WORD = re.compile(r"[^\W_]+")
+#: Bounds of the fit: labelled documents of each kind, and different words of one of them, that come to the driver.
+TOXIC_DOCS, ORDINARY_DOCS, DOC_WORDS = 1400, 4500, 2000
+#: A word tells toxic text if it starts with letters (so many) that this share of documents with them has, kinds weighing alike, in at least so many toxic ones.
+LETTERS, SHARE, LEAST = (3, 8), 0.95, 6
+#: Ordinary words that save so many bytes by the toxic dictionary go to the ordinary one, up to its size; bytes of the toxic one at most.
+ALIKE, ORDINARY_BYTES, TOXIC_BYTES = 4, 3000, 100_000
+#: Letters of a word's head; shortest match in bytes; copies of a word in its window; folds of the calibration.
+HEAD, MATCH, COPIES, FOLDS = 4, 5, 3, 3
 THRESHOLD = 0.7
+_WORD = re.compile(r"[^\W_]+")
+_END = b"\x1f" * 12
+#: Levels of both kinds of savings at which words are counted.
+_MORE, _SAVED = (1, 2, 3, 4), (3, 4, 5, 6, 7)
 
 
-def windows(text: str | None) -> list[str]:
-    """The whole text in runs of ``WINDOW`` words (letters and digits), lower-cased; one empty window without words."""
-    words = _WORD.findall((text or "").lower())
-    return [f" {' '.join(words[i : i + WINDOW])} " for i in range(0, len(words), WINDOW)] or [""]
+def words_of(text: str | None) -> list[str]:
+    """The different words (letters and digits) of the whole text, lower-cased, in order."""
+    return list(dict.fromkeys(_WORD.findall((text or "").lower())))
 
 
-def _train(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary; samples are repeated where the trainer needs more of them, and too few are taken as they are."""
-    import zstandard
+def coded(word: str) -> str:
+    return word[:HEAD].upper() + word[HEAD:]
 
-    held = sum(map(len, samples))
-    if not held:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples * (40 * size // held + 1), k=SEGMENT, d=COUNTED).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
 
+def window(word: str) -> bytes:
+    return f" {' '.join([coded(word)] * COPIES)} ".encode("utf-8", "surrogatepass")
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The dictionaries of toxic and of ordinary texts, each trained on all of their windows (equal ones once).
 
-    Passages that ordinary texts share with toxic ones by chance must not count as toxic. So ordinary windows that gain from the toxic
-    dictionary train the ordinary one again with ``WEIGHT`` times their weight, ``ROUNDS`` times over.
-    """
-    def all_windows(texts: list[str]) -> list[bytes]:
-        return list(dict.fromkeys(w.encode("utf-8", "surrogatepass") for t in texts for w in windows(t) if w))
+def _dictionary(words: list[str], most: int) -> bytes:
+    return f" {' '.join(map(coded, words))} ".encode("utf-8", "surrogatepass")[-most:] + _END if words else _END
+
+
+def telling_words(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
+    """Words of toxic documents that start with telling letters, the commonest last (a dictionary's end is the cheapest to refer to).
 
-    own, plain = _train(TOXIC_BYTES, all_windows(toxic)), all_windows(ordinary)
-    samples, base = plain, _train(ORDINARY_BYTES, plain)
-    for _ in range(ROUNDS):
-        model = ToxicityModel(own, base, np.zeros(0))
-        misled = [w for w in plain if model.gain(w) >= 2]
-        samples = samples + misled * WEIGHT
-        base = _train(ORDINARY_BYTES, samples)
-    return own, base
+    Of telling starts the shortest count, since a longer one says no more.
+    """
+    low, high = LETTERS
+    seen = [Counter(start for ws in docs for start in {w[:k] for w in ws for k in range(low, min(high, len(w)) + 1)}) for docs in (toxic, ordinary)]
+    share = lambda s: (seen[0][s] / len(toxic)) / (seen[0][s] / len(toxic) + seen[1][s] / max(1, len(ordinary)))
+    telling = {s for s, n in seen[0].items() if n >= LEAST and share(s) >= SHARE}
+    held = Counter(w for ws in toxic for w in ws if any(w[:k] in telling for k in range(low, high + 1)))
+    return [w for w, _ in sorted(held.items(), key=lambda x: (x[1], x[0]))]
 
 
 class ToxicityModel:
-    """The dictionaries' contents and the weights; compressors are made once per worker."""
+    """The dictionaries' contents, padded to one size, and the weights; compressors are made once per worker."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray, floor: float = 0.0):
-        self.toxic, self.ordinary, self.weights, self.floor, self.pair = toxic, ordinary, weights, floor, None
+    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray | None = None):
+        size = max(len(toxic), len(ordinary))
+        filler = np.random.default_rng(1).integers(1, 31, size, dtype=np.uint8).tobytes()  # control characters match no word
+        self.contents = {"toxic": filler[: size - len(toxic)] + toxic, "ordinary": filler[: size - len(ordinary)] + ordinary, "neutral": filler}
+        self.heads = {h for c in (toxic, ordinary) for h in re.findall(r" ([^ ]{1,%d})" % HEAD, c.decode("utf-8", "replace"))}
+        self.weights = np.zeros(self.width()) if weights is None else weights
+        self.made, self.known = None, {}
 
     def __getstate__(self):
-        return {**self.__dict__, "pair": None}
+        return {**self.__dict__, "made": None, "known": {}}
 
-    def _compressors(self):
+    def _compressors(self) -> list:
         import zstandard
 
-        def of(content: bytes):
-            plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            if len(content) < 8:
-                return zstandard.ZstdCompressor(**plain)
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(dict_data=d, **plain)
-
-        return of(self.ordinary), of(self.toxic + self.ordinary)
-
-    def gains(self, text: str | None) -> np.ndarray:
-        """Bytes that each window loses in length when the toxic dictionary stands before the ordinary one."""
-        return np.array([self.gain(w.encode("utf-8", "surrogatepass")) for w in windows(text)], float)
+        params = zstandard.ZstdCompressionParameters(min_match=MATCH, strategy=zstandard.STRATEGY_BTLAZY2, window_log=17, hash_log=17, chain_log=17, search_log=6, write_content_size=0, write_checksum=0, write_dict_id=0)
+        out = []
+        for name in ("toxic", "ordinary", "neutral"):
+            d = zstandard.ZstdCompressionDict(self.contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
+        return out
+
+    def lengths(self, word: str) -> tuple[int, int, int]:
+        """Compressed lengths of a word's window with the toxic, the ordinary and the neutral dictionary."""
+        self.made = self.made or self._compressors()
+        return tuple(len(c.compress(window(word))) for c in self.made)
+
+    def gain(self, word: str) -> tuple[int, int]:
+        """Bytes that a window is shorter with the toxic dictionary than with the ordinary and than with the neutral one.
+
+        A word whose head is in neither dictionary has no start to match and gains nothing.
+        """
+        if coded(word)[:HEAD] not in self.heads:
+            return 0, 0
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 100_000:
+                self.known = {}
+            toxic, ordinary, neutral = self.lengths(word)
+            found = self.known[word] = (ordinary - toxic, neutral - toxic)
+        return found
+
+    def gains(self, words: list[str]) -> np.ndarray:
+        return np.array([self.gain(w) for w in words] or [(0, 0)])
 
-    def gain(self, window: bytes) -> int:
-        self.pair = self.pair or self._compressors()
-        return len(self.pair[0].compress(window)) - len(self.pair[1].compress(window))
+    @staticmethod
+    def width() -> int:
+        return 4 + 2 * (len(_MORE) + len(_SAVED))
 
     @staticmethod
     def features(gains: np.ndarray) -> np.ndarray:
-        top = np.sort(gains)[::-1]
-        second = top[1] if len(top) > 1 else 0.0
-        more = np.clip(gains - 1, 0, None)
-        return np.array([1.0, max(top[0], 0), max(second, 0), np.log1p(more.sum()), more.mean(), np.clip(gains, -2, None).mean(), np.log(len(gains))])
+        more, saved = gains[:, 0], gains[:, 1]
+        counts = np.array([*[(more >= k).sum() for k in _MORE], *[(saved >= k).sum() for k in _SAVED]], float)
+        return np.concatenate([[1.0, np.clip(more.max(), -1, 8), np.clip(saved.max(), -1, 8)], np.log1p(counts), np.log1p(100 * counts / len(gains)), [np.log(len(gains))]])
+
+    def score(self, text: str | None) -> tuple[float, str | None, int, int]:
+        """Score, the word that saves most by the toxic dictionary (null if none saves anything), its savings, and the words there are."""
+        words = words_of(text)
+        gains = self.gains(words)
+        at = int(gains[:, 1].argmax())
+        best = int(gains[at, 1])
+        return 1 / (1 + np.exp(-float(np.clip(self.features(gains) @ self.weights, -30, 30)))), words[at] if words and best > 0 else None, best, len(words)
 
-    def score(self, text: str | None) -> tuple[float, int, float, int]:
-        """Score, and the window that gains most: where it is (in windows), its gain, and the windows there are."""
-        gains = self.gains(text)
-        z = float(np.clip(self.features(gains) @ self.weights, -30, 30))
-        at = int(gains.argmax())
-        return self.floor + (1 - self.floor) / (1 + np.exp(-z)), at, float(gains[at]), len(gains)
+
+def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
+    """The toxic dictionary of the telling words, and the ordinary one of the ordinary words that save most by it, these last."""
+    own = _dictionary(telling_words(toxic, ordinary), TOXIC_BYTES)
+    model = ToxicityModel(own, _END)
+    saved = sorted((model.gain(w)[1], w) for w in {w for ws in ordinary for w in ws})
+    return own, _dictionary([w for n, w in saved if n >= ALIKE], ORDINARY_BYTES)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-2, start: np.ndarray | None = None) -> np.ndarray:
@@ -123,25 +151,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-
     return w
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray, rows: np.ndarray, turns: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and floor of the chance floor + (1 - floor) * logistic, by expectation and maximisation.
-
-    Some toxic documents hold nothing that tells them from ordinary ones. They would flatten a plain logistic curve; here they raise its
-    floor: the chance that a document is labelled toxic although nothing tells it.
-    """
-    tells = y * 0.5
-    w = floor = None
-    for _ in range(turns):
-        w = _logistic(x, tells, rows, start=w)
-        floor = float((rows * (y - tells)).sum() / max((rows * (1 - tells)).sum(), 1e-9))
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        new = y * p / np.maximum(p + (1 - p) * floor, 1e-12)
-        done, tells = np.abs(new - tells).max() < 1e-4, new
-        if done:
-            break
-    return w, floor
-
-
 def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
@@ -149,12 +158,13 @@ def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learns from labelled documents outside the held-out fold.
 
-    The ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` labelled ids that come first by a hash are the sample; only their texts come to the driver
-    (of several texts under one id, the one with the smallest hash). The documents are dealt into ``FOLDS`` parts; each part is measured
-    with dictionaries trained on the others, which calibrates the score, and the dictionaries in use are trained on all.
-    In the calibration each kind weighs as much as its documents among all training labels (the sample tells what share of the labels
-    has a document), so that a score is a chance at the labels' own odds, whatever the bounds cut off. Labels other than 0 and 1, null texts
-    and ids without a document are passed over. Without labels of both kinds every score is the share of toxic labels.
+    The ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` labelled ids that come first by a hash are the sample; of each of their texts up to ``DOC_WORDS``
+    different words, those that come first by a hash, come to the driver (of several texts under one id, the one with the smallest hash).
+    The documents are dealt into ``FOLDS`` parts; each part is measured with dictionaries made of the others, which calibrates the score, and
+    the dictionaries in use are made of all. In the calibration each kind weighs as much as its documents among all training labels, so that
+    a score is a chance at the labels' own odds, whatever the bounds cut off. Labels other than 0 and 1, null texts and ids without a
+    document are passed over. Without labels of both kinds every score is the share of toxic labels. Every constant above was chosen by
+    cross-validation within the rows that may be learned from.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -163,44 +173,49 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = known.where("toxic = 1").orderBy(order, "id").limit(TOXIC_DOCS).union(known.where("toxic = 0").orderBy(order, "id").limit(ORDINARY_DOCS))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id")
     one = rows.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
-    texts = one.select("id", "toxic", "row.text").toPandas()  # at most the sample's rows
-    texts = texts.sort_values("id").drop_duplicates(["toxic", "text"]).sample(frac=1, random_state=3)  # copies would be measured with dictionaries that know them
-    kinds = {kind: texts[texts["toxic"] == kind]["text"].tolist() for kind in (1, 0)}
+
+    @F.pandas_udf("array<string>")
+    def drawn(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(words_of(t), key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))[:DOC_WORDS])
+
+    texts = one.select("id", "toxic", "row.hash", drawn("row.text").alias("words")).toPandas()  # at most the sample's rows, of bounded length
+    texts = texts.sort_values("id").drop_duplicates(["toxic", "hash"]).sample(frac=1, random_state=3)  # copies would be measured with dictionaries that know them
+    kinds = {kind: [list(w) for w in texts[texts["toxic"] == kind]["words"]] for kind in (1, 0)}
     if not all(kinds.values()):
-        return ToxicityModel(b"", b"", np.array([30.0 if kinds[1] else -30.0, *[0.0] * 6]))
+        return ToxicityModel(_END, _END, np.array([30.0 if kinds[1] else -30.0, *[0.0] * (ToxicityModel.width() - 1)]))
 
-    def trained(fold: int | None) -> ToxicityModel:
+    def made(fold: int | None) -> ToxicityModel:
         """Dictionaries of all documents outside a fold (of all, where that leaves none)."""
-        own = {kind: [t for i, t in enumerate(held) if i % FOLDS != fold] or held for kind, held in kinds.items()}
-        return ToxicityModel(*_dictionaries(own[1], own[0]), np.zeros(7))
+        own = {kind: [w for i, w in enumerate(held) if i % FOLDS != fold] or held for kind, held in kinds.items()}
+        return ToxicityModel(*_dictionaries(own[1], own[0]))
 
     x, y = [], []
     for fold in range(FOLDS):
-        part = trained(fold)
+        part = made(fold)
         for kind, held in kinds.items():
-            x += [part.features(part.gains(t)) for t in held[fold::FOLDS]]
+            x += [part.features(part.gains(w)) for w in held[fold::FOLDS]]
             y += [kind] * len(held[fold::FOLDS])
     y = np.array(y, float)
     share = {kind: len(held) * counts[kind] / min(counts[kind], most) for (kind, held), most in zip(kinds.items(), (TOXIC_DOCS, ORDINARY_DOCS), strict=True)}
-    model = trained(None)
-    model.weights, model.floor = _calibrated(np.stack(x), y, np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum()))
+    model = made(None)
+    model.weights = _logistic(np.stack(x), y, np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum()))
     return model
 
 
 def toxicity_of(model: ToxicityModel):
-    """A column function of a text column: struct of score, window, gain and windows."""
-    @F.pandas_udf("score double, window long, gain double, windows long")
+    """A column function of a text column: struct of score, word, saved and words."""
+    @F.pandas_udf("score double, word string, saved long, words long")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.score(t) for t in texts], columns=["score", "window", "gain", "windows"])
+        return pd.DataFrame([model.score(t) for t in texts], columns=["score", "word", "saved", "words"])
 
     return scored
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the most toxic window: its number, its gain in bytes and how many there are.
+    """doc_id, held_out, score, predicted, and the word that is most like toxic ones (null if none is), the bytes it saves and the different words there are.
 
-    Null text counts as empty; an empty text has one empty window and a score like any other. Repeated rows stay, a null id is kept and
-    not held out. Very long texts are scored whole, window by window. An empty table gives an empty result. Other columns are ignored.
+    Null text counts as empty; a text without words has a score like any other. Repeated rows stay, a null id is kept and not held out.
+    Very long texts are scored whole. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("found", toxicity_of(model)("text"))
-    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "found.score", (F.col("found.score") >= threshold).cast("int").alias("predicted"), "found.window", "found.gain", "found.windows")
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "found.score", (F.col("found.score") >= threshold).cast("int").alias("predicted"), "found.word", "found.saved", "found.words")

@@ -121,38 +121,36 @@ def test_toxicity(spark, docs, none, labels):
 
 
 def test_toxicity_held_out(spark, sf):
-    """Held-out documents on sf0.1. About half of its toxic labels (all that aren't English) lie on documents that no word tells from
-    ordinary ones, so recall is measured on those that hold a word that at least a twentieth of the toxic training documents and no
-    ordinary one has; precision on all."""
+    """Held-out documents on sf0.1: nearly all toxic ones are caught, whatever their language, and hardly any other."""
     from roomflow.llm.queries import QUERIES
 
     big = sf.replace("sf0.001", "sf0.1")
-    got = QUERIES["op4_toxicity"](spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text"), "doc_id").toPandas()
-    words = [set(re.findall(r"\w+", (t or "").lower())) for t in got.text]
-    counts = {kind: Counter(chain.from_iterable(w for w, k, h in zip(words, got.toxic, got.held_out, strict=True) if k == kind and not h)) for kind in (0, 1)}
-    telling = {w for w, n in counts[1].items() if n >= 0.05 * ((got.toxic == 1) & ~got.held_out).sum() and not counts[0][w]}
-    got["told"] = [bool(w & telling) for w in words]
+    got = QUERIES["op4_toxicity"](spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     got = got[got.held_out]
-    told = got[(got.toxic == 1) & got.told]
-    assert len(told) > 50 and got[got.predicted == 1].toxic.mean() > 0.85 and told.predicted.mean() > 0.8
+    assert (got.toxic == 1).sum() > 100
+    assert got[got.predicted == 1].toxic.mean() > 0.85 and got[got.toxic == 1].predicted.mean() > 0.8
+    assert got[(got.toxic == 1) & (got.lang != "en")].predicted.mean() > 0.7
 
 
 def test_toxicity_windows():
-    """Windows hold every word once; gains are the differences of compressed lengths."""
+    """Every different word has a window; gains are the differences of compressed lengths; toxic stems gain with new endings too."""
     import zstandard
 
     from roomflow.llm import toxicity
 
-    plain = [" ".join(f"plain{(i * k) % 97}" for k in range(40)) for i in range(60)]
-    nasty = [t + " rotten scoundrel" for t in plain[:30]]
-    model = toxicity.ToxicityModel(*toxicity._dictionaries(nasty, plain), np.zeros(7))
-    text = "Plain3, plain5 -- rotten!! scoundrel " * 9
-    assert " ".join(w.strip() for w in toxicity.windows(text)).split() == re.findall(r"\w+", text.lower())
-    kinds = {"dict_type": zstandard.DICT_TYPE_RAWCONTENT}
-    for window, gain in zip(toxicity.windows(text), model.gains(text), strict=True):
-        sizes = [len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, **kinds), write_content_size=False, write_checksum=False, write_dict_id=False).compress(window.encode())) for d in (model.ordinary, model.toxic + model.ordinary)]
-        assert gain == sizes[0] - sizes[1]
-    assert model.gains("rotten scoundrel").max() > model.gains("plain3 plain5").max()
+    plain = [[f"plain{(i * k) % 97}" for k in range(40)] + ["scound", "scoundly"] * (i % 7 == 0) for i in range(60)]
+    nasty = [[*w, "rotten", f"scoundrel{i % 5}"] for i, w in enumerate(plain[:30])]
+    assert toxicity.telling_words(nasty, plain) == [f"scoundrel{i}" for i in range(5)] + ["rotten"]
+    own, other = toxicity._dictionaries(nasty, plain)
+    assert b" SCOUnd " in other and b"ROTTen" in own
+    model = toxicity.ToxicityModel(own, other)
+    assert len({len(c) for c in model.contents.values()}) == 1
+    assert toxicity.words_of("Plain3, plain5 -- rotten!! Scoundrel plain3") == ["plain3", "plain5", "rotten", "scoundrel"]
+    params = zstandard.ZstdCompressionParameters(min_match=toxicity.MATCH, strategy=zstandard.STRATEGY_BTLAZY2, window_log=17, hash_log=17, chain_log=17, search_log=6, write_content_size=0, write_checksum=0, write_dict_id=0)
+    for word in ("rotten", "scoundrel3", "scoundrelling", "scound"):
+        sizes = {n: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(toxicity.window(word))) for n, c in model.contents.items()}
+        assert model.gain(word) == (sizes["ordinary"] - sizes["toxic"], sizes["neutral"] - sizes["toxic"])
+    assert model.gain("rotten")[0] >= 2 and model.gain("scoundrelling")[0] >= 1 and model.gain("scoundly")[0] <= 0 and model.gain("plain3") == (0, 0)
 
 
 @pytest.mark.parametrize("most", [(1400, 4500), (60, 60)])
