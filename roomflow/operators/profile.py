@@ -30,35 +30,64 @@ def column_values(df: DataFrame, columns: Sequence[str], most: int | None = None
 
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float], groups: Sequence[str] = (), approximate: bool = False) -> DataFrame:
-    """Interpolated quantiles as an array; ``approximate`` for groups too large to hold their distinct values."""
-    if not groups and not approximate:
-        return whole_quantiles(df, column, shares)
-    f = F.percentile_approx if approximate else F.percentile
-    return df.groupBy(*groups).agg(f(F.col(column), list(shares)).alias("quantiles"))
+    """Interpolated quantiles as an array, a row for each group (one for a whole table); ``approximate`` by sketches, for one pass."""
+    if approximate:
+        return sketch_quantiles(sketches(df, column, groups), shares, groups)
+    return group_quantiles(df, column, shares, groups)
 
 
 def whole_quantiles(df: DataFrame, column: str, shares: Sequence[float], name: str = "quantiles") -> DataFrame:
-    """A6, A8 over a whole table: one row with the interpolated quantiles as an array; null without values.
+    """A6, A8 over a whole table: one row with the interpolated quantiles as an array; null without values."""
+    return group_quantiles(df, column, shares, (), name)
 
-    Equal values are counted first; the counts are range partitioned and written with their place, and the values at the wanted ranks are
-    picked by running sums within partitions and one total per partition. No task holds the values of the table.
+
+def group_quantiles(df: DataFrame, column: str, shares: Sequence[float], groups: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
+    """Interpolated quantiles of each group as an array, and ``n``, its rows; null where a group has no values. A null group is a group.
+
+    Equal values of a group are counted first; the counts are range partitioned and written with their place, and the values at the wanted
+    ranks are picked by running sums within partitions and one total for each group in each partition. So no task holds the values of a
+    group, though one may have nearly all rows.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.shiftrightunsigned(F.monotonically_increasing_id(), 33))
+    keys = [f"g{i}" for i in range(len(groups))]
+    counts = df.groupBy(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)], F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col("v").asc_nulls_last()]
+    ranged = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.shiftrightunsigned(F.monotonically_increasing_id(), 33))
     placed = stored(ranged, "counted")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    totals = placed.groupBy("part").agg(F.sum("n").alias("held"))
-    totals = totals.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), F.sum("held").over(Window.partitionBy()).alias("every"))
-    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = placed.join(F.broadcast(totals), "part").withColumn("upto", F.col("start") + F.sum("n").over(within))
-    picked, out = [F.max("every").alias("every")], []
+    present = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(F.lit(0))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per group and partition
+    held = placed.groupBy(*keys, "part").agg(F.sum(present).alias("held"), F.sum("n").alias("rows"))
+    totals = held.select(*[F.col(k).alias(f"t{k}") for k in keys], F.col("part").alias("tpart"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), F.sum("held").over(Window.partitionBy(*keys)).alias("every"), F.sum("rows").over(Window.partitionBy(*keys)).alias("rows"))
+    within = Window.partitionBy(*keys, "part").orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("part") == F.col("tpart")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"t{k}"))
+    rows = placed.join(totals, same).withColumn("upto", F.col("start") + F.sum(present).over(within))
+    picked, out = [F.max("every").alias("every"), F.max("rows").alias("rows")], []
     for i, share in enumerate(shares):
         at = F.lit(float(share)) * (F.col("every") - 1)
         for end, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picked.append(F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v"))).alias(f"{end}{i}"))
+            picked.append(F.max(F.when((F.col("upto") - present <= rank) & (rank < F.col("upto")), F.col("v"))).alias(f"{end}{i}"))
         low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
         out.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
-    return rows.agg(*picked).select(F.when(F.col("every").isNotNull(), F.array(*out)).alias(name))
+    found = rows.groupBy(*keys).agg(*picked).select(*[F.col(k).alias(g) for g, k in zip(groups, keys, strict=True)], F.when(F.col("every") > 0, F.array(*out)).alias(name), F.col("rows").alias("n"))
+    return found if groups else found.drop("n")
+
+
+#: Size of a sketch; a value's rank is off by at most SKETCH_ERROR of the rows, at 99 % of the time.
+SKETCH_K = 800
+SKETCH_ERROR = 2.296 / SKETCH_K**0.9021
+
+
+def sketches(df: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
+    """A mergeable sketch of each group's values (``sketch``), of bounded size: one for each batch can be kept, and any of them put together."""
+    return df.where(F.col(column).isNotNull()).groupBy(*groups).agg(F.kll_sketch_agg_double(F.col(column).cast("double"), SKETCH_K).alias("sketch"))
+
+
+def sketch_quantiles(kept: DataFrame, shares: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of each group over all of its sketches, and the rows that these have seen; values of the rows, with ranks about right."""
+    merged = kept.groupBy(*groups).agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+    found = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(float(s))) for s in shares])
+    return merged.select(*groups, found.alias("quantiles"), F.kll_sketch_get_n_double("sketch").alias("n"))
 
 
 def group_means(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -74,12 +103,12 @@ def common_flags(df: DataFrame, group: str, names: Mapping[str, str], least: flo
 
 
 def class_profile(df: DataFrame, group: str, price: str, area: str, flags: Mapping[str, str] | None = None) -> DataFrame:
-    """p10, p90 and mean price, p10 and p90 area; with common flags if any are named."""
-    out = df.groupBy(group).agg(
-        F.count("*").alias("n"), F.percentile(F.col(price), 0.1).alias("price_p10"), F.percentile(F.col(price), 0.9).alias("price_p90"), F.avg(price).alias("price_mean"),
-        F.percentile(F.col(area), 0.1).alias("area_p10"), F.percentile(F.col(area), 0.9).alias("area_p90"),
-    )
-    return out.join(common_flags(df, group, flags), group, "left") if flags else out
+    """p10, p90 and mean price, p10 and p90 area; with common flags if any are named. The rows are stored, since three steps read them."""
+    held = stored(df.select(*dict.fromkeys((group, price, area, *(flags or ())))), "profiled")
+    ends = lambda c: quantiles(held.where(F.col(group).isNotNull()), c, [0.1, 0.9], [group]).select(group, F.col("quantiles")[0].alias(f"{c}__10"), F.col("quantiles")[1].alias(f"{c}__90"))
+    out = held.groupBy(group).agg(F.count("*").alias("n"), F.avg(price).alias("price_mean")).join(ends(price), group, "left").join(ends(area), group, "left")
+    out = out.select(group, "n", F.col(f"{price}__10").alias("price_p10"), F.col(f"{price}__90").alias("price_p90"), "price_mean", F.col(f"{area}__10").alias("area_p10"), F.col(f"{area}__90").alias("area_p90"))
+    return out.join(common_flags(held, group, flags), group, "left") if flags else out
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

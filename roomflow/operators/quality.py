@@ -21,8 +21,7 @@ def _bounds(df: DataFrame, column: str, group: str | None, method: str, factor:
     bounds = [F.greatest(F.lit(0.0), low).alias("__low"), high.alias("__high")]
     if group is None:
         return quantiles(df, column, ends).select(*bounds, F.lit(None).cast("long").alias("__n"))
-    held = df.groupBy(group).agg(F.percentile(F.col(column), ends).alias("quantiles"), F.count("*").alias("__n"))
-    return held.select(group, *bounds, "__n")
+    return quantiles(df, column, ends, [group]).select(group, *bounds, F.col("n").alias("__n"))
 
 
 def flag_outliers(df: DataFrame, column: str, group: str | None = None, method: str = "iqr", factor: float = 0.8, shares: tuple[float, float] = (0.05, 0.95), name: str = "outlier") -> DataFrame:

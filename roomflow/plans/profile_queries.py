@@ -46,10 +46,24 @@ def column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A6 A7 A8", "SELECT room_class, round(quantile_cont(final_price, 0.1), 6) AS p10, round(quantile_cont(final_price, 0.5), 6) AS median, round(quantile_cont(final_price, 0.9), 6) AS p90 FROM rooms GROUP BY 1 UNION ALL SELECT 'all', round(quantile_cont(final_price, 0.1), 6), round(quantile_cont(final_price, 0.5), 6), round(quantile_cont(final_price, 0.9), 6) FROM rooms")
 def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rooms(spark, sf_dir)
-    each = profile.quantiles(r, "final_price", [0.1, 0.5, 0.9], ["room_class"]).unionByName(profile.quantiles(r, "final_price", [0.1, 0.5, 0.9]).withColumn("room_class", F.lit("all")))
+    each = profile.quantiles(r, "final_price", [0.1, 0.5, 0.9], ["room_class"]).select("room_class", "quantiles").unionByName(profile.quantiles(r, "final_price", [0.1, 0.5, 0.9]).withColumn("room_class", F.lit("all")))
     return each.select("room_class", *[F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(("p10", "median", "p90"))])
 
 
+@query("A7", """
+    WITH s(share) AS (VALUES (0.1), (0.5), (0.9)), c AS (SELECT event_type, count(value) AS n FROM events GROUP BY 1)
+    SELECT event_type, n, share::double AS share, true AS within FROM c, s""", rooms=False)
+def sketched_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from sketches that were kept for each day, and whether their true rank is within twice the sketches' error."""
+    e = readers.table(spark, sf_dir, "events").select("event_type", "value", F.to_date("ts").alias("day"))
+    kept = stored(profile.sketches(e, "value", ["event_type", "day"]), "sketches")
+    shares = [0.1, 0.5, 0.9]
+    told = profile.sketch_quantiles(kept, shares, ["event_type"]).select("event_type", "n", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("quantiles").alias("value"))).alias("x")).select("event_type", "n", "x.share", F.col("x.value").alias("told"))
+    ranks = e.join(told, "event_type").groupBy("event_type", "n", "share", "told").agg((F.count_if(F.col("value") < F.col("told")) / F.col("n")).alias("below"), (F.count_if(F.col("value") <= F.col("told")) / F.col("n")).alias("upto"))
+    error = 2 * profile.SKETCH_ERROR
+    return ranks.select("event_type", "n", "share", ((F.col("below") <= F.col("share") + error) & (F.col("upto") >= F.col("share") - error)).alias("within"))
+
+
 def _flag(pattern: str, *columns: str) -> str:
     return "CASE WHEN " + " OR ".join(f"coalesce(regexp_matches(lower(trim({c})), '{pattern}'), false)" for c in columns) + " THEN 1 ELSE 0 END"
 

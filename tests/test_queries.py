@@ -43,8 +43,12 @@ def test_same_rows(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE_SQL.keys()))
-def test_runs(spark, sf, name, tmp_path):
-    """The others can be written whole, with unique column names."""
+def test_runs(spark, sf, name, tmp_path, monkeypatch):
+    """The others can be written whole, with unique column names. Boosted models get few rounds here; test_boosting and test_models check them."""
+    from roomflow.plans import profile_queries
+
+    for setting, value in (("ROUNDS", 3), ("STACK_ROUNDS", 3), ("RUNGS", (1, 2)), ("TRIALS", 2), ("TREES", (5, 10)), ("FIXED_TREES", 10)):
+        monkeypatch.setattr(profile_queries, setting, value)
     got = QUERIES[name](spark, sf)
     assert len(set(got.columns)) == len(got.columns)
     got.write.parquet(str(tmp_path / "rows"))
