@@ -27,7 +27,7 @@ SITES = {
         cast(l_linenumber as double) / 2 AS "commentScore", review_text AS "commenterNumber", room_type AS "roomNames", room_class AS "categoryName", cast(floor(final_price) as bigint) AS "minPrice", cast(floor(original_price) as bigint) AS "maxPrice", check_in AS "checkInDates", cast(NULL as string) AS "checkOutDates" FROM rooms""",
     "stays hotels": f"SELECT CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE cast(s_suppkey as string) END AS hotel_id, s_name AS hotel_name, concat('https://stays.example/', cast(s_suppkey as string)) AS hotel_link, n_name AS city FROM ({_HOTELS}) h",
     "stays rooms": "SELECT cast(l_suppkey as string) AS hotel_id, room_type AS room_name, bed_type, area_raw AS area_m2, l_linenumber AS max_occupancy, cast(floor(final_price) as bigint) AS price, facilities AS amenities FROM rooms",
-    "advisor": """SELECT hotel_name, hotel_link AS hotel_url, address, cast(l_linenumber as double) / 2 AS "ratingValue", review_text AS "reviewCount", room_type AS room_types, facilities AS amenities, CASE WHEN l_linenumber = 3 THEN concat(price_raw, ' - ', price_raw) ELSE price_raw END AS "priceRange" FROM rooms""",
+    "advisor": """SELECT hotel_name, hotel_link AS hotel_url, address, cast(l_linenumber as double) / 2 AS "ratingValue", review_text AS "reviewCount", room_type AS room_types, facilities AS amenities, CASE WHEN l_linenumber = 3 THEN price_raw || ' - ' || price_raw ELSE price_raw END AS "priceRange" FROM rooms""",
 } | {
     f"tours hotels {i}": f"""SELECT s_name AS ten, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE {_TOURS_LINK.format(key='s_suppkey')} END AS link, concat(n_name, ', Việt Nam') AS dia_chi, cast(s_suppkey % 10 as double) AS diem_danh_gia, concat(cast(s_suppkey as string), ' đánh giá') AS so_luong_danh_gia,
         CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'pool | tv' END AS tien_nghi, '1.000.000 ₫' AS gia_niem_yet, '900.000 ₫' AS gia_hien_tai, '-10%' AS discount FROM ({_HOTELS}) h WHERE s_suppkey % 2 = {i - 1}"""
