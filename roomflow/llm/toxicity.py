@@ -58,9 +58,14 @@ def telling_words(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str
     Of telling starts the shortest count, since a longer one says no more.
     """
     low, high = LETTERS
-    seen = [Counter(start for ws in docs for start in {w[:k] for w in ws for k in range(low, min(high, len(w)) + 1)}) for docs in (toxic, ordinary)]
-    share = lambda s: (seen[0][s] / len(toxic)) / (seen[0][s] / len(toxic) + seen[1][s] / max(1, len(ordinary)))
-    telling = {s for s, n in seen[0].items() if n >= LEAST and share(s) >= SHARE}
+
+    def starts(words: list[str]) -> set[str]:
+        return {w[:k] for w in words for k in range(low, min(high, len(w)) + 1)}
+
+    seen = {s: n for s, n in Counter(s for ws in toxic for s in starts(ws)).items() if n >= LEAST}
+    other = Counter(s for ws in ordinary for s in starts(ws) & seen.keys())
+    share = lambda s: (seen[s] / len(toxic)) / (seen[s] / len(toxic) + other[s] / max(1, len(ordinary)))
+    telling = {s for s in seen if share(s) >= SHARE}
     held = Counter(w for ws in toxic for w in ws if any(w[:k] in telling for k in range(low, high + 1)))
     return [w for w, _ in sorted(held.items(), key=lambda x: (x[1], x[0]))]
 
@@ -135,8 +140,8 @@ def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[by
     """The toxic dictionary of the telling words, and the ordinary one of the ordinary words that save most by it, these last."""
     own = _dictionary(telling_words(toxic, ordinary), TOXIC_BYTES)
     model = ToxicityModel(own, _END)
-    saved = sorted((model.gain(w)[1], w) for w in {w for ws in ordinary for w in ws})
-    return own, _dictionary([w for n, w in saved if n >= ALIKE], ORDINARY_BYTES)
+    alike = sorted((n, w) for w in {w for ws in ordinary for w in ws} if (n := model.gain(w)[1]) >= ALIKE)
+    return own, _dictionary([w for _, w in alike], ORDINARY_BYTES)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-2, start: np.ndarray | None = None) -> np.ndarray:
@@ -180,7 +185,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     texts = one.select("id", "toxic", "row.hash", drawn("row.text").alias("words")).toPandas()  # at most the sample's rows, of bounded length
     texts = texts.sort_values("id").drop_duplicates(["toxic", "hash"]).sample(frac=1, random_state=3)  # copies would be measured with dictionaries that know them
-    kinds = {kind: [list(w) for w in texts[texts["toxic"] == kind]["words"]] for kind in (1, 0)}
+    one_of: dict[str, str] = {}  # each word once, however many documents have it
+    kinds = {kind: [[one_of.setdefault(w, w) for w in held] for held in texts[texts["toxic"] == kind]["words"]] for kind in (1, 0)}
+    del texts
     if not all(kinds.values()):
         return ToxicityModel(_END, _END, np.array([30.0 if kinds[1] else -30.0, *[0.0] * (ToxicityModel.width() - 1)]))
 
