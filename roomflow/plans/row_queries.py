@@ -99,7 +99,7 @@ def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.distinct_sample(rooms(spark, sf_dir), ["room_class", "hotel_name"], 20)
 
 
-@query("W5 W6", "SELECT row_id, row_number() OVER (ORDER BY hotel_name, row_id) AS id, 'ROOM_' || lpad((row_number() OVER (ORDER BY hotel_name, row_id))::varchar, 6, '0') AS room_code FROM rooms")
+@query("W5 W6", "SELECT row_id, row_number() OVER (ORDER BY hotel_name, row_id) AS id, 'ROOM_' || printf('%06d', row_number() OVER (ORDER BY hotel_name, row_id)) AS room_code FROM rooms")
 def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows.dense_ids(rooms(spark, sf_dir).select("hotel_name", "row_id"), ["hotel_name", "row_id"])
     return r.select("row_id", "id", rows.padded_id(F.col("id"), "ROOM_", 6).alias("room_code"))
