@@ -153,8 +153,17 @@ def nested(df: DataFrame, keys: Sequence[str], first: Mapping[str, Column], room
 
 
 def best_rate(df: DataFrame, room: Sequence[str], kind: str, price: str) -> DataFrame:
-    """Floor of the mean of 'ota' prices, else of 'ta' prices; rooms without either are dropped."""
-    mean = lambda k: F.avg(F.when(F.col(kind) == k, F.col(price)))
+    """Floor of the mean of 'ota' prices, else of 'ta' prices; rooms without either are dropped.
+
+    Prices are added up as decimals, to a millionth: sums of doubles depend on the order of the rows, and the floor of a mean that is a whole
+    number with them.
+    """
+    exact = F.col(price).try_cast("decimal(38, 6)")
+
+    def mean(k: str) -> Column:
+        own = F.when(F.col(kind) == k, exact)
+        return F.try_divide(F.sum(own).cast("double"), F.count(own))
+
     return df.groupBy(*room).agg(F.floor(F.coalesce(mean("ota"), mean("ta"))).alias("rate")).where("rate IS NOT NULL")
 
 

@@ -1,11 +1,26 @@
-"""What only shows on larger tables."""
+"""What only shows on larger tables: sums in another order, ids with more digits."""
 
 import duckdb
 from pyspark.sql import functions as F
 
-from roomflow.operators import rows
+from roomflow.operators import profile, rows
 from roomflow.plans.queries import ORACLE_SQL
 
+#: Means that are whole numbers, whose sums as doubles fall short of them in this order.
+SHORT = {1: [3.42, 1.22, 0.11, 3.52, 2.04, 1.69], 2: [3.7, 4.52, 1.67, 2.11]}
+
+
+def test_user_rates(spark):
+    prices = [(u, x) for u, values in SHORT.items() for x in values]
+    events = spark.createDataFrame([(u, "purchase", "ota", x) for u, x in prices] + [(3, "click", "ta", 7.99), (3, "purchase", "ota", None), (4, "view", None, 1.0), (5, "click", "ta", float("nan"))], "user_id long, event_type string, kind string, value double")
+    got = {r.user_id: r.rate for r in profile.best_rate(events.coalesce(1), ["user_id"], "kind", "value").collect()}
+    assert got == {1: 2, 2: 3, 3: 7}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?)", [list(r)[:2] + [r.value] for r in events.collect()])
+    assert dict(con.execute(ORACLE_SQL["user_rates"]).fetchall()) == got
+
+
 def test_room_codes_of_seven_digits(spark):
     """Ids that outgrow the code's width keep all digits."""
     con = duckdb.connect()
