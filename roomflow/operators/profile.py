@@ -97,7 +97,12 @@ def group_means(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
 
 def common_flags(df: DataFrame, group: str, names: Mapping[str, str], least: float = 0.7) -> DataFrame:
     """A10: display names of the flags that at least ``least`` of a group's rows have."""
-    means = group_means(df, group, list(names)).unpivot([group], list(names), "flag", "share").where(F.col("share") >= least)
+    return flags_of_means(group_means(df, group, list(names)), group, names, least)
+
+
+def flags_of_means(means: DataFrame, group: str, names: Mapping[str, str], least: float = 0.7) -> DataFrame:
+    """A10 where the means are known."""
+    means = means.unpivot([group], list(names), "flag", "share").where(F.col("share") >= least)
     shown = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("flag"))
     return means.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(shown)), ", ").alias("common"))
 

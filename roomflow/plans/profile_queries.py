@@ -79,8 +79,9 @@ _FEATURES = f"""{_CLEAN}, feats AS (SELECT row_id, price, people, area, coalesce
     SELECT room_class, flag, round(share, 9) AS share, share >= 0.15 AS common FROM u""")
 def class_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = features.feature_table(stages.clean_rooms(rooms(spark, sf_dir), *stages.FEATURES), "room_type", "bed_type", "facilities", "price", "area", "people", "room_class")
-    long = features.melt(profile.group_means(table, "room_class", _NAMES), ["room_class"], _NAMES, "flag", "share")
-    common = profile.common_flags(table, "room_class", {n: n for n in _NAMES}, 0.15)
+    means = stored(profile.group_means(table, "room_class", _NAMES), "means")  # one row per class, read twice
+    long = features.melt(means, ["room_class"], _NAMES, "flag", "share")
+    common = profile.flags_of_means(means, "room_class", {n: n for n in _NAMES}, 0.15)
     both = long.join(common, "room_class", "left")
     return both.select("room_class", "flag", F.round("share", 9).alias("share"), F.coalesce(F.array_contains(F.split("common", ", "), F.col("flag")), F.lit(False)).alias("common"))
 
