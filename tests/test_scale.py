@@ -1,10 +1,16 @@
 """What only shows on larger tables: sums in another order, ids with more digits."""
 
+import contextlib
+import io
+import re
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from roomflow.operators import profile, rows
-from roomflow.plans.queries import ORACLE_SQL
+from roomflow.operators import conform, profile, quality, rows
+from roomflow.plans import stages, tables
+from roomflow.plans.queries import ORACLE_SQL, QUERIES
 
 #: Means that are whole numbers, whose sums as doubles fall short of them in this order.
 SHORT = {1: [3.42, 1.22, 0.11, 3.52, 2.04, 1.69], 2: [3.7, 4.52, 1.67, 2.11]}
@@ -29,3 +35,39 @@ def test_room_codes_of_seven_digits(spark):
     want = dict(con.execute(f"SELECT id, room_code FROM ({sql[sql.rindex('SELECT row_id'):]}) WHERE id IN (1, 999999, 1000000, 1000001)").fetchall())
     ids = spark.createDataFrame([(i,) for i in want], "id long").select("id", rows.padded_id(F.col("id"), "ROOM_", 6).alias("code"))
     assert {r.id: r.code for r in ids.collect()} == want and want[1000000] == "ROOM_1000000"
+
+
+def _method_bytes(df):
+    """Byte code of the longest method of each compiled stage; the JVM doesn't compile methods of over 8000."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+
+
+@pytest.mark.parametrize("columns", [("row_id",), stages.FEATURES, ("location", "room_type", "facilities", "badge")])
+def test_cleaning_is_compiled(spark, sf, columns):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = _method_bytes(stages.clean_rooms(tables.rooms(spark, sf), *columns))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+
+
+def test_computed_columns(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id int, `x y` string")
+    got = conform.computed(df, {"n": F.length("`x y`"), "id": F.col("id") * 2}).where("n IS NOT NULL")
+    assert got.columns == ["x y", "n", "id"] and sorted((r.id, r.n) for r in got.collect()) == [(2, 3), (6, 0)]
+
+
+def test_flags_read_the_rows_once(spark, sf):
+    """What is left to do after the rows were stored reads no line items."""
+    for name in ("class_flags", "prepared_features"):
+        assert not any("lineitem" in f for f in QUERIES[name](spark, sf).inputFiles()), name
+
+
+def test_discrete_median(spark):
+    df = spark.createDataFrame([(x,) for x in (4.0, 1.0, None, 3.0, 2.0)], "x double")
+    assert sorted(r.x for r in quality.fill_median(df, ["x"], discrete=True).collect()) == [1.0, 2.0, 2.0, 3.0, 4.0]
+    assert sorted(r.x for r in quality.fill_median(df, ["x"]).collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
