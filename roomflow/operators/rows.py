@@ -110,20 +110,47 @@ def containing_candidates(short: DataFrame, long: DataFrame, scope: str, a: str,
     return rarest.join(index, [scope, "__gram"]).select(scope, a, b)
 
 
+#: Rooms of a page up to which listings meet them all in a list.
+PAGE_ROOMS = 64
+
+
 def match_rooms(listings: DataFrame, page_rooms: DataFrame, link: str, name: str, page_name: str, position: str, key: str) -> DataFrame:
     """For each listing the first room of its page where either name contains the other, without case and spaces.
 
-    Names meet once for each page however many rows have them, and through an index of their grams rather than all with all.
+    A page of at most ``PAGE_ROOMS`` rooms travels once, as a list that its listings look through. Larger ones, if there are any, are met
+    through an index of their names' grams.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), r"\s", "")
-    pages = page_rooms.withColumn("__p", plain(F.col(page_name))).where("__p IS NOT NULL").groupBy(link, "__p").agg(F.min_by(F.struct(*[c for c in page_rooms.columns if c != link]), position).alias("match"), F.min(position).alias("__at"))
-    named = listings.withColumn("__l", plain(F.col(name)))
-    names = named.select(link, "__l").distinct()
+    listed = listings.withColumn("__l", plain(F.col(name)))
+    paged = page_rooms.withColumn("__p", plain(F.col(page_name))).where(F.col("__p").isNotNull() & F.col(position).isNotNull())
+    wide = stored(page_rooms.groupBy(link).agg(F.count("*").alias("__n")).where(F.col("__n") > PAGE_ROOMS).select(link), "wide-pages")
+    if wide.isEmpty():
+        return _match_by_lists(listed, paged, link, position).select(*listings.columns, "match")
+    few = _match_by_lists(listed.join(wide, link, "left_anti"), paged.join(wide, link, "left_anti"), link, position)
+    many = _match_by_index(listed.join(wide, link, "left_semi"), paged.join(wide, link, "left_semi"), link, position)
+    return few.select(*listings.columns, "match").unionByName(many.select(*listings.columns, "match"))
+
+
+def _match_by_lists(listed: DataFrame, paged: DataFrame, link: str, position: str) -> DataFrame:
+    rest = [c for c in paged.columns if c not in (link, position, "__p")]
+    pages = paged.groupBy(link).agg(F.sort_array(F.collect_list(F.struct(position, "__p", *rest))).alias("__rooms"))
+    fits = lambda x: x["__p"].contains(F.col("__l")) | F.col("__l").contains(x["__p"])
+    first = F.get(F.filter("__rooms", fits), F.lit(0))
+    both = listed.join(pages, link, "left").withColumn("__first", first)
+    match = F.struct(*[F.col(f"__first.{c}").alias(c) for c in paged.columns if c not in (link, "__p")])
+    return both.withColumn("match", F.when(F.col("__first").isNotNull(), match))
+
+
+def _match_by_index(listed: DataFrame, paged: DataFrame, link: str, position: str) -> DataFrame:
+    """Names meet once for each page however many rows have them."""
+    columns = [c for c in paged.columns if c not in (link, "__p")]
+    pages = paged.groupBy(link, "__p").agg(F.min_by(F.struct(*columns), position).alias("match"), F.min(position).alias("__at"))
+    names = listed.select(link, "__l").distinct()
     inside = containing_candidates(names, pages, link, "__l", "__p").where(F.col("__p").contains(F.col("__l")))
     around = containing_candidates(pages.select(link, "__p"), names.where("__l IS NOT NULL"), link, "__p", "__l").where(F.col("__l").contains(F.col("__p")))
     hits = inside.unionByName(around).join(pages, [link, "__p"])
     best = hits.groupBy(link, "__l").agg(F.min_by("match", "__at").alias("match"))
-    return named.join(best, [link, "__l"], "left").select(*listings.columns, "match")
+    return listed.join(best, [link, "__l"], "left")
 
 
 def union_all(*tables: DataFrame) -> DataFrame:

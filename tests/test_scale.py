@@ -71,3 +71,23 @@ def test_discrete_median(spark):
     df = spark.createDataFrame([(x,) for x in (4.0, 1.0, None, 3.0, 2.0)], "x double")
     assert sorted(r.x for r in quality.fill_median(df, ["x"], discrete=True).collect()) == [1.0, 2.0, 2.0, 3.0, 4.0]
     assert sorted(r.x for r in quality.fill_median(df, ["x"]).collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
+
+
+def test_rooms_meet_without_grams(spark, sf):
+    """Pages of few rooms are lists: no row for each gram of a name, which took over 100 times the input's disk."""
+    plan = QUERIES["matched_rooms"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__gram" not in plan and "collect_list" in plan
+
+
+@pytest.mark.parametrize("most", [0, 3, 64])
+def test_rooms_meet_alike_in_lists_and_index(spark, monkeypatch, most):
+    """Pages of 1 to 9 rooms by lists, by the index and by both; the plain rule by a join of all with all."""
+    monkeypatch.setattr(rows, "PAGE_ROOMS", most)
+    words = F.split(F.lit("sea view,Sea View Suite,SUITE,double,double sea,,x"), ",")
+    all_ = spark.range(200).select(F.col("id").alias("at"), F.expr("cast(sqrt(id) as int)").alias("link"), F.when(F.col("id") % 11 != 0, words[(F.col("id") * 7 % 5 + F.col("id") % 3).cast("int")]).alias("page"))
+    listings = all_.select(F.col("at").alias("id"), F.when(F.col("at") % 17 != 0, F.col("link")).alias("link"), words[(F.col("at") % 7).cast("int")].alias("name"))
+    got = {r.id: r.match and (r.match.at, r.match.page) for r in rows.match_rooms(listings, all_, "link", "name", "page", "at", "id").collect()}
+    pages, flat = [tuple(r) for r in all_.collect()], lambda x: "".join(x.lower().split())
+    for r in listings.collect():
+        hits = [(at, p) for at, link, p in pages if link == r.link and p is not None and (flat(p) in flat(r.name) or flat(r.name) in flat(p))]
+        assert got[r.id] == min(hits, default=None), r
