@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from roomflow.operators import conform, profile, quality, rows
+from roomflow.operators import conform, models, profile, quality, rows
 from roomflow.plans import stages, tables
 from roomflow.plans.queries import ORACLE_SQL, QUERIES
 
@@ -91,3 +91,10 @@ def test_rooms_meet_alike_in_lists_and_index(spark, monkeypatch, most):
     for r in listings.collect():
         hits = [(at, p) for at, link, p in pages if link == r.link and p is not None and (flat(p) in flat(r.name) or flat(r.name) in flat(p))]
         assert got[r.id] == min(hits, default=None), r
+
+
+def test_forests_keep_all_cores_busy(spark):
+    """A table of one partition is fitted in as many tasks as there are cores, with all of its rows."""
+    df = spark.range(1000).coalesce(1).select((F.col("id") % 2).cast("double").alias("label"), F.col("id").cast("double").alias("x"), F.lit("unused").alias("text"))
+    got = models._spread(df, ["x"], "label")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and got.columns == ["label", "features"] and got.count() == 1000
