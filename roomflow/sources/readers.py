@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roomflow.sources.places import ship
+
 _LOG = logging.getLogger(__name__)
 
 
@@ -32,31 +37,79 @@ def csv(spark: SparkSession, path: str, schema: T.StructType, separator: str = "
 def split_csv(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",") -> DataFrame:
     """S2, S3 for large files: the same rows as ``csv`` gives, from files that are read in byte ranges.
 
-    A line starts a record if an even number of quotes stands before it in its file. Quotes are counted by range and summed up over a file's
-    ranges, then line by line within each range. A record of one line, as nearly all are, needs nothing else; only lines of longer ones are
-    put together by a shuffle. The first record of each file is its header. Files need a name of their own for their ranges to be told apart.
+    A line starts a record if an even number of quotes stands before it in its file. A first pass counts quotes by range, and a row for each
+    range tells how its quotes stand at its start. Then the records of each range are put together where they are read: only the lines before a
+    range's first record and those of its last one, which may go on, meet the next range's by a shuffle. The first record of each file is
+    its header. Files need a name of their own for their ranges to be told apart.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.regexp_count("value", F.lit('"')).alias("quotes")
-    )
-    ranges = lines.groupBy("file", "block").agg(F.sum("quotes").alias("held"))
+    ship(spark)
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    ranges = lines.groupBy("file", "block").agg(F.sum(F.regexp_count("value", F.lit('"'))).alias("held"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a file
-    before = ranges.select("file", "block", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("file", "block").orderBy("line")
-    so_far = F.coalesce(F.sum("quotes").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.join(before, ["file", "block"]).withColumn("start", ((F.col("before") + so_far) % 2 == 0).cast("int"))
-    counts = placed.groupBy("file", "block").agg(F.sum("start").alias("starts"))
-    offsets = counts.select("file", "block", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("first"))
-    numbered = placed.join(offsets, ["file", "block"]).withColumn("record", F.col("first") + F.sum("start").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = (F.col("start") == 1) & (F.col("quotes") % 2 == 0)
-    single = numbered.where(whole).select("file", "record", "value")
-    parts = numbered.where(~whole).groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("lines"))  # the lines of one record
-    records = single.unionByName(parts.select("file", "record", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value")))
-    body = records.where("record > 1").select(F.regexp_replace("value", "\r$", "").alias("value")).where("value <> ''")
+    before = ranges.select("file", "block", (F.coalesce(F.sum("held").over(earlier), F.lit(0)) % 2).cast("int").alias("odd"))
+    told = lines.join(F.broadcast(before), ["file", "block"]).select("value", "file", "block", "odd")  # a row for each range
+    whole = told.mapInArrow(_records(inside=True), _PIECES).select("value", "first")
+    # the end of one range and the start of the next, and ranges without any start between them
+    run = Window.partitionBy("file").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = told.mapInArrow(_records(inside=False), _PIECES).withColumn("record", F.sum((F.col("place") == 2).cast("int")).over(run))
+    joined = edges.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "place", "value", "first"))).alias("parts"))
+    edged = joined.select(F.array_join(F.transform("parts", lambda x: x["value"]), "\n").alias("value"), F.col("parts")[0]["first"].alias("first"))
+    body = whole.unionByName(edged).where("NOT first").select(F.regexp_replace("value", "\r$", "").alias("value")).where("value <> ''")
     options = {"sep": separator, "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "lineSep": "\u0001"}
     return body.select(F.from_csv("value", _ddl(schema), options).alias("row")).select("row.*")
 
 
+#: ``place``: 0 for a whole record, 1 for lines that go on with a record of an earlier range, 2 for a range's last record. ``first``: a file's header.
+_PIECES = "file string, block long, place int, first boolean, value string"
+
+
+def _records(inside: bool):
+    """Lines, in the order of their range, to the whole records inside of ranges or to the two edges of each; holds a batch and a record at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, odd = None, 0
+        #: Lines of the open piece, its place, and whether it is its file's first record.
+        open_, place, header = [], 1, False
+
+        def piece(values: pa.Array, place: int, first: np.ndarray) -> list[pa.RecordBatch]:
+            if (place == 0) != inside or not len(values):
+                return []
+            n, (file, block) = len(values), now
+            columns = [pa.array([file] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array([place] * n, pa.int32()), pa.array(first), values]
+            return [pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PIECES.split(", ")])]
+
+        def held(place: int) -> list[pa.RecordBatch]:
+            return piece(pa.array(["\n".join(open_)] if open_ else [], pa.string()), place, np.array([header] if open_ else [], bool))
+
+        for batch in batches:
+            files, blocks = batch.column("file").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(files) != 0) | (np.diff(blocks) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                key = (batch.column("file")[a].as_py(), int(blocks[a]))
+                if key != now:
+                    yield from held(place)
+                    now, odd, open_, place, header = key, batch.column("odd")[a].as_py(), [], 1, False
+                lines = batch.column("value").slice(a, b - a)
+                sums = np.cumsum(pc.count_substring(lines, '"').to_numpy())
+                starts = np.flatnonzero((odd + np.concatenate([[0], sums[:-1]])) % 2 == 0)
+                odd = (odd + int(sums[-1])) % 2
+                if not len(starts):
+                    open_ += lines.to_pylist()
+                    continue
+                open_ += lines.slice(0, int(starts[0])).to_pylist()
+                yield from held(0 if place == 2 else 1)
+                top = key[1] == 0 and place == 1  # a file starts with a record
+                place, last, header = 2, int(starts[-1]), top and len(starts) == 1
+                lists = pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), lines.slice(int(starts[0]), last - int(starts[0])))
+                yield from piece(pc.binary_join(lists, "\n"), 0, np.arange(len(lists)) == (0 if top else -1))
+                open_ = lines.slice(last).to_pylist()
+        yield from held(place)
+
+    return run
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 

@@ -41,6 +41,26 @@ def test_split_csv(spark, tmp_path, small_ranges, end):
     assert len(rows(want)) == 600 and rows(got) == rows(want)
 
 
+def test_split_csv_shuffles_edges_only(spark, tmp_path, small_ranges):
+    """Records, which all have a line break, are put together where they are read; what is shuffled does not grow with them."""
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerows([["id", "text", "more"], *[[i, f"two\nlines {i}", "x" * 40] for i in range(3000)]])
+    got = readers.split_csv(spark, str(tmp_path), SCHEMA)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, f"two\nlines {i}", "x" * 40) for i in range(3000))
+    plan = got._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    shuffled, waiting = [], [plan]
+    while waiting:
+        node = waiting.pop()
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            waiting.append(node.plan())
+        if node.nodeName() == "Exchange":
+            shuffled.append(int(node.metrics().apply("shuffleRecordsWritten").value()))
+    assert shuffled and max(shuffled) < 200
+
+
 def test_tolerant_sources(spark, tmp_path):
     schema = conform.schema("id long, text string")
     good = spark.createDataFrame([(1, "a"), (2, "b")], schema)
