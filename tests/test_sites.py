@@ -115,3 +115,15 @@ def test_room_names_meet_through_their_grams(spark):
     assert got == want and sum(x is not None for x in want.values()) > 100
     names, texts = listings.selectExpr("link", "regexp_replace(lower(name), '\\\\s', '') AS l").distinct(), pages.selectExpr("link", "regexp_replace(lower(page), '\\\\s', '') AS p").where("p IS NOT NULL").distinct()
     assert rows.containing_candidates(names, texts, "link", "l", "p").where("link = 'hot'").count() < 0.2 * names.where("link = 'hot'").count() * texts.where("link = 'hot'").count()
+
+
+@pytest.mark.parametrize("name", ["ten_columns", "wide_columns"])
+def test_rooms_made_once(spark, sf, name):
+    """All sites read the rooms that were made once, and a site whose rows name the hotel is counted without a shuffle."""
+    from roomflow.plans import source_queries
+    from roomflow.plans.queries import QUERIES
+
+    found = source_queries.sites(spark, sf, once=True)
+    tables = getattr(site_maps, name.replace("columns", "tables"))(found)
+    assert "Exchange" not in source_queries._counted(tables["trips"])._jdf.queryExecution().executedPlan().toString()
+    assert not any("lineitem" in f for f in QUERIES[name](spark, sf).inputFiles())
