@@ -9,6 +9,7 @@ from roomflow.operators import conform, quality, rows
 from roomflow.plans.registry import query
 from roomflow.plans.tables import rooms
 from roomflow.sources import readers, sinks
+from roomflow.sources.places import stored
 
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +166,8 @@ def detail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     q AS (SELECT *, low + CASE WHEN row_number() OVER (ORDER BY part DESC, room_class) <= want - sum(low) OVER () THEN 1 ELSE 0 END AS test, rest - low - CASE WHEN row_number() OVER (ORDER BY part DESC, room_class) <= want - sum(low) OVER () THEN 1 ELSE 0 END AS validation FROM e2)
     SELECT row_id, room_class, CASE WHEN nth <= test THEN 'test' WHEN nth <= test + validation THEN 'validation' ELSE 'train' END AS split FROM k JOIN q USING (room_class)""")
 def split_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.stratified_split(rooms(spark, sf_dir).select("row_id", "room_class"), "room_class", "row_id").select("row_id", "room_class", "split")
+    r = stored(rooms(spark, sf_dir).select("row_id", "room_class"), "to-split")  # read for counts, cuts and rows
+    return quality.stratified_split(r, "room_class", "row_id").select("row_id", "room_class", "split")
 
 
 @query("W8", "SELECT row_id, CASE WHEN substr(md5('42|' || row_id), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS split FROM rooms")
@@ -180,7 +182,7 @@ def split_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     q AS (SELECT room_class, low + CASE WHEN row_number() OVER (ORDER BY part DESC, room_class) <= want - sum(low) OVER () THEN 1 ELSE 0 END AS test FROM e)
     SELECT row_id, room_class, CASE WHEN nth <= test THEN 'test' ELSE 'train' END AS split FROM k JOIN q USING (room_class)""")
 def split_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rooms(spark, sf_dir).select("row_id", "room_class")
+    r = stored(rooms(spark, sf_dir).select("row_id", "room_class"), "to-split")
     return quality.stratified_split(r, "room_class", "row_id", (0.8, 0.2), names=("train", "test", "test")).select("row_id", "room_class", "split")
 
 

@@ -197,3 +197,25 @@ def test_first_rows_carry_what_is_read(spark, sf):
     plan = clean_rooms(rooms(spark, sf), "facilities")._jdf.queryExecution().optimizedPlan().toString()
     aggregate = next(line for line in plan.splitlines() if "min_by" in line)
     assert "facilities" in aggregate and not any(c in aggregate for c in ("address", "room_text", "check_in", "bed_tags"))
+
+
+def test_splits_by_cut_draws(spark, monkeypatch):
+    """Rows are told apart by the draws at the cuts, without ranking all of them; where rows of one key meet a cut, the sizes are exact too."""
+    monkeypatch.setattr(quality, "BUCKET_ROWS", 20)
+    classes = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 5 == 0, "a").when(F.col("id") == 1, "one").otherwise("b")
+    df = spark.range(2000).select(F.col("id").cast("string").alias("k"), classes.alias("c"))
+    plain = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    parts, some = quality.stratified_split(df, "c", "k"), quality.sample_per_class(df, "c", 400, "k")
+    assert "Window" not in plain(parts) and "Window" not in plain(some)
+    most = df.groupBy("c").count().agg(F.max("count")).first()[0]
+    ranked = {r["k"]: (r["c"], r["__rank"]) for r in quality._ranked(df, "c", 42, "k", most).collect()}
+    sizes = {r["c"]: r["count"] for r in df.groupBy("c").count().collect()}
+    quotas = quality.quotas(sizes, (0.7, 0.15, 0.15))
+    want = {k: "test" if n <= quotas[c][2] else "validation" if n <= quotas[c][2] + quotas[c][1] else "train" for k, (c, n) in ranked.items()}
+    assert {r["k"]: r["split"] for r in parts.collect()} == want
+    assert {r["k"] for r in some.collect()} == {k for k, (_, n) in ranked.items() if n <= 400}
+    tied = df.withColumn("k", F.lit("same")).where("c IS NOT NULL")
+    sizes = {r["c"]: r["count"] for r in tied.groupBy("c").count().collect()}
+    quotas = quality.quotas(sizes, (0.7, 0.15, 0.15))
+    got = {(r["c"], r["split"]): r["count"] for r in quality.stratified_split(tied, "c", "k").groupBy("c", "split").count().collect()}
+    assert got == {(c, s): n for c, q in quotas.items() for s, n in zip(("train", "validation", "test"), q, strict=True) if n}
