@@ -132,9 +132,14 @@ def with_rooms(pages: DataFrame, html: str, phrase: str) -> DataFrame:
 
 
 def fill_location(listings: DataFrame, pages: DataFrame, link: str, url: str, html: str, location: str) -> DataFrame:
-    """An unknown location is looked for in the text of the listing's page."""
+    """An unknown location is looked for in the text of the listing's page.
+
+    A page's text is made once, in a step of its own, and asked for every word; a filter on the city goes after the aggregation, since one
+    before it would be pushed down to the html with the making of the text in it, once for each word.
+    """
     from roomflow.functions.classify import city
 
-    found = pages.select(F.col(url).alias(link), city(visible(F.col(html))).alias("__found")).where("__found IS NOT NULL").groupBy(link).agg(F.min("__found").alias("__found"))
+    seen = pages.select(F.col(url).alias(link), F.lower(visible(F.col(html))).alias("__low"))
+    found = seen.select(link, city(F.col("__low"), True).alias("__found")).groupBy(link).agg(F.min("__found").alias("__found")).where("__found IS NOT NULL")
     known = F.when(F.col(location) != "Unknown", F.col(location))
     return listings.join(found, link, "left").withColumn(location, F.coalesce(known, "__found", F.lit("Unknown"))).drop("__found")
