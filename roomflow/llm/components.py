@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from roomflow.llm.common import Stage
 
+#: Links of one task.
+SHARE = 1 << 16
+
 
 def _contract(batches):
     """Replaces a task's links by links of each node to the smallest node that it reaches within the task."""
@@ -29,24 +32,33 @@ def _contract(batches):
 def components(links: DataFrame, stage: Stage, name: str = "component") -> DataFrame:
     """(node, component) for every node of links (a, b); component is the smallest node that it reaches.
 
-    Each task first contracts its own links (there are fewer of them than documents, and a task holds its share only). Then each round
-    a node takes the smallest label among its own and its neighbours', and after that its label's label (pointer jumping), until no
+    Each task first contracts its own links (there are fewer of them than documents, and a task holds its share only). What is left is
+    dealt over as many tasks as there are shares of ``SHARE`` links, however many partitions shuffles have, and contracted again; links
+    that are no more than one share are done with that. Then each round a node takes the smallest label among its own and its neighbours', and after that its label's label (pointer jumping), until no
     label changes. Labels are written each round; nothing but whether any has moved comes to the driver. Most nodes of a large component
     soon have one neighbour and one label in common; both joins are inner ones with nothing above that needs their keys together, so
     Spark's skew handling deals such a key's rows over many tasks. Repeated links and links of a node with itself are harmless; rows
     with a null are passed over; an empty table gives an empty result.
     """
-    star = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(_contract, "a long, b long").distinct()
-    both = stage.write(star.select(F.col("a").alias("node"), F.col("b").alias("other")).union(star.select("b", "a")).union(star.select("b", "b")).union(star.select("a", "a")).distinct(), f"{name}-edges")
+    star = stage.write(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(_contract, "a long, b long"), f"{name}-stars")
+    tasks = int(star.count() // SHARE + 1)
+    star = star.coalesce(tasks).mapInArrow(_contract, "a long, b long")
+    if tasks == 1:
+        done = stage.write(star.select(F.col("b").alias("node"), F.col("a").alias("component")), f"{name}-1")
+        stage.drop(f"{name}-stars")
+        return done
+    star = star.distinct()
+    both = stage.write(star.select(F.col("a").alias("node"), F.col("b").alias("other")).union(star.select("b", "a")).union(star.select("b", "b")).union(star.select("a", "a")).distinct().coalesce(4 * tasks), f"{name}-edges")
+    stage.drop(f"{name}-stars")
     labels = both.select("node").distinct().withColumn("label", F.col("node"))
     turn = 0
     while True:
         known = labels.select(F.col("node").alias("other"), "label")
         low = both.join(known, "other").groupBy("node").agg(F.min("label").alias("low"), F.max(F.when(F.col("node") == F.col("other"), F.col("label"))).alias("old"))
-        low = stage.write(low, f"{name}-low-{turn}")
+        low = stage.write(low.coalesce(tasks), f"{name}-low-{turn}")
         turn += 1
         up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
-        new = stage.write(low.join(up, "low").select("node", F.col("up").alias("label"), (F.col("up") < F.col("old")).alias("moved")), f"{name}-{turn}")
+        new = stage.write(low.join(up, "low").select("node", F.col("up").alias("label"), (F.col("up") < F.col("old")).alias("moved")).coalesce(tasks), f"{name}-{turn}")
         moved = not new.where("moved").isEmpty()
         stage.drop(f"{name}-{turn - 1}", f"{name}-low-{turn - 1}")
         labels = new.select("node", "label")

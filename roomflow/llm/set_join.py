@@ -34,6 +34,8 @@ TREES, ROOT_PICKS, SMALL = 3, 4, 2048
 CANDIDATE = 0.6
 _NIBBLES = 0x1111111111111111
 SKETCH = ["s0", "s1", "s2", "s3"]
+#: Documents and shingles for which a task is worth starting.
+TASK_DOCS, TASK_SHINGLES = 2048, 1 << 19
 
 
 def _signatures(size: int):
@@ -82,11 +84,12 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("doc", F.explode(F.array_distinct(keys)).alias("node"))
 
 
-def _trees(reps: DataFrame, texts_of, stage: Stage, size: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def _trees(reps: DataFrame, texts_of, stage: Stage, size: int, percent: int, tasks: int) -> tuple[DataFrame, DataFrame | None]:
     """Runs the trees: (node, doc, sketch) of all small nodes, and the links to pivots of large ones (None without large nodes).
 
     A level costs at most 1.25 rows for each document in large nodes of several components; where documents differ, nodes shrink by
-    their similarity on each level, so the levels end. Joins on a large node are split by Spark's skew handling.
+    their similarity on each level, so the levels end. Joins on a large node are split by Spark's skew handling. A step has at most
+    ``tasks`` tasks, which follow the input, so that the many small steps do not pay for each partition of a shuffle.
     """
     rows = reps.select("doc", "tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")).select("doc", "tokens", F.xxhash64("tree").alias("node"))
     found, links, level = None, None, 0
@@ -94,8 +97,8 @@ def _trees(reps: DataFrame, texts_of, stage: Stage, size: int, percent: int) ->
         level += 1
         lean = _children(rows, level)
         pivot = F.min(F.struct(F.xxhash64("doc", F.lit(level)), "doc")).getField("doc").alias("pivot")
-        sizes = stage.write(lean.groupBy("node").agg(F.count("*").alias("n"), pivot).where("n > 1"), f"sizes-{level}")
-        held = stage.write(lean.join(sizes, "node").join(reps.select("doc", *SKETCH), "doc"), f"held-{level}")
+        sizes = stage.write(lean.groupBy("node").agg(F.count("*").alias("n"), pivot).where("n > 1").coalesce(tasks), f"sizes-{level}")
+        held = stage.write(lean.join(sizes, "node").coalesce(tasks).join(reps.select("doc", *SKETCH), "doc").coalesce(tasks), f"held-{level}")
         leaves = held.where(f"n <= {SMALL}").select("node", "doc", *SKETCH)
         found = leaves if found is None else found.unionByName(leaves)
         large = sizes.where(f"n > {SMALL}")
@@ -104,17 +107,17 @@ def _trees(reps: DataFrame, texts_of, stage: Stage, size: int, percent: int) ->
         centres = large.join(reps.select(F.col("doc").alias("pivot"), *[F.col(s).alias(f"p{s}") for s in SKETCH]), "pivot")
         inside = held.where(f"n > {SMALL}").select("node", "doc", *SKETCH)
         like = inside.join(centres.select("node", "pivot", *[f"p{s}" for s in SKETCH]), "node").where((F.col("doc") != F.col("pivot")) & (_likeness([f"p{s}" for s in SKETCH]) >= CANDIDATE))
-        pairs = like.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+        pairs = like.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).coalesce(tasks).distinct()
         if links is not None:
             pairs = pairs.join(links, ["a", "b"], "left_anti")
-        pairs = stage.write(pairs, f"like-pivot-{level}")
+        pairs = stage.write(pairs.coalesce(tasks), f"like-pivot-{level}")
         texts = texts_of(pairs, f"near-pivot-{level}")
-        star = _confirm(pairs, texts, size, percent)
+        star = _confirm(pairs, texts, size, percent, tasks)
         links = stage.write(star if links is None else links.unionByName(star), f"to-pivot-{level}")
         labels = components(links, stage, f"pivot-{level}").withColumnRenamed("node", "doc")
-        labelled = inside.select("node", "doc").join(labels, "doc", "left").select("node", "doc", F.coalesce("component", "doc").alias("label"))
-        open_nodes = stage.write(labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node"), f"open-{level}")
-        rows = inside.select("node", "doc").join(open_nodes, "node").join(reps.select("doc", "tokens"), "doc")
+        labelled = inside.select("node", "doc").join(labels, "doc", "left").select("node", "doc", F.coalesce("component", "doc").alias("label")).coalesce(tasks)
+        open_nodes = stage.write(labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node").coalesce(tasks), f"open-{level}")
+        rows = inside.select("node", "doc").join(open_nodes, "node").coalesce(tasks).join(reps.select("doc", "tokens"), "doc").coalesce(tasks)
         stage.drop(f"like-pivot-{level}", f"near-pivot-{level}", f"to-pivot-{level - 1}", f"sizes-{level - 1}", f"open-{level - 1}")
 
 
@@ -249,7 +252,7 @@ def _compare(size: int, percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tasks: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of their full sets."""
 
     def run(batches):
@@ -267,8 +270,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 good.append(100 * both >= percent * (len(known[a]) + len(known[b]) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    return left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").mapInArrow(run, "a long, b long")
+    left = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").coalesce(tasks)
+    return left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").coalesce(tasks).mapInArrow(run, "a long, b long")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -283,34 +286,36 @@ def _linked(docs: DataFrame, stage: Stage, size: int, percent: int, id_col: str,
     """
     slim = _rows(docs, id_col, text_col)
     signed = stage.write(slim.mapInArrow(_signatures(size), "doc_id long, text_key long, n_shingles long, k0 long, k1 long, tokens array<int>, " + ", ".join(f"{s} long" for s in SKETCH)), "signed")
+    rows, shingles = signed.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    tasks = int(max(rows // TASK_DOCS, shingles // TASK_SHINGLES) + 1)
     full = signed.where("n_shingles > 0")
     first_row = [F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key")]
-    classes = stage.write(full.groupBy("k0", "k1").agg(*first_row).withColumn("doc", F.monotonically_increasing_id()), "classes")
+    classes = stage.write(full.groupBy("k0", "k1").agg(*first_row).coalesce(tasks).withColumn("doc", F.monotonically_increasing_id()), "classes")
     same = F.col("doc_id").eqNullSafe(F.col("rep"))
-    reps = full.join(classes, ["k0", "k1", "text_key"]).where(same).groupBy("doc").agg(F.first("tokens").alias("tokens"), *[F.first(s).alias(s) for s in SKETCH], F.count("*").alias("copies"))
-    reps = stage.write(reps, "reps")
+    reps = full.join(classes, ["k0", "k1", "text_key"]).where(same).coalesce(tasks).groupBy("doc").agg(F.first("tokens").alias("tokens"), *[F.first(s).alias(s) for s in SKETCH], F.count("*").alias("copies"))
+    reps = stage.write(reps.coalesce(tasks), "reps")
 
     def texts_of(pairs: DataFrame, name: str, hint: str | None = None) -> DataFrame:
         """(doc, text) of the classes in pairs (a, b)."""
         wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc")
-        sought = stage.write(wanted.join(classes.select("doc", "rep", F.col("text_key").alias("key")), "doc"), f"{name}-sought")
-        found = slim.join(sought.hint(hint) if hint else sought, same & (F.col("text_key") == F.col("key"))).select("doc", "text").dropDuplicates(["doc"])
-        return stage.write(found, name)
+        sought = stage.write(wanted.join(classes.select("doc", "rep", F.col("text_key").alias("key")), "doc").coalesce(tasks), f"{name}-sought")
+        found = slim.join(sought.hint(hint) if hint else sought, same & (F.col("text_key") == F.col("key"))).select("doc", "text").coalesce(tasks).dropDuplicates(["doc"])
+        return stage.write(found.coalesce(tasks), name)
 
-    leaves, links = _trees(reps, texts_of, stage, size, percent)
+    leaves, links = _trees(reps, texts_of, stage, size, percent, tasks)
     first = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_likest, "a long, b long").distinct()
-    first = stage.write(first, "pairs")
+    first = stage.write(first.coalesce(tasks), "pairs")
     texts = texts_of(first, "texts", "merge")
-    confirmed = _confirm(first, texts, size, percent)
+    confirmed = _confirm(first, texts, size, percent, tasks)
     links = stage.write(confirmed if links is None else links.unionByName(confirmed), "links")
     labels = components(links, stage, "c1").withColumnRenamed("node", "doc").withColumnRenamed("component", "label")
-    labelled = leaves.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    labelled = leaves.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")).coalesce(tasks)
     families = labelled.repartition("node").sortWithinPartitions("node").mapInArrow(_open, "family long, doc long, label long")
-    families = stage.write(families.dropDuplicates(["family", "doc"]), "families")
-    more = families.join(texts, "doc").repartition("family").sortWithinPartitions("family").mapInArrow(_compare(size, percent), "a long, b long")
+    families = stage.write(families.dropDuplicates(["family", "doc"]).coalesce(tasks), "families")
+    more = families.join(texts, "doc").coalesce(tasks).repartition("family").sortWithinPartitions("family").mapInArrow(_compare(size, percent), "a long, b long")
     every = stage.write(links.union(more), "all")
-    joined = stage.write(components(every, stage, "c2").withColumnRenamed("node", "doc").join(classes.select("doc", "rep"), "doc"), "joined")
-    classes = stage.write(classes.join(reps.select("doc", "copies"), "doc"), "known")
+    joined = stage.write(components(every, stage, "c2").withColumnRenamed("node", "doc").join(classes.select("doc", "rep"), "doc").coalesce(tasks), "joined")
+    classes = stage.write(classes.join(reps.select("doc", "copies"), "doc").coalesce(tasks), "known")
     stage.keep("signed", "known", "joined")
     return signed, classes, joined
 

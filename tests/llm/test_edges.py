@@ -363,6 +363,40 @@ def test_components_chain(spark):
     assert len(got) == 3000 and (got.component == 0).all()
 
 
+def test_components_in_shares(spark, monkeypatch):
+    """Links of many shares, with links of a node with itself, repeated ones and nulls."""
+    from roomflow.llm import components as operator
+
+    monkeypatch.setattr(operator, "SHARE", 100)
+    rows = [(i, i - 1) for i in range(1, 900) if i % 90] + [(5000, 5000), (7, 8), (7, 8), (None, 3), (4, None)]
+    links = spark.createDataFrame(rows, "a long, b long").repartition(9)
+    got = {r.node: r.component for r in operator.components(links, Stage(spark, "c")).collect()}
+    assert got == {i: i - i % 90 for i in range(900)} | {5000: 5000}
+    assert operator.components(links.where("false"), Stage(spark, "c")).count() == 0
+
+
+def test_near_documents_tasks_follow_rows(spark, docs):
+    """A small table does not pay for each of a shuffle's partitions in every step."""
+    from roomflow.llm.set_join import near_duplicates
+
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc, group = spark.sparkContext, f"near-{id(docs)}"
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        assert near_duplicates(docs, Stage(spark, "n"), size=5).count() == len(ROWS)
+        told = sc.statusTracker()
+        stages = {i for job in told.getJobIdsForGroup(group) for i in told.getJobInfo(job).stageIds}
+        done = sum(x.numCompletedTasks for i in stages if (x := told.getStageInfo(i)))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < done < 700, done
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
