@@ -9,7 +9,9 @@ state, where a state's suffixes are states too.
 Documents are cut into chunks of bounded size, which keep their tokens as local numbers in compressed arrays. Chunks ask for what they need
 to know of the whole corpus in rounds: the distinct keys of a chunk (64-bit hashes) go to buckets by value with the chunk's own counts, a
 bucket adds up what all chunks sent, and each chunk gets its sums back. Keys of one chunk are distinct, so a word or context that is
-everywhere is one entry of each chunk, and buckets are even. Nothing of the corpus is held in one place.
+everywhere is one entry of each chunk, and buckets are even. Nothing of the corpus is held in one place. What a chunk can tell by itself
+is not asked: if a training occurrence of a gram is the only one, so it is of each longer gram that ends with it, and a gram that never
+occurs makes none longer.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ DEPTH, MIN_CONTEXT, GAIN = 2, 64, 5.0
 WEIGHTS = (1 / 16, 1 / 4, 1.0, 4.0)
 #: Tokens of a chunk (a longer document is one chunk), bytes of text that are split at once, keys of a bucket on average.
 CHUNK_TOKENS, SPLIT_BYTES, BUCKET_KEYS = 500_000, 1 << 20, 1 << 19
-#: Chunks of one task.
-TASK_CHUNKS = 8
+#: Chunks of one task, which travel as one Arrow batch.
+TASK_CHUNKS = 2
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Kinds of questions are kept apart by the high bits of the bucket.
 _COUNTS, _GAINS, _KIND = 0, 1, 40
@@ -92,8 +94,8 @@ class Chunk:
     """Tokens of some documents, and what their chunk has learned about the corpus so far.
 
     ids, known (id not null), train: by document; lens: tokens of each, the end counted; words: by token, 0 for the end, else the place in
-    ``hashes``; counts: by word; n1, n2 ...: by token, training count of the gram of its context of that length and itself (0: not asked
-    for); s1, s2 ...: by token, 0 or the number of the smoothing weight of its context, if that is a state.
+    ``hashes``; counts: by word; n1, n2 ...: by token, training count of the gram of its context of that length and itself (0: its context
+    is not frequent); s1, s2 ...: by token, 0 or the number of the smoothing weight of its context, if that is a state.
     """
 
     def __init__(self, arrays: dict[str, np.ndarray], model: dict):
@@ -129,9 +131,14 @@ class Chunk:
             seen = self._back(self.a[f"n{depth - 1}"].astype(np.int64), 0)
         return np.where(seen >= self.model["least"], seen, 0)
 
+    def told(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """By token, whether the next shorter gram (a word at last) tells the count of the one of this length, and that gram's count."""
+        shorter = self.a["counts"][self.a["words"]] if depth == 1 else self.a[f"n{depth - 1}"]
+        return shorter <= self.train, shorter
+
     def grams(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens whose context is frequent, and the hash of context and token."""
-        at = np.flatnonzero(self.frequent(depth))
+        """Tokens whose context is frequent and whose gram must be asked for, and the hash of context and token."""
+        at = np.flatnonzero((self.frequent(depth) > 0) & ~self.told(depth)[0])
         return at, _join(self._contexts(depth)[at], self.a["hashes"][self.a["words"][at]])
 
     def chances(self, depth: int) -> np.ndarray:
@@ -197,7 +204,8 @@ class Chunk:
             if len(at):
                 self.a[f"s{step - 1}"][at] = answers[_GAINS][where]
         if step <= self.model["depth"]:
-            self.a[f"n{step}"] = np.zeros(self.n, np.int64)
+            told, shorter = self.told(step)
+            self.a[f"n{step}"] = np.where(told & (self.frequent(step) > 0), shorter, 0).astype(np.int64)
             at, keys = self.grams(step)
             if len(at):
                 self.a[f"n{step}"][at] = answers[_COUNTS][np.unique(keys, return_inverse=True)[1]]
